@@ -214,40 +214,90 @@ _SHORT_CODE = (
 class Access:
     """Access keys of clauses and events for a set of paths."""
 
-    def __init__(self, slots: Slots, paths: Sequence[Path], borders: Mapping[str, Sequence[float]]):
-        self.slots, self.paths, self.borders = slots, paths, borders
+    def __init__(self, slots: Slots, paths: Sequence[Path], borders: Mapping[str, Sequence[float]], fine: int):
+        self.slots, self.paths, self.borders, self.fine = slots, paths, borders, fine
 
     def _plain(self, attribute: str, value: str) -> str:
         # -0.0 and 0.0 are equal, so they need one hash.
         return f"({value} + 0.0D)" if self.slots.attributes[attribute] == FLOAT else value
 
-    def _bin(self, attribute: str, value: str) -> str:
-        """How many borders lie at or below the value."""
+    def _cell(self, attribute: str, value: str) -> str:
+        """Coarse bin: how many borders lie at or below the value."""
         value = f"CAST({value} AS double)"
         return "(" + " + ".join(["0", *(f"CAST({value} >= double('{b!r}') AS int)" for b in self.borders[attribute])]) + ")"
 
+    def _fine(self, attribute: str, value: str, cell: str) -> str:
+        """Fine bin: equal steps between the two borders of the cell, numbered across all cells."""
+        borders = self.borders[attribute]
+        steps = [(b - a) / self.fine for a, b in zip(borders, borders[1:])]
+        lows = ", ".join(f"double('{b!r}')" for b in [borders[0], *borders])
+        widths = ", ".join(f"double('{w!r}')" for w in [float("inf"), *steps, float("inf")])
+        step = f"try_divide(CAST({value} AS double) - get(array({lows}), {cell}), get(array({widths}), {cell}))"
+        # Below the first border and above the last there is one bin. NaN sorts above everything.
+        last = len(borders)
+        return (
+            f"CASE WHEN {cell} = 0 THEN 0 WHEN {cell} = {last} THEN {last * self.fine} "
+            f"ELSE {cell} * {self.fine} + CAST(greatest(0D, least({self.fine - 1}D, floor({step}))) AS int) END"
+        )
+
     @staticmethod
     def _hash(i: int, *parts: str) -> str:
         return f"xxhash64({', '.join([str(i), *parts])})"
 
+    def _binned(self) -> list[str]:
+        return sorted({path.binned for path in self.paths if path.binned})
+
+    def clause_bins(self) -> list[dict[str, str]]:
+        """Columns with the range of bins each clause covers, in the order they build on each other."""
+        ends: dict[str, str] = {}
+        cells: dict[str, str] = {}
+        fines: dict[str, str] = {}
+        for a in self._binned():
+            c, used, n = self.slots.names[a], self.slots.used[a], len(self.borders[a])
+            lows = [f"{c}_{s}" for s, op in (("gt", ">"), ("ge", ">=")) if op in used]
+            highs = [f"{c}_{s}" for s, op in (("lt", "<"), ("le", "<=")) if op in used]
+            for side, of, pick, open_cell in (("l", lows, "greatest", -1), ("h", highs, "least", n + 1)):
+                end = f"{pick}({', '.join(of)})" if len(of) > 1 else (of or ["NULL"])[0]
+                ends[f"_{side}{c}"] = f"CAST({end} AS double)"
+                # An open end lies beyond the outermost cell, so that all cells up to there are whole.
+                cells[f"_{side}c{c}"] = f"CASE WHEN _{side}{c} IS NULL THEN {open_cell} ELSE {self._cell(a, f'_{side}{c}')} END"
+                fines[f"_{side}f{c}"] = f"CASE WHEN _{side}{c} IS NOT NULL THEN {self._fine(a, f'_{side}{c}', f'_{side}c{c}')} END"
+        return [ends, cells, fines]
+
+    def _range_keys(self, i: int, parts: Sequence[str]) -> str:
+        """Keys of the cells a range covers whole, and of the fine bins in the cells it ends in.
+
+        An event meets a range on exactly one of them.
+        """
+        c = self.slots.names[self.paths[i].binned]
+        low, high, low_fine, high_fine = f"_lc{c}", f"_hc{c}", f"_lf{c}", f"_hf{c}"
+
+        def span(start: str, stop: str) -> str:
+            return f"CASE WHEN {start} <= {stop} THEN sequence({start}, {stop}) ELSE CAST(array() AS array<int>) END"
+
+        f = self.fine
+        inner = span(
+            f"greatest({low_fine}, 0)",
+            f"CASE WHEN {low} = {high} THEN {high_fine} ELSE {low} * {f} + {f - 1} END",
+        )
+        outer = span(f"{high} * {f}", f"CASE WHEN {low} <> {high} THEN {high_fine} END")
+        whole = f"transform({span(f'{low} + 1', f'{high} - 1')}, b -> {self._entry(2 * i, *parts, 'b')})"
+        ends = [
+            f"transform(CASE WHEN {low_fine} IS NOT NULL AND {low} <= {high} THEN {inner} ELSE CAST(array() AS array<int>) END, b -> {self._entry(2 * i + 1, *parts, 'b')})",
+            f"transform(CASE WHEN {high_fine} IS NOT NULL AND {low} < {high} THEN {outer} ELSE CAST(array() AS array<int>) END, b -> {self._entry(2 * i + 1, *parts, 'b')})",
+        ]
+        return f"concat({whole}, {', '.join(ends)})"
+
+    def _entry(self, number: int, *parts: str) -> str:
+        return f"named_struct('p', {number}, 'k', {self._hash(number, *parts)})"
+
     def clause_keys(self, i: int) -> str:
+        """The access keys of a clause on path ``i``: an array of (p, k)."""
         path, c, used = self.paths[i], self.slots.names, self.slots.used
         fixed = [self._plain(a, f"{c[a]}_eq") for a in path.equal]
-        bins = None
-        if path.binned:
-            a, b = path.binned, self.borders[path.binned]
-            lows = [f"{c[a]}_{s}" for s, op in (("gt", ">"), ("ge", ">=")) if op in used[a]]
-            highs = [f"{c[a]}_{s}" for s, op in (("lt", "<"), ("le", "<=")) if op in used[a]]
-            low = f"greatest({', '.join(lows)})" if len(lows) > 1 else (lows or ["NULL"])[0]
-            high = f"least({', '.join(highs)})" if len(highs) > 1 else (highs or ["NULL"])[0]
-            low_bin = f"CASE WHEN {low} IS NULL THEN 0 ELSE {self._bin(a, low)} END" if lows else "0"
-            high_bin = f"CASE WHEN {high} IS NULL THEN {len(b)} ELSE {self._bin(a, high)} END" if highs else str(len(b))
-            bins = f"CASE WHEN {low_bin} <= {high_bin} THEN sequence({low_bin}, {high_bin}) ELSE CAST(array() AS array<int>) END"
-
-        def with_bins(*parts: str) -> str:
-            if bins is None:
-                return f"array({self._hash(i, *parts)})"
-            return f"transform({bins}, b -> {self._hash(i, *parts, 'b')})"
+
+        def keys(*parts: str) -> str:
+            return self._range_keys(i, parts) if path.binned else f"array({self._entry(2 * i, *parts)})"
 
         values = None
         if path.member:
@@ -258,38 +308,65 @@ class Access:
             has_one, has_every = "one of" in used[path.element], "all of" in used[path.element]
             values = f"coalesce({one}, {every})" if has_one and has_every else one if has_one else every
         if values is None:
-            return with_bins(*fixed)
-        return f"array_distinct(flatten(transform({values}, v -> {with_bins(*fixed, 'v')})))"
-
-    def _event_parts(self, i: int, event) -> tuple[list[str], list[str], list[str]]:
+            return keys(*fixed)
+        return f"array_distinct(flatten(transform({values}, v -> {keys(*fixed, 'v')})))"
+
+    def event_bins(self, event) -> list[dict[str, str]]:
+        """The two bins of every binned attribute, computed once per event."""
+        cells = {f"_b{self.slots.names[a]}": self._cell(a, event(a)) for a in self._binned()}
+        fines = {f"_f{self.slots.names[a]}": self._fine(a, event(a), f"_b{self.slots.names[a]}") for a in self._binned()}
+        return [cells, fines]
+
+    def _numbers(self, i: int) -> list[int]:
+        """Probe numbers of a path: one, or a coarse and a fine one."""
+        return [2 * i, 2 * i + 1] if self.paths[i].binned else [2 * i]
+
+    def probes(self, event) -> str:
+        """One entry per probe, or per element of a path's list attribute: (p, element as text or bigint)."""
+        plain, lists = [], []
+        for i, path in enumerate(self.paths):
+            needed = [*path.equal, *(a for a in (path.member, path.binned) if a)]
+            usable = _and([f"{event(a)} IS NOT NULL" for a in needed])
+            for number in self._numbers(i):
+                if path.element is None:
+                    plain.append(f"named_struct('p', CASE WHEN {usable} THEN {number} END, 's', CAST(NULL AS string), 'n', CAST(NULL AS bigint))")
+                    continue
+                text = self.slots.attributes[path.element] == STRING_LIST
+                s, n = ("x", "CAST(NULL AS bigint)") if text else ("CAST(NULL AS string)", "x")
+                entries = f"transform(array_distinct({event(path.element)}), x -> named_struct('p', {number}, 's', {s}, 'n', {n}))"
+                lists.append(f"CASE WHEN {usable} AND {event(path.element)} IS NOT NULL THEN {entries} ELSE array() END")
+        first = f"array({', '.join(plain)})" if plain else "array()"
+        return f"concat({', '.join([first, *lists])})" if lists else first
+
+    def _event_hash(self, i: int, number: int, event, element: str | None) -> str:
         path = self.paths[i]
-        needed = [*path.equal, *(a for a in (path.member, path.binned) if a)]
-        head = [self._plain(a, event(a)) for a in path.equal]
+        parts = [self._plain(a, event(a)) for a in path.equal]
         if path.member:
-            head.append(event(path.member))
-        tail = [self._bin(path.binned, event(path.binned))] if path.binned else []
-        return [f"{event(a)} IS NOT NULL" for a in needed], head, tail
-
-    def event_key(self, i: int, event) -> str:
-        """The key of one event on a path without list attribute, or NULL."""
-        needed, head, tail = self._event_parts(i, event)
-        return f"CASE WHEN {_and(needed)} THEN {self._hash(i, *head, *tail)} END"
-
-    def event_element_keys(self, i: int, event) -> str:
-        """The keys of one event on a path with a list attribute: one per list element."""
-        needed, head, tail = self._event_parts(i, event)
-        keys = f"array_distinct(transform({event(self.paths[i].element)}, v -> {self._hash(i, *head, 'v', *tail)}))"
-        return f"CASE WHEN {_and(needed)} THEN {keys} END"
-
-    def first_element_only(self, event, clause, key: str, path_number: str) -> list[str]:
+            parts.append(event(path.member))
+        if path.element:
+            parts.append(element)
+        if path.binned:
+            parts.append(f"_{'f' if number % 2 else 'b'}{self.slots.names[path.binned]}")
+        return self._hash(number, *parts)
+
+    def event_key(self, event) -> str:
+        """The access key of one probe."""
+        cases = []
+        for i, path in enumerate(self.paths):
+            element = path.element and ("_s" if self.slots.attributes[path.element] == STRING_LIST else "_v")
+            cases += [f"WHEN {n} THEN {self._event_hash(i, n, event, element)}" for n in self._numbers(i)]
+        return f"CASE _p {' '.join(cases)} END"
+
+    def first_element_only(self, event, clause) -> list[str]:
         """Of several list elements shared with a `one of`, only the first may emit the pair."""
         checks = []
         for i, path in enumerate(self.paths):
             if path.element and "one of" in self.slots.used[path.element]:
                 literals = clause(f"{self.slots.names[path.element]}_oneof")
-                _, head, tail = self._event_parts(i, event)
+                element = "_s" if self.slots.attributes[path.element] == STRING_LIST else "_v"
                 first = f"try_element_at(array_intersect({event(path.element)}, {literals}), 1)"
-                checks.append(f"({path_number} <> {i} OR {literals} IS NULL OR {self._hash(i, *head, first, *tail)} = {key})")
+                # A clause with a single literal has no second element to share.
+                checks.append(f"(_p NOT IN ({2 * i}, {2 * i + 1}) OR {literals} IS NULL OR size({literals}) = 1 OR {first} = {element})")
         return checks
 
 
@@ -324,7 +401,7 @@ class Facts:
 
 
 def _survey(rows: DataFrame) -> Facts:
-    shares = ", ".join(str((i + 1) / MAX_BINS) for i in range(MAX_BINS - 1))
+    shares = ", ".join(str(i / MAX_BINS) for i in range(MAX_BINS + 1))
     tests = rows.select(F.explode("_tests").alias("t")).groupBy("t.attribute", "t.op").agg(
         F.expr(f"percentile_approx(nullif(coalesce(t.`float`, CAST(t.`int` AS double)), double('nan')), array({shares}))").alias("b")
     )
@@ -355,6 +432,13 @@ def _survey(rows: DataFrame) -> Facts:
     )
 
 
+def _thin(borders: Sequence[float], most: int) -> list[float]:
+    """At most ``most`` borders, evenly picked, the outermost two among them."""
+    if len(borders) <= most:
+        return list(borders)
+    return [borders[round(i * (len(borders) - 1) / (most - 1))] for i in range(most)]
+
+
 def match(
     events: DataFrame,
     subscriptions: DataFrame,
@@ -388,18 +472,23 @@ def match(
         return events.where(F.lit(False)).select("*", *nothing)
     slots = Slots(attributes, facts.used, many_one_of=facts.one_of > 1)
 
-    # Fewer bins when the copies of the clause rows, one per bin, would not fit the broadcast.
-    while bins > 1 and facts.borders and facts.bytes * bins // 2 > broadcast_limit:
+    # A range has about `bins` keys. Fewer bins when the copies would not fit the broadcast.
+    while bins > 1 and facts.borders and facts.bytes * bins > broadcast_limit:
         bins //= 2
-    borders = {a: b[:: -(-len(b) // max(1, bins - 1))] for a, b in facts.borders.items()} if bins > 1 else {}
-    code = F.col("_code") if borders else F.regexp_replace("_code", r"\|[0-9]*$", "|")
-    codes = facts.codes
+    borders = {a: _thin(b, bins + 1) for a, b in facts.borders.items() if len(b) > 1} if bins > 1 else {}
+    copies = bins if borders else 1
+    # Attributes with a single border are not worth binning.
+    binned = sql_list([str(list(attributes).index(a)) for a in borders] or ["-"])
+    kept = f"concat(regexp_extract(_code, '^(.*)[|][0-9]*$', 1), '|', CASE WHEN split_part(_code, '|', 4) IN {binned} THEN split_part(_code, '|', 4) ELSE '' END)"
+    code, codes = F.expr(kept), facts.codes
+    narrowed = any(Path.parse(c, list(attributes)).binned not in (None, *borders) for c in codes)
     if len(codes) > MAX_PATHS:
-        code = F.when(code.isin(codes[:MAX_PATHS]), code).otherwise(F.expr(_SHORT_CODE))
-    if len(codes) > MAX_PATHS or not borders:
+        # Counted before narrowing, which only makes paths coincide.
+        code = F.when(F.col("_code").isin(codes[:MAX_PATHS]), code).otherwise(F.expr(_SHORT_CODE.replace("_code", f"({kept})")))
+    if len(codes) > MAX_PATHS or narrowed:
         # The kept paths and at most four short ones per attribute.
         codes = sorted(r["c"] for r in rows.select(code.alias("c")).distinct().collect())
-    access = Access(slots, [Path.parse(c, list(attributes)) for c in codes], borders)
+    access = Access(slots, [Path.parse(c, list(attributes)) for c in codes], borders, max(2, bins))
     clause_side = _clause_side(rows, rest, slots, access, code, codes, many=facts.earlier > 0)
 
     def value(a: str) -> str:
@@ -408,26 +497,24 @@ def match(
     def literal(n: str) -> str:
         return f"_c_{n}"
 
-    # Event side: one row per access path.
-    probes = [
-        f"array(named_struct('p', {i}, 'k', {access.event_key(i, value)}))"
-        if not path.element
-        else f"coalesce(transform({access.event_element_keys(i, value)}, k -> named_struct('p', {i}, 'k', k)), array())"
-        for i, path in enumerate(access.paths)
-    ]
-    if not any(path.element for path in access.paths):
-        probes = ["array(" + ", ".join(p[len("array(") : -1] for p in probes) + ")"]
-    probes = probes[0] if len(probes) == 1 else f"concat({', '.join(probes)})"
-    probing = events.select("*", F.expr(f"explode({probes})").alias("_probe")).select(
-        *map(_col, events.columns), F.col("_probe.p").alias("_p"), F.col("_probe.k").alias("_k")
+    # Event side: one row per access path, or per element of its list.
+    probing = events
+    for columns in access.event_bins(value):
+        probing = probing.select("*", *(F.expr(x).alias(n) for n, x in columns.items()))
+    names = probing.columns
+    probing = (
+        probing.select("*", F.expr(f"explode({access.probes(value)})").alias("_probe"))
+        .select(*map(_col, names), F.expr("_probe.p AS _p"), F.expr("_probe.s AS _s"), F.expr("_probe.n AS _v"))
+        .where("_p IS NOT NULL")
+        .withColumn("_k", F.expr(access.event_key(value)))
     )
 
     # The order matters: the cheap literal checks come first and run on every candidate pair.
-    residual = [slots.holds(value, literal), *access.first_element_only(value, literal, "_k", "_p")]
+    residual = [slots.holds(value, literal), *access.first_element_only(value, literal)]
     if facts.earlier:
         residual.append(f"NOT {_held_before(slots, value, facts.earlier)}")
     on = F.expr(f"_k = _key AND _p = _c_path AND {_and(residual)}")
-    if facts.bytes * (bins // 2 if borders and bins > 1 else 1) <= broadcast_limit:
+    if facts.bytes * copies <= broadcast_limit:
         out = probing.join(F.broadcast(clause_side), on)
     else:
         out = _salted_join(probing, clause_side, access, on, key)
@@ -448,13 +535,16 @@ def _clause_side(rows, rest, slots: Slots, access: Access, code: Column, codes:
     if many:
         fields = ", ".join(f"'{n}', {x}" for n, x in slots.build("s").items())
         wide = wide.withColumn("_earlier", F.expr(f"filter(transform(_earlier, s -> named_struct({fields})), e -> e._possible)"))
+    for columns in access.clause_bins():
+        wide = wide.select("*", *(F.expr(x).alias(n) for n, x in columns.items()))
     keys = " ".join(f"WHEN {i} THEN {access.clause_keys(i)}" for i in range(len(codes)))
+    wide = wide.select("*", F.expr(f"explode(CASE _path {keys} END)").alias("_entry"))
     return wide.select(
         *map(_col, rest),
         *(F.col(n).alias(f"_c_{n}") for n in literals if n != "_possible"),
-        F.col("_path").alias("_c_path"),
+        F.expr("_entry.p AS _c_path"),
         *([F.col("_earlier").alias("_c_earlier")] if many else []),
-        F.expr(f"explode(CASE _path {keys} END)").alias("_key"),
+        F.expr("_entry.k AS _key"),
     )
 
 
@@ -476,13 +566,13 @@ def _salted_join(probing, clause_side, access: Access, on: Column, key: Sequence
     salts as there are shuffle partitions.
     """
     partitions = int(probing.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    open_paths = ", ".join(str(i) for i, path in enumerate(access.paths) if path.is_open) or "-1"
+    open_paths = ", ".join(str(2 * i) for i, path in enumerate(access.paths) if path.is_open) or "-1"
 
     def salts(path: str) -> str:
         return f"CASE WHEN {path} IN ({open_paths}) THEN {max(partitions, KEY_SALTS)} ELSE {KEY_SALTS} END"
 
     columns = ", ".join(map(quote_name, key))
-    left = probing.where("_k IS NOT NULL").withColumn("_salt", F.expr(f"CAST(pmod(xxhash64({columns}), {salts('_p')}) AS int)"))
+    left = probing.withColumn("_salt", F.expr(f"CAST(pmod(xxhash64({columns}), {salts('_p')}) AS int)"))
     right = clause_side.withColumn("_csalt", F.expr(f"explode(sequence(0, {salts('_c_path')} - 1))"))
     return left.join(right.hint("merge"), on & (F.col("_salt") == F.col("_csalt")))
 
