@@ -11,12 +11,14 @@ Points in the log are ``struct(ts, seq, after)`` so that they compare in log ord
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fansieve.functions.keys import parse_lease_key
-from fansieve.operators.ordered import lay_out, max_before, next_row, sum_through
+from fansieve.operators.ordered import Laid, lay_out, pieces_for
 
 LEASE = ("expression", "client_id")
 ORDER = ("ts", "seq")
@@ -70,29 +72,27 @@ def reconcile(held: DataFrame, live: DataFrame, keys=LEASE) -> DataFrame:
     return held.select(*keys).distinct().join(live.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def with_lease_end(log: DataFrame, ttl: int) -> DataFrame:
+def with_lease_end(log: DataFrame, ttl: int, pieces: int) -> Laid:
     """Every request with ``lease_end``: where the hold it gives ends, NULL for unsubscribe requests.
 
     A hold that the client refreshes in time reaches just past the refresh, so that the two overlap.
     """
-    laid = lay_out(log, LEASE, ORDER)
-    following = F.struct("ts", "seq", "op")
-    rows = next_row(laid, LEASE, ORDER, following, "_next")
-    expiry = point("_expires", "-1")
+    laid = lay_out(log, LEASE, ORDER, pieces).next_row("_next", F.struct("ts", "seq", "op"))
     end = (
         F.when(F.col("op") != "sub", F.lit(None))
-        .when(F.col("_next").isNull() | (F.col("_next.ts") >= F.col("_expires")), expiry)
+        .when(F.col("_next").isNull() | (F.col("_next.ts") >= F.col("_expires")), point("_expires", "-1"))
         .when(F.col("_next.op") == "sub", point("_next.ts", "_next.seq", 1))
         .otherwise(point("_next.ts", "_next.seq", 0))
     )
-    return rows.withColumn("_expires", plus_ttl("ts", ttl)).withColumn("lease_end", end).drop("_next", "_expires")
+    laid = laid.with_column("_expires", plus_ttl("ts", ttl)).with_column("lease_end", end)
+    return replace(laid, df=laid.df.drop("_next", "_expires"))
 
 
 def lease_intervals(log: DataFrame, ttl: int) -> DataFrame:
     """[start, end) of every unbroken lease with the number of requests that kept it alive."""
-    rows = max_before(with_lease_end(log, ttl), LEASE, ORDER, F.col("lease_end"), "_held_to")
+    held = with_lease_end(log, ttl, pieces_for(log)).max_before("_held_to", F.col("lease_end"))
     starts = F.col("op").eqNullSafe("sub") & (F.col("_held_to").isNull() | (point() >= F.col("_held_to")))
-    numbered = sum_through(rows, LEASE, ORDER, starts.cast("int"), "lease_no")
+    numbered = held.sum_through("lease_no", starts.cast("int")).rows()
     return (
         numbered.where("op = 'sub'")
         .groupBy(*LEASE, "lease_no")

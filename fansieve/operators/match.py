@@ -45,6 +45,8 @@ MAX_PATHS = 24
 MAX_BINS = 32
 # Salts for heavy access keys when the clause table is too large to broadcast.
 KEY_SALTS = 16
+# Up to this many clauses are cheaper as plain expressions than as a join.
+FEW_CLAUSES = 30
 # Earlier clauses checked by plain expressions, which stay inside generated code.
 MAX_UNROLLED = 4
 
@@ -183,23 +185,30 @@ class Path:
         return Path(tuple(names[int(p)] for p in equal.split(",") if p), name(member), name(element), name(binned))
 
 
-def _path_code(names: Sequence[str]) -> str:
-    """The path of a clause as text: positions of its attributes, ``equal|member|element|binned``."""
+def _path_code(names: Sequence[str], binned: Sequence[str]) -> str:
+    """The path of a clause as text: positions of its attributes, ``equal|member|element|binned``.
+
+    ``names`` has the most selective attribute first; ``binned`` are the attributes with bins.
+    """
     known = f"array{sql_list(names)}"
 
-    def positions(*ops: str) -> str:
-        picked = f"filter(_tests, t -> t.op IN {sql_list(ops)})"
+    def positions(ops: Sequence[str], among: Sequence[str] | None = None) -> str:
+        only = "" if among is None else f" AND t.attribute IN {sql_list(among)}"
+        picked = f"filter(_tests, t -> t.op IN {sql_list(ops)}{only})"
         return f"array_sort(array_distinct(transform({picked}, t -> array_position({known}, t.attribute) - 1)))"
 
     def first(values: str) -> str:
         return f"coalesce(CAST(array_min({values}) AS string), '')"
 
-    equal, member, element = positions("="), first(positions("in")), first(positions("one of", "all of"))
-    lower, upper = positions(">", ">="), positions("<", "<=")
+    equal, member, element = positions(["="]), first(positions(["in"])), first(positions(["one of", "all of"]))
     member = f"CASE WHEN size({equal}) = 0 THEN {member} ELSE '' END"
     element = f"CASE WHEN size({equal}) = 0 AND {member} = '' THEN {element} ELSE '' END"
-    binned = f"CASE WHEN arrays_overlap({lower}, {upper}) THEN {first(f'array_intersect({lower}, {upper})')} ELSE {first(f'array_union({lower}, {upper})')} END"
-    return f"concat_ws('|', concat_ws(',', transform({equal}, p -> CAST(p AS string))), {member}, {element}, {binned})"
+    ranged = "''"
+    if binned:
+        lower, upper = positions([">", ">="], binned), positions(["<", "<="], binned)
+        both, either = first(f"array_intersect({lower}, {upper})"), first(f"array_union({lower}, {upper})")
+        ranged = f"CASE WHEN arrays_overlap({lower}, {upper}) THEN {both} ELSE {either} END"
+    return f"concat_ws('|', concat_ws(',', transform({equal}, p -> CAST(p AS string))), {member}, {element}, {ranged})"
 
 
 # A path cut down to one attribute.
@@ -379,12 +388,12 @@ def valid_subscriptions(subscriptions: DataFrame, attributes: Mapping[str, str])
 
 
 def _clause_rows(subscriptions: DataFrame, attributes: Mapping[str, str]) -> DataFrame:
-    """One row per clause, with the earlier clauses of its subscription and its access path."""
+    """One row per clause, with the earlier clauses of its subscription."""
     rest = [c for c in subscriptions.columns if c not in ("clauses", "expression")]
     valid = valid_subscriptions(subscriptions, attributes)
     rows = valid.select(*map(_col, rest), F.col("clauses").alias("_all"), F.posexplode("clauses").alias("_n", "_tests"))
     rows = rows.select(*map(_col, rest), "_tests", F.expr("slice(_all, 1, _n)").alias("_earlier"))
-    return rows.withColumn("_code", F.expr(_path_code(list(attributes)))).withColumn("_bytes", row_bytes(rows))
+    return rows.withColumn("_bytes", row_bytes(rows))
 
 
 @dataclass
@@ -393,43 +402,56 @@ class Facts:
 
     used: dict[str, set[str]]
     borders: dict[str, list[float]]
+    ranked: list[str]
     codes: list[str]
-    clauses: int
-    bytes: int
-    earlier: int
-    one_of: int
+    clauses: int = 0
+    bytes: int = 0
+    earlier: int = 0
+    one_of: int = 0
+    bins: int = 1
 
 
-def _survey(rows: DataFrame) -> Facts:
+def _literals(rows: DataFrame, attributes: Mapping[str, str]) -> Facts:
+    """Operators in use, borders for bins, and the attributes by how many literals tell clauses apart."""
     shares = ", ".join(str(i / MAX_BINS) for i in range(MAX_BINS + 1))
     tests = rows.select(F.explode("_tests").alias("t")).groupBy("t.attribute", "t.op").agg(
-        F.expr(f"percentile_approx(nullif(coalesce(t.`float`, CAST(t.`int` AS double)), double('nan')), array({shares}))").alias("b")
+        F.expr(f"percentile_approx(nullif(coalesce(t.`float`, CAST(t.`int` AS double)), double('nan')), array({shares}))").alias("b"),
+        F.expr("approx_count_distinct(xxhash64(t.`int`, t.`float`, t.`str`, t.ints, t.strs))").alias("d"),
     )
     used: dict[str, set[str]] = {}
     borders: dict[str, set[float]] = {}
+    distinct: dict[str, int] = {}
     for r in sorted(tests.collect(), key=lambda r: (r["attribute"], r["op"])):
         used.setdefault(r["attribute"], set()).add(r["op"])
         if r["op"] in RANGE_OPS and r["b"]:
             borders.setdefault(r["attribute"], set()).update(r["b"])
-    counts = rows.rollup("_code").agg(
+        elif r["op"] in ("=", "in", "one of", "all of"):
+            distinct[r["attribute"]] = max(distinct.get(r["attribute"], 0), r["d"])
+    ranked = sorted(attributes, key=lambda a: -distinct.get(a, 0))
+    # A single border is not worth binning.
+    return Facts(used, {a: sorted(b) for a, b in borders.items() if len(b) > 1}, ranked, [])
+
+
+def _paths(rows: DataFrame, facts: Facts, bins: int, broadcast_limit: int) -> Facts:
+    """The most frequent access paths, and totals over all clauses."""
+    binned = list(facts.borders) if bins > 1 else []
+    counts = rows.withColumn("_code", F.expr(_path_code(facts.ranked, binned))).rollup("_code").agg(
         F.count("*").alias("n"),
         F.sum("_bytes").alias("bytes"),
         F.expr("max(size(_earlier))").alias("earlier"),
         F.expr("max(size(filter(_tests, t -> t.op = 'one of')))").alias("one_of"),
     )
     top = counts.orderBy(F.col("_code").isNotNull(), F.desc("n"), "_code").limit(MAX_PATHS + 2).collect()
-    total = top[0] if top else None  # the rollup's total row; an empty table has none
-    if total is None or not total["n"]:
-        return Facts(used, {}, [], 0, 0, 0, 0)
-    return Facts(
-        used,
-        {a: sorted(b) for a, b in borders.items()},
-        [r["_code"] for r in top[1:]],
-        total["n"],
-        total["bytes"],
-        total["earlier"],
-        total["one_of"],
-    )
+    total = top[0]
+    facts.codes = [r["_code"] for r in top[1:]]
+    facts.clauses, facts.bytes = total["n"], total["bytes"]
+    facts.earlier, facts.one_of, facts.bins = total["earlier"], total["one_of"], bins if binned else 1
+    # A range has about `bins` keys. Fewer bins when the copies would not fit the broadcast.
+    while facts.bins > 1 and facts.bytes * facts.bins > broadcast_limit:
+        facts.bins //= 2
+    if binned and facts.bins == 1:
+        return _paths(rows, facts, 1, broadcast_limit)
+    return facts
 
 
 def _thin(borders: Sequence[float], most: int) -> list[float]:
@@ -443,7 +465,7 @@ def match(
     events: DataFrame,
     subscriptions: DataFrame,
     attributes: Mapping[str, str] | None = None,
-    strategy: str = "template",
+    strategy: str = "auto",
     key: Sequence[str] = ("event_id",),
     broadcast_limit: int = BROADCAST_BYTES,
     bins: int = MAX_BINS,
@@ -453,42 +475,39 @@ def match(
     ``subscriptions`` has ``sub_id``, ``clauses`` (``CLAUSES_TYPE``) and any columns to carry along,
     such as ``topic``; subscriptions that do not fit the attribute schema match nothing. ``key``
     names the columns that tell events apart; it is used only when the clause table is too large
-    to broadcast. ``strategy="compiled"`` evaluates one expression per subscription instead.
+    to broadcast. ``strategy="template"`` is the join described above, ``"compiled"`` evaluates one
+    expression per subscription; both give the same result and ``"auto"`` takes the second for a few
+    clauses.
     """
     attributes = dict(attributes or attributes_of(events.schema))
     if strategy == "compiled":
         return match_compiled(events, valid_subscriptions(subscriptions, attributes))
-    if strategy != "template":
+    if strategy not in ("auto", "template"):
         raise ValueError(f"unknown strategy: {strategy}")
     clash = set(events.columns) & (set(subscriptions.columns) - {"clauses", "expression"})
     if clash:
         raise ValueError(f"columns on both sides: {sorted(clash)}")
 
     rows = durable(_clause_rows(subscriptions, attributes))
-    facts = _survey(rows)
-    rest = [c for c in rows.columns if c not in ("_tests", "_earlier", "_code", "_bytes")]
-    if not facts.clauses:
+    rest = [c for c in rows.columns if c not in ("_tests", "_earlier", "_bytes")]
+    facts = _literals(rows, attributes)
+    if not facts.used:
         nothing = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rest]
         return events.where(F.lit(False)).select("*", *nothing)
-    slots = Slots(attributes, facts.used, many_one_of=facts.one_of > 1)
+    facts = _paths(rows, facts, bins, broadcast_limit)
+    if strategy == "auto" and facts.clauses <= FEW_CLAUSES:
+        return match_compiled(events, valid_subscriptions(subscriptions, attributes))
 
-    # A range has about `bins` keys. Fewer bins when the copies would not fit the broadcast.
-    while bins > 1 and facts.borders and facts.bytes * bins > broadcast_limit:
-        bins //= 2
-    borders = {a: _thin(b, bins + 1) for a, b in facts.borders.items() if len(b) > 1} if bins > 1 else {}
-    copies = bins if borders else 1
-    # Attributes with a single border are not worth binning.
-    binned = sql_list([str(list(attributes).index(a)) for a in borders] or ["-"])
-    kept = f"concat(regexp_extract(_code, '^(.*)[|][0-9]*$', 1), '|', CASE WHEN split_part(_code, '|', 4) IN {binned} THEN split_part(_code, '|', 4) ELSE '' END)"
-    code, codes = F.expr(kept), facts.codes
-    narrowed = any(Path.parse(c, list(attributes)).binned not in (None, *borders) for c in codes)
+    slots = Slots(attributes, facts.used, many_one_of=facts.one_of > 1)
+    borders = {a: _thin(b, facts.bins + 1) for a, b in facts.borders.items()} if facts.bins > 1 else {}
+    code, codes = F.expr(_path_code(facts.ranked, list(borders))), facts.codes
     if len(codes) > MAX_PATHS:
-        # Counted before narrowing, which only makes paths coincide.
-        code = F.when(F.col("_code").isin(codes[:MAX_PATHS]), code).otherwise(F.expr(_SHORT_CODE.replace("_code", f"({kept})")))
-    if len(codes) > MAX_PATHS or narrowed:
+        kept = sql_list(codes[:MAX_PATHS])
+        rows = rows.withColumn("_code", code)
+        code = F.expr(f"CASE WHEN _code IN {kept} THEN _code ELSE {_SHORT_CODE} END")
         # The kept paths and at most four short ones per attribute.
         codes = sorted(r["c"] for r in rows.select(code.alias("c")).distinct().collect())
-    access = Access(slots, [Path.parse(c, list(attributes)) for c in codes], borders, max(2, bins))
+    access = Access(slots, [Path.parse(c, facts.ranked) for c in codes], borders, max(2, facts.bins))
     clause_side = _clause_side(rows, rest, slots, access, code, codes, many=facts.earlier > 0)
 
     def value(a: str) -> str:
@@ -513,8 +532,10 @@ def match(
     residual = [slots.holds(value, literal), *access.first_element_only(value, literal)]
     if facts.earlier:
         residual.append(f"NOT {_held_before(slots, value, facts.earlier)}")
-    on = F.expr(f"_k = _key AND _p = _c_path AND {_and(residual)}")
-    if facts.bytes * copies <= broadcast_limit:
+    # The path number is part of the key; as a difference it stays out of the join key, which is
+    # then a single bigint.
+    on = F.expr(f"_k = _key AND _c_path - _p = 0 AND {_and(residual)}")
+    if facts.bytes * facts.bins <= broadcast_limit:
         out = probing.join(F.broadcast(clause_side), on)
     else:
         out = _salted_join(probing, clause_side, access, on, key)

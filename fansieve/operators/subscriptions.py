@@ -18,7 +18,7 @@ from fansieve.functions.keys import lease_key
 from fansieve.functions.predicates import InvalidPredicate, invalid_reason
 from fansieve.operators.leases import ORDER, live_leases, point, timestamp, with_lease_end
 from fansieve.operators.match import with_topic
-from fansieve.operators.ordered import lay_out, lookup, max_before, numbered, sum_through
+from fansieve.operators.ordered import lay_out, lookup, numbered, pieces_for
 from fansieve.session import durable
 
 CONTROL_MESSAGE = "expression string, client_id string, id bigint"
@@ -88,17 +88,17 @@ class History:
 
 
 def _with_incarnation(log: DataFrame, ttl: int) -> DataFrame:
-    by = ["expression"]
-    laid = lay_out(with_lease_end(log, ttl).drop("_piece"), by, ORDER)
-    rows = max_before(laid, by, ORDER, F.col("lease_end"), "held_to")
+    pieces = pieces_for(log)
+    held = with_lease_end(log, ttl, pieces).rows()
+    laid = lay_out(held, ["expression"], ORDER, pieces).max_before("held_to", F.col("lease_end"))
     begins = (F.col("op") == "sub") & (F.col("held_to").isNull() | (point() >= F.col("held_to")))
-    rows = sum_through(rows, by, ORDER, begins.cast("int"), "incarnation")
+    rows = laid.sum_through("incarnation", begins.cast("int")).rows()
     gone = F.col("held_to").isNull() | (F.col("held_to") < point())
     outcome = F.when(
         F.col("op") == "unsub",
         F.when(gone, "not_found").when(F.col("held_to") == point(), "fully_removed").otherwise("still_active"),
     )
-    return rows.withColumn("outcome", outcome).drop("held_to", "_piece")
+    return rows.withColumn("outcome", outcome).drop("held_to")
 
 
 def incarnations(log: DataFrame, ttl: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fansieve.functions.attributes import attribute_schema
 from fansieve.functions.predicates import clauses_of
 from fansieve.operators.ordered import numbered
-from fansieve.session import table
+from fansieve.session import spread, table
 
 TTL = 24 * 3600  # seconds a lease lives in the example control log
 AS_OF = "2024-01-16 12:00:00"
@@ -31,7 +31,7 @@ ORDER_ATTRIBUTES = {"flags": "string_list", "numbers": "integer_list", "supplier
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(*EVENT_COLUMNS)
+    return spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")).selectExpr(*EVENT_COLUMNS)
 
 
 def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +81,7 @@ PAYLOAD_SCHEMA = attribute_schema(
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, ts, event_type, payload) with JSON text."""
-    rows = table(spark, sf_dir, "events")
+    rows = spread(table(spark, sf_dir, "events").drop("props"))
     return rows.select("event_id", "ts", "event_type", F.expr(PAYLOAD.replace("{text}", "string")).alias("payload"))
 
 

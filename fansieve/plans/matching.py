@@ -27,7 +27,7 @@ from fansieve.plans.data import (
 )
 from fansieve.plans.predicates import ON_EVENTS, ON_ORDERS
 from fansieve.plans.subscriptions import ACTIVE, valid_control
-from fansieve.session import durable, table
+from fansieve.session import durable, spread, table
 
 
 def subscription_table(spark, predicates: list[Predicate]) -> DataFrame:
@@ -38,7 +38,7 @@ def subscription_table(spark, predicates: list[Predicate]) -> DataFrame:
 
 def match_all(spark, sf_dir):
     subscriptions = subscription_table(spark, [p for p, _ in ON_EVENTS.values()])
-    return match(events(spark, sf_dir), subscriptions, EVENT_ATTRIBUTES).select("event_id", "sub_id")
+    return match(events(spark, sf_dir), subscriptions, EVENT_ATTRIBUTES, strategy="template").select("event_id", "sub_id")
 
 
 MATCH_ALL = " UNION ALL ".join(
@@ -55,7 +55,7 @@ def match_compiled(spark, sf_dir):
 
 def match_list_predicates(spark, sf_dir):
     subscriptions = subscription_table(spark, [p for p, _ in ON_ORDERS.values()])
-    return match(order_events(spark, sf_dir), subscriptions, ORDER_ATTRIBUTES, key=("order_id",)).select("order_id", "sub_id")
+    return match(order_events(spark, sf_dir), subscriptions, ORDER_ATTRIBUTES, strategy="template", key=("order_id",)).select("order_id", "sub_id")
 
 
 MATCH_LIST_PREDICATES = " UNION ALL ".join(
@@ -97,7 +97,7 @@ def match_order_lines(spark, sf_dir):
         F.col("p_partkey").alias("sub_id"),
         clauses_of([("l_partkey", "=", "p_partkey", "int"), ("l_quantity", ">", "p_size", "float"), ("l_returnflag", "in", "array('A', 'N')", "strs")]).alias("clauses"),
     )
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
+    lines = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag"))
     pairs = match(lines, parts, key=("l_orderkey", "l_linenumber"))
     return pairs.select("l_orderkey", "l_linenumber", "sub_id")
 
@@ -108,7 +108,7 @@ def match_price_bands(spark, sf_dir):
         F.col("c_custkey").alias("sub_id"),
         clauses_of([("o_totalprice", ">", "c_acctbal * 40", "float"), ("o_totalprice", "<=", "c_acctbal * 40 + 2000", "float")]).alias("clauses"),
     )
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"))
     pairs = match(orders, customers, key=("o_orderkey",))
     return pairs.groupBy("sub_id").agg(F.count("*").alias("matches"), F.min("o_orderkey").alias("first_order"))
 

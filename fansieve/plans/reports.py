@@ -12,7 +12,7 @@ from fansieve.operators import stats
 from fansieve.operators.decode import decode_payloads
 from fansieve.operators.infer import catalog_schema, infer_schema, schema_text
 from fansieve.operators.match import match
-from fansieve.operators.ordered import lay_out, sum_through
+from fansieve.operators.ordered import lay_out
 from fansieve.plans.data import EVENT_ATTRIBUTES, EVENT_COLUMNS, PAYLOAD_SCHEMA, PAYLOADS, PREFIX, payloads
 from fansieve.plans.matching import MATCH_ALL, subscription_table
 from fansieve.plans.payloads import MAX_BYTES, TYPED
@@ -60,8 +60,7 @@ def stats_by_window(spark, sf_dir):
     taken_in, pairs = _flow(spark, sf_dir)
     hour = F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("hour")
     hourly = stats.totals(taken_in, pairs, "event_id", by=(hour,), keep=("ts",))
-    running = sum_through(lay_out(hourly, [], ["hour"]), [], ["hour"], F.col("published"), "published_so_far")
-    return running.drop("_piece")
+    return lay_out(hourly, [], ["hour"]).sum_through("published_so_far", F.col("published")).rows()
 
 
 def infer_schema_query(spark, sf_dir):
