@@ -67,17 +67,18 @@ class Slots:
 
     def __init__(self, attributes: Mapping[str, str], used: Mapping[str, set[str]], many_one_of: bool):
         self.attributes, self.used, self.many_one_of = attributes, used, many_one_of
-        self.names = {a: f"a{i}" for i, a in enumerate(attributes)}
+        # Event columns may have any name, so all names made here, lambda variables too, start with "_".
+        self.names = {a: f"_a{i}" for i, a in enumerate(attributes)}
 
     def build(self, tests: str) -> dict[str, str]:
         """The literal columns of one clause, computed from its array of tests."""
 
         def picked(attribute: str, *ops: str) -> str:
             name = sql_list([attribute])
-            return f"filter({tests}, t -> t.attribute IN {name} AND t.op IN {sql_list(ops)})"
+            return f"filter({tests}, _t -> _t.attribute IN {name} AND _t.op IN {sql_list(ops)})"
 
         def lits(attribute: str, slot: str, *ops: str) -> str:
-            return f"transform({picked(attribute, *ops)}, t -> t.{slot})"
+            return f"transform({picked(attribute, *ops)}, _t -> _t.{slot})"
 
         def or_null(values: str) -> str:
             return f"nullif({values}, array())"
@@ -92,7 +93,7 @@ class Slots:
                 ("is empty", "is not empty", "empty"),
             ):
                 if ops & {yes, no}:
-                    flags = f"transform({picked(attribute, yes, no)}, t -> t.op = '{yes}')"
+                    flags = f"transform({picked(attribute, yes, no)}, _t -> _t.op = '{yes}')"
                     out[f"{c}_{slot}"] = f"array_max({flags})"
                     possible.append(f"array_max({flags}) <=> array_min({flags})")
             if "=" in ops:
@@ -111,7 +112,7 @@ class Slots:
                 out[f"{c}_notin"] = or_null(f"array_distinct(concat({', '.join(excluded)}))")
             if "in" in ops:
                 lists = lits(attribute, _LITS[kind], "in")
-                common = f"aggregate({lists}, array_distinct(try_element_at({lists}, 1)), (a, b) -> array_intersect(a, b))"
+                common = f"aggregate({lists}, array_distinct(try_element_at({lists}, 1)), (_l, _r) -> array_intersect(_l, _r))"
                 out[f"{c}_in"] = common
                 possible.append(f"coalesce(size({common}) <> 0, true)")
             if "one of" in ops:
@@ -151,7 +152,7 @@ class Slots:
             if "one of" in ops:
                 when_set(f"{c}_oneof", f"arrays_overlap({v}, {{x}})")
                 if self.many_one_of:
-                    when_set(f"{c}_oneofs", f"forall({{x}}, y -> arrays_overlap({v}, y))")
+                    when_set(f"{c}_oneofs", f"forall({{x}}, _list -> arrays_overlap({v}, _list))")
             if "none of" in ops:
                 when_set(f"{c}_noneof", f"NOT arrays_overlap({v}, {{x}})")
             if "all of" in ops:
@@ -193,9 +194,9 @@ def _path_code(names: Sequence[str], binned: Sequence[str]) -> str:
     known = f"array{sql_list(names)}"
 
     def positions(ops: Sequence[str], among: Sequence[str] | None = None) -> str:
-        only = "" if among is None else f" AND t.attribute IN {sql_list(among)}"
-        picked = f"filter(_tests, t -> t.op IN {sql_list(ops)}{only})"
-        return f"array_sort(array_distinct(transform({picked}, t -> array_position({known}, t.attribute) - 1)))"
+        only = "" if among is None else f" AND _t.attribute IN {sql_list(among)}"
+        picked = f"filter(_tests, _t -> _t.op IN {sql_list(ops)}{only})"
+        return f"array_sort(array_distinct(transform({picked}, _t -> array_position({known}, _t.attribute) - 1)))"
 
     def first(values: str) -> str:
         return f"coalesce(CAST(array_min({values}) AS string), '')"
@@ -208,7 +209,7 @@ def _path_code(names: Sequence[str], binned: Sequence[str]) -> str:
         lower, upper = positions([">", ">="], binned), positions(["<", "<="], binned)
         both, either = first(f"array_intersect({lower}, {upper})"), first(f"array_union({lower}, {upper})")
         ranged = f"CASE WHEN arrays_overlap({lower}, {upper}) THEN {both} ELSE {either} END"
-    return f"concat_ws('|', concat_ws(',', transform({equal}, p -> CAST(p AS string))), {member}, {element}, {ranged})"
+    return f"concat_ws('|', concat_ws(',', transform({equal}, _p -> CAST(_p AS string))), {member}, {element}, {ranged})"
 
 
 # A path cut down to one attribute.
@@ -290,10 +291,10 @@ class Access:
             f"CASE WHEN {low} = {high} THEN {high_fine} ELSE {low} * {f} + {f - 1} END",
         )
         outer = span(f"{high} * {f}", f"CASE WHEN {low} <> {high} THEN {high_fine} END")
-        whole = f"transform({span(f'{low} + 1', f'{high} - 1')}, b -> {self._entry(2 * i, *parts, 'b')})"
+        whole = f"transform({span(f'{low} + 1', f'{high} - 1')}, _bin -> {self._entry(2 * i, *parts, '_bin')})"
         ends = [
-            f"transform(CASE WHEN {low_fine} IS NOT NULL AND {low} <= {high} THEN {inner} ELSE CAST(array() AS array<int>) END, b -> {self._entry(2 * i + 1, *parts, 'b')})",
-            f"transform(CASE WHEN {high_fine} IS NOT NULL AND {low} < {high} THEN {outer} ELSE CAST(array() AS array<int>) END, b -> {self._entry(2 * i + 1, *parts, 'b')})",
+            f"transform(CASE WHEN {low_fine} IS NOT NULL AND {low} <= {high} THEN {inner} ELSE CAST(array() AS array<int>) END, _bin -> {self._entry(2 * i + 1, *parts, '_bin')})",
+            f"transform(CASE WHEN {high_fine} IS NOT NULL AND {low} < {high} THEN {outer} ELSE CAST(array() AS array<int>) END, _bin -> {self._entry(2 * i + 1, *parts, '_bin')})",
         ]
         return f"concat({whole}, {', '.join(ends)})"
 
@@ -318,7 +319,7 @@ class Access:
             values = f"coalesce({one}, {every})" if has_one and has_every else one if has_one else every
         if values is None:
             return keys(*fixed)
-        return f"array_distinct(flatten(transform({values}, v -> {keys(*fixed, 'v')})))"
+        return f"array_distinct(flatten(transform({values}, _value -> {keys(*fixed, '_value')})))"
 
     def event_bins(self, event) -> list[dict[str, str]]:
         """The two bins of every binned attribute, computed once per event."""
@@ -341,8 +342,8 @@ class Access:
                     plain.append(f"named_struct('p', CASE WHEN {usable} THEN {number} END, 's', CAST(NULL AS string), 'n', CAST(NULL AS bigint))")
                     continue
                 text = self.slots.attributes[path.element] == STRING_LIST
-                s, n = ("x", "CAST(NULL AS bigint)") if text else ("CAST(NULL AS string)", "x")
-                entries = f"transform(array_distinct({event(path.element)}), x -> named_struct('p', {number}, 's', {s}, 'n', {n}))"
+                s, n = ("_x", "CAST(NULL AS bigint)") if text else ("CAST(NULL AS string)", "_x")
+                entries = f"transform(array_distinct({event(path.element)}), _x -> named_struct('p', {number}, 's', {s}, 'n', {n}))"
                 lists.append(f"CASE WHEN {usable} AND {event(path.element)} IS NOT NULL THEN {entries} ELSE array() END")
         first = f"array({', '.join(plain)})" if plain else "array()"
         return f"concat({', '.join([first, *lists])})" if lists else first
@@ -439,7 +440,7 @@ def _paths(rows: DataFrame, facts: Facts, bins: int, broadcast_limit: int) -> Fa
         F.count("*").alias("n"),
         F.sum("_bytes").alias("bytes"),
         F.expr("max(size(_earlier))").alias("earlier"),
-        F.expr("max(size(filter(_tests, t -> t.op = 'one of')))").alias("one_of"),
+        F.expr("max(size(filter(_tests, _t -> _t.op = 'one of')))").alias("one_of"),
     )
     top = counts.orderBy(F.col("_code").isNotNull(), F.desc("n"), "_code").limit(MAX_PATHS + 2).collect()
     total = top[0]
@@ -554,8 +555,8 @@ def _clause_side(rows, rest, slots: Slots, access: Access, code: Column, codes:
     )
     wide = wide.where("_possible")
     if many:
-        fields = ", ".join(f"'{n}', {x}" for n, x in slots.build("s").items())
-        wide = wide.withColumn("_earlier", F.expr(f"filter(transform(_earlier, s -> named_struct({fields})), e -> e._possible)"))
+        fields = ", ".join(f"'{n}', {x}" for n, x in slots.build("_s").items())
+        wide = wide.withColumn("_earlier", F.expr(f"filter(transform(_earlier, _s -> named_struct({fields})), _e -> _e._possible)"))
     for columns in access.clause_bins():
         wide = wide.select("*", *(F.expr(x).alias(n) for n, x in columns.items()))
     keys = " ".join(f"WHEN {i} THEN {access.clause_keys(i)}" for i in range(len(codes)))
@@ -572,7 +573,7 @@ def _clause_side(rows, rest, slots: Slots, access: Access, code: Column, codes:
 def _held_before(slots: Slots, event, most: int) -> str:
     """Whether an earlier clause of the subscription holds too, so that it emits the pair."""
     if most > MAX_UNROLLED:
-        return f"exists(_c_earlier, c -> coalesce({slots.holds(event, lambda n: f'c.{n}')}, false))"
+        return f"exists(_c_earlier, _row -> coalesce({slots.holds(event, lambda n: f'_row.{n}')}, false))"
     checks = [
         f"(size(_c_earlier) > {i} AND coalesce({slots.holds(event, lambda n, i=i: f'get(_c_earlier, {i}).{n}')}, false))"
         for i in range(most)
