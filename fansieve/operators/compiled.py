@@ -6,7 +6,7 @@ strategy has no such limit. It also accepts free Spark SQL texts that have no cl
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fansieve.functions.predicates import Either, Predicate, Test
@@ -27,6 +27,15 @@ def _predicate(clauses) -> Predicate:
     return out
 
 
+def any_holds(subscriptions: DataFrame) -> Column:
+    """Whether any of a few (sub_id, clauses) rows accepts the event; never NULL."""
+    rows = subscriptions.select("clauses").limit(MAX_COMPILED + 1).collect()
+    if len(rows) > MAX_COMPILED:
+        raise ValueError(f"more than {MAX_COMPILED} subscriptions")
+    texts = [f"coalesce({_predicate(r['clauses']).sql()}, false)" for r in rows]
+    return F.expr(" OR ".join(texts) or "false")
+
+
 def match_compiled(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Same result as ``match``. Subscriptions are (sub_id, clauses) or (sub_id, expression) rows."""
     rest = [c for c in subscriptions.columns if c not in ("clauses", "expression")]

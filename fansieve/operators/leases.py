@@ -12,6 +12,7 @@ Points in the log are ``struct(ts, seq, after)`` so that they compare in log ord
 from __future__ import annotations
 
 from dataclasses import replace
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +45,10 @@ def plus_ttl(ts: str, ttl: int) -> Column:
 
 
 def timestamp(value) -> Column:
-    return F.lit(value).cast("timestamp_ntz") if not isinstance(value, Column) else value
+    """A moment given as text, datetime or Column; no time zone is applied."""
+    if isinstance(value, Column):
+        return value
+    return F.lit(value.isoformat(sep=" ") if isinstance(value, datetime) else value).cast("timestamp_ntz")
 
 
 def current_leases(log: DataFrame, as_of=None, keys=LEASE) -> DataFrame:

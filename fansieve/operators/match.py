@@ -34,7 +34,7 @@ from fansieve.functions.attributes import (
     attributes_of,
 )
 from fansieve.functions.predicates import RANGE_OPS, invalid_reason, quote_name, sql_list
-from fansieve.operators.compiled import match_compiled
+from fansieve.operators.compiled import any_holds, match_compiled
 from fansieve.session import BROADCAST_BYTES, durable, row_bytes
 
 _LIT = {INTEGER: "`int`", FLOAT: "`float`", STRING: "`str`"}
@@ -43,10 +43,14 @@ _LITS = {INTEGER: "ints", STRING: "strs", INTEGER_LIST: "ints", STRING_LIST: "st
 # Access paths kept in full; clauses on rarer paths use the first attribute of theirs.
 MAX_PATHS = 24
 MAX_BINS = 32
+# Clauses that share their other literals before their ranges are binned.
+CROWD = 16
 # Salts for heavy access keys when the clause table is too large to broadcast.
 KEY_SALTS = 16
 # Up to this many clauses are cheaper as plain expressions than as a join.
 FEW_CLAUSES = 30
+# Anti joins in a row before one join on the event key is the better plan.
+MAX_ANTI_JOINS = 8
 # Earlier clauses checked by plain expressions, which stay inside generated code.
 MAX_UNROLLED = 4
 
@@ -172,10 +176,6 @@ class Path:
     element: str | None = None  # list attribute with `one of` or `all of`
     binned: str | None = None  # numeric attribute with a range
 
-    @property
-    def is_open(self) -> bool:
-        return not (self.equal or self.member or self.element or self.binned)
-
     @staticmethod
     def parse(code: str, names: Sequence[str]) -> Path:
         equal, member, element, binned = code.split("|")
@@ -212,13 +212,15 @@ def _path_code(names: Sequence[str], binned: Sequence[str]) -> str:
     return f"concat_ws('|', concat_ws(',', transform({equal}, _p -> CAST(_p AS string))), {member}, {element}, {ranged})"
 
 
-# A path cut down to one attribute.
-_SHORT_CODE = (
-    "CASE WHEN split_part(_code, '|', 1) <> '' THEN concat(split_part(_code, ',', 1), '|||') "
-    "WHEN split_part(_code, '|', 2) <> '' THEN concat('|', split_part(_code, '|', 2), '||') "
-    "WHEN split_part(_code, '|', 3) <> '' THEN concat('||', split_part(_code, '|', 3), '|') "
-    "ELSE _code END"
-).replace("split_part(_code, ',', 1)", "split_part(split_part(_code, '|', 1), ',', 1)")
+def _short_code(binned: bool) -> str:
+    """SQL text: the path ``_code`` cut down to one attribute."""
+    part = [f"split_part(_code, '|', {i})" for i in (1, 2, 3, 4)]
+    return (
+        f"CASE WHEN {part[0]} <> '' THEN concat(split_part({part[0]}, ',', 1), '|||') "
+        f"WHEN {part[1]} <> '' THEN concat('|', {part[1]}, '||') "
+        f"WHEN {part[2]} <> '' THEN concat('||', {part[2]}, '|') "
+        f"ELSE {'_code' if binned else chr(39) + '|||' + chr(39)} END"
+    )
 
 
 class Access:
@@ -359,6 +361,15 @@ class Access:
             parts.append(f"_{'f' if number % 2 else 'b'}{self.slots.names[path.binned]}")
         return self._hash(number, *parts)
 
+    def plain_keys(self, event) -> list[tuple[int, str]]:
+        """(probe number, key or NULL) of every path; only for paths without list attribute."""
+        keys = []
+        for i, path in enumerate(self.paths):
+            needed = [*path.equal, *(a for a in (path.member, path.binned) if a)]
+            usable = _and([f"{event(a)} IS NOT NULL" for a in needed])
+            keys += [(n, f"CASE WHEN {usable} THEN {self._event_hash(i, n, event, None)} END") for n in self._numbers(i)]
+        return keys
+
     def event_key(self, event) -> str:
         """The access key of one probe."""
         cases = []
@@ -410,6 +421,7 @@ class Facts:
     earlier: int = 0
     one_of: int = 0
     bins: int = 1
+    copied_bytes: int = 0
 
 
 def _literals(rows: DataFrame, attributes: Mapping[str, str]) -> Facts:
@@ -433,26 +445,44 @@ def _literals(rows: DataFrame, attributes: Mapping[str, str]) -> Facts:
     return Facts(used, {a: sorted(b) for a, b in borders.items() if len(b) > 1}, ranked, [])
 
 
-def _paths(rows: DataFrame, facts: Facts, bins: int, broadcast_limit: int) -> Facts:
-    """The most frequent access paths, and totals over all clauses."""
+def _paths(rows: DataFrame, facts: Facts, bins: int, broadcast_limit: int) -> tuple[DataFrame, Facts]:
+    """Add ``_path``, the access path of each clause, and the facts about paths and totals."""
     binned = list(facts.borders) if bins > 1 else []
-    counts = rows.withColumn("_code", F.expr(_path_code(facts.ranked, binned))).rollup("_code").agg(
+    rows = rows.withColumn("_code", F.expr(_path_code(facts.ranked, binned)))
+    groups = rows.groupBy("_code").agg(
         F.count("*").alias("n"),
         F.sum("_bytes").alias("bytes"),
         F.expr("max(size(_earlier))").alias("earlier"),
         F.expr("max(size(filter(_tests, _t -> _t.op = 'one of')))").alias("one_of"),
+        F.expr("approx_count_distinct(xxhash64(filter(_tests, _t -> _t.op IN ('=', 'in', 'one of', 'all of'))))").alias("d"),
     )
-    top = counts.orderBy(F.col("_code").isNotNull(), F.desc("n"), "_code").limit(MAX_PATHS + 2).collect()
-    total = top[0]
-    facts.codes = [r["_code"] for r in top[1:]]
-    facts.clauses, facts.bytes = total["n"], total["bytes"]
-    facts.earlier, facts.one_of, facts.bins = total["earlier"], total["one_of"], bins if binned else 1
+    top = total = groups.limit(MAX_PATHS + 1).collect()
+    rare = len(top) > MAX_PATHS
+    if rare:
+        top = groups.orderBy(F.desc("n"), "_code").limit(MAX_PATHS).collect()
+        total = groups.agg(
+            *(F.expr(f"{f}({c}) AS {c}") for f, c in (("sum", "n"), ("sum", "bytes"), ("max", "earlier"), ("max", "one_of")))
+        ).collect()
+    facts.clauses, facts.bytes = sum(r["n"] for r in total), sum(r["bytes"] for r in total)
+    facts.earlier, facts.one_of = max(r["earlier"] for r in total), max(r["one_of"] for r in total)
+
+    # Bins cost copies of the clause, so they are for paths whose other literals leave many together.
+    crowded = {r["_code"] for r in top if not r["_code"].endswith("|") and (r["_code"].startswith("|||") or r["n"] > CROWD * r["d"])}
+    single = sum(r["bytes"] for r in top if r["_code"] not in crowded)
     # A range has about `bins` keys. Fewer bins when the copies would not fit the broadcast.
-    while facts.bins > 1 and facts.bytes * facts.bins > broadcast_limit:
+    facts.bins = bins if crowded or (rare and binned) else 1
+    while facts.bins > 1 and single + (facts.bytes - single) * facts.bins > broadcast_limit:
         facts.bins //= 2
-    if binned and facts.bins == 1:
-        return _paths(rows, facts, 1, broadcast_limit)
-    return facts
+    facts.copied_bytes = single + (facts.bytes - single) * facts.bins
+
+    used = {c: c if c in crowded and facts.bins > 1 else c.rpartition("|")[0] + "|" for c in (r["_code"] for r in top)}
+    cases = " ".join(f"WHEN '{c}' THEN '{path}'" for c, path in used.items())
+    rows = rows.withColumn("_path", F.expr(f"CASE _code {cases} ELSE {_short_code(facts.bins > 1)} END")).drop("_code")
+    facts.codes = sorted(set(used.values()))
+    if rare:
+        # The kept paths and at most four short ones per attribute.
+        facts.codes = sorted(r["_path"] for r in rows.select("_path").distinct().collect())
+    return rows, facts
 
 
 def _thin(borders: Sequence[float], most: int) -> list[float]:
@@ -462,6 +492,54 @@ def _thin(borders: Sequence[float], most: int) -> list[float]:
     return [borders[round(i * (len(borders) - 1) / (most - 1))] for i in range(most)]
 
 
+@dataclass
+class Plan:
+    """The clause side of the join and the expressions that go with it."""
+
+    attributes: Mapping[str, str]
+    facts: Facts
+    rest: list[str]
+    fits_broadcast: bool
+    slots: Slots | None = None
+    access: Access | None = None  # None: few enough clauses to be compiled
+    clause_side: DataFrame | None = None
+
+    def value(self, a: str) -> str:
+        """An event attribute in the type that the literals have."""
+        return f"CAST({quote_name(a)} AS {SPARK_TYPES[self.attributes[a]].simpleString()})"
+
+    @staticmethod
+    def literal(n: str) -> str:
+        return f"_c{n}"
+
+    def holds(self) -> str:
+        return self.slots.holds(self.value, self.literal)
+
+    def with_bins(self, events: DataFrame) -> DataFrame:
+        for columns in self.access.event_bins(self.value):
+            events = events.select("*", *(F.expr(x).alias(n) for n, x in columns.items()))
+        return events
+
+
+def _plan(events, subscriptions, attributes, strategy: str, broadcast_limit: int, bins: int) -> Plan | None:
+    """None if there is no valid clause at all."""
+    rows = durable(_clause_rows(subscriptions, attributes))
+    rest = [c for c in rows.columns if c not in ("_tests", "_earlier", "_bytes")]
+    facts = _literals(rows, attributes)
+    if not facts.used:
+        return None
+    rows, facts = _paths(rows, facts, bins, broadcast_limit)
+    plan = Plan(attributes, facts, rest, facts.copied_bytes <= broadcast_limit)
+    if strategy == "auto" and facts.clauses <= FEW_CLAUSES:
+        return plan
+
+    plan.slots = Slots(attributes, facts.used, many_one_of=facts.one_of > 1)
+    borders = {a: _thin(b, facts.bins + 1) for a, b in facts.borders.items()}
+    plan.access = Access(plan.slots, [Path.parse(c, facts.ranked) for c in facts.codes], borders, max(2, facts.bins))
+    plan.clause_side = _clause_side(rows, rest, plan.slots, plan.access, facts.codes, many=facts.earlier > 0)
+    return plan
+
+
 def match(
     events: DataFrame,
     subscriptions: DataFrame,
@@ -489,68 +567,44 @@ def match(
     if clash:
         raise ValueError(f"columns on both sides: {sorted(clash)}")
 
-    rows = durable(_clause_rows(subscriptions, attributes))
-    rest = [c for c in rows.columns if c not in ("_tests", "_earlier", "_bytes")]
-    facts = _literals(rows, attributes)
-    if not facts.used:
-        nothing = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rest]
-        return events.where(F.lit(False)).select("*", *nothing)
-    facts = _paths(rows, facts, bins, broadcast_limit)
-    if strategy == "auto" and facts.clauses <= FEW_CLAUSES:
+    plan = _plan(events, subscriptions, attributes, strategy, broadcast_limit, bins)
+    if plan is None:
+        rest = [f for f in subscriptions.schema.fields if f.name not in ("clauses", "expression")]
+        return events.where(F.lit(False)).select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in rest))
+    if plan.access is None:
         return match_compiled(events, valid_subscriptions(subscriptions, attributes))
 
-    slots = Slots(attributes, facts.used, many_one_of=facts.one_of > 1)
-    borders = {a: _thin(b, facts.bins + 1) for a, b in facts.borders.items()} if facts.bins > 1 else {}
-    code, codes = F.expr(_path_code(facts.ranked, list(borders))), facts.codes
-    if len(codes) > MAX_PATHS:
-        kept = sql_list(codes[:MAX_PATHS])
-        rows = rows.withColumn("_code", code)
-        code = F.expr(f"CASE WHEN _code IN {kept} THEN _code ELSE {_SHORT_CODE} END")
-        # The kept paths and at most four short ones per attribute.
-        codes = sorted(r["c"] for r in rows.select(code.alias("c")).distinct().collect())
-    access = Access(slots, [Path.parse(c, facts.ranked) for c in codes], borders, max(2, facts.bins))
-    clause_side = _clause_side(rows, rest, slots, access, code, codes, many=facts.earlier > 0)
-
-    def value(a: str) -> str:
-        return f"CAST({quote_name(a)} AS {SPARK_TYPES[attributes[a]].simpleString()})"
-
-    def literal(n: str) -> str:
-        return f"_c_{n}"
-
     # Event side: one row per access path, or per element of its list.
-    probing = events
-    for columns in access.event_bins(value):
-        probing = probing.select("*", *(F.expr(x).alias(n) for n, x in columns.items()))
+    probing = plan.with_bins(events)
     names = probing.columns
     probing = (
-        probing.select("*", F.expr(f"explode({access.probes(value)})").alias("_probe"))
+        probing.select("*", F.expr(f"explode({plan.access.probes(plan.value)})").alias("_probe"))
         .select(*map(_col, names), F.expr("_probe.p AS _p"), F.expr("_probe.s AS _s"), F.expr("_probe.n AS _v"))
         .where("_p IS NOT NULL")
-        .withColumn("_k", F.expr(access.event_key(value)))
+        .withColumn("_k", F.expr(plan.access.event_key(plan.value)))
     )
-
     # The order matters: the cheap literal checks come first and run on every candidate pair.
-    residual = [slots.holds(value, literal), *access.first_element_only(value, literal)]
-    if facts.earlier:
-        residual.append(f"NOT {_held_before(slots, value, facts.earlier)}")
+    residual = [plan.holds(), *plan.access.first_element_only(plan.value, plan.literal)]
+    if plan.facts.earlier:
+        residual.append(f"NOT {_held_before(plan.slots, plan.value, plan.facts.earlier)}")
     # The path number is part of the key; as a difference it stays out of the join key, which is
     # then a single bigint.
     on = F.expr(f"_k = _key AND _c_path - _p = 0 AND {_and(residual)}")
-    if facts.bytes * facts.bins <= broadcast_limit:
-        out = probing.join(F.broadcast(clause_side), on)
+    if plan.fits_broadcast:
+        out = probing.join(F.broadcast(plan.clause_side), on)
     else:
-        out = _salted_join(probing, clause_side, access, on, key)
-    return out.select(*map(_col, events.columns), *map(_col, rest))
+        out = _salted_join(probing, plan.clause_side, plan.access, on, key)
+    return out.select(*map(_col, events.columns), *map(_col, plan.rest))
 
 
-def _clause_side(rows, rest, slots: Slots, access: Access, code: Column, codes: Sequence[str], many: bool) -> DataFrame:
+def _clause_side(rows, rest, slots: Slots, access: Access, codes: Sequence[str], many: bool) -> DataFrame:
     """Literals, path number and access keys of every clause that can hold at all."""
     literals = slots.build("_tests")
     numbers = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(codes))
-    wide = rows.withColumn("_short", code).select(
+    wide = rows.select(
         *map(_col, rest),
         *(F.expr(x).alias(n) for n, x in literals.items()),
-        F.expr(f"CASE _short {numbers} END").alias("_path"),
+        F.expr(f"CASE _path {numbers} END").alias("_path"),
         *([F.col("_earlier")] if many else []),
     )
     wide = wide.where("_possible")
@@ -563,7 +617,7 @@ def _clause_side(rows, rest, slots: Slots, access: Access, code: Column, codes:
     wide = wide.select("*", F.expr(f"explode(CASE _path {keys} END)").alias("_entry"))
     return wide.select(
         *map(_col, rest),
-        *(F.col(n).alias(f"_c_{n}") for n in literals if n != "_possible"),
+        *(F.col(n).alias(f"_c{n}") for n in literals if n != "_possible"),
         F.expr("_entry.p AS _c_path"),
         *([F.col("_earlier").alias("_c_earlier")] if many else []),
         F.expr("_entry.k AS _key"),
@@ -584,14 +638,17 @@ def _held_before(slots: Slots, event, most: int) -> str:
 def _salted_join(probing, clause_side, access: Access, on: Column, key: Sequence[str]) -> DataFrame:
     """Shuffle join that spreads every access key over several tasks.
 
-    Clauses without any access attribute share one key with all events, so that key gets as many
-    salts as there are shuffle partitions.
+    Even if one key holds a third of all events, each of its salts holds no more than about three
+    average partitions. The clauses, repeated once per salt, are the small side.
     """
     partitions = int(probing.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    open_paths = ", ".join(str(2 * i) for i, path in enumerate(access.paths) if path.is_open) or "-1"
+    few = max(KEY_SALTS, partitions // 8)
+    # Probe numbers with few different keys: no access attribute, or coarse bins only.
+    coarse = [2 * i for i, path in enumerate(access.paths) if not (path.equal or path.member or path.element)]
+    numbers = ", ".join(map(str, coarse or [-1]))
 
-    def salts(path: str) -> str:
-        return f"CASE WHEN {path} IN ({open_paths}) THEN {max(partitions, KEY_SALTS)} ELSE {KEY_SALTS} END"
+    def salts(number: str) -> str:
+        return f"CASE WHEN {number} IN ({numbers}) THEN {max(partitions, few)} ELSE {few} END"
 
     columns = ", ".join(map(quote_name, key))
     left = probing.withColumn("_salt", F.expr(f"CAST(pmod(xxhash64({columns}), {salts('_p')}) AS int)"))
@@ -636,7 +693,34 @@ def active_only(subscriptions: DataFrame, active: DataFrame) -> DataFrame:
     return subscriptions.join(active.select("sub_id").distinct(), "sub_id", "left_semi")
 
 
-def unmatched(events: DataFrame, subscriptions: DataFrame, key: str = "event_id", **options) -> DataFrame:
-    """Events that no subscription matches."""
-    matched = match(events, subscriptions, key=(key,), **options).select(_col(key)).distinct()
-    return events.join(matched, key, "left_anti")
+def unmatched(
+    events: DataFrame,
+    subscriptions: DataFrame,
+    attributes: Mapping[str, str] | None = None,
+    key: str = "event_id",
+    broadcast_limit: int = BROADCAST_BYTES,
+    bins: int = MAX_BINS,
+) -> DataFrame:
+    """Events that no subscription matches.
+
+    With a broadcast clause table and a few access paths the events pass one anti join per path and
+    are not shuffled. List attributes have several keys per event, so these take the matched event
+    keys instead.
+    """
+    attributes = dict(attributes or attributes_of(events.schema))
+    plan = _plan(events, subscriptions, attributes, "auto", broadcast_limit, bins)
+    if plan is None:
+        return events
+    if plan.access is None:
+        return events.where(~any_holds(valid_subscriptions(subscriptions, attributes)))
+    lists = any(path.element for path in plan.access.paths)
+    keys = [] if lists else plan.access.plain_keys(plan.value)
+    if not plan.fits_broadcast or lists or len(keys) > MAX_ANTI_JOINS:
+        matched = match(events, subscriptions, attributes, key=(key,), broadcast_limit=broadcast_limit, bins=bins)
+        return events.join(matched.select(_col(key)).distinct(), key, "left_anti")
+    left = plan.with_bins(events)
+    for number, expression in keys:
+        clauses = plan.clause_side.where(F.col("_c_path") == number)
+        on = F.expr(f"_k = _key AND {plan.holds()}")
+        left = left.withColumn("_k", F.expr(expression)).join(F.broadcast(clauses), on, "left_anti").drop("_k")
+    return left.select(*map(_col, events.columns))

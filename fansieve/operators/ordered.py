@@ -128,7 +128,7 @@ def lookup(
     spread_by: Sequence[str],
     how: str = "left",
     broadcast_limit: int = BROADCAST_BYTES,
-    salts: int = 16,
+    salts: int | None = None,
 ) -> DataFrame:
     """Join many rows to a reference table when a few keys may own most of the rows.
 
@@ -137,6 +137,7 @@ def lookup(
     """
     if table_bytes(reference) <= broadcast_limit:
         return rows.join(F.broadcast(reference), list(on), how)
+    salts = salts or max(16, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     repeated = reference.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated.hint("merge"), [*on, "_salt"], how).drop("_salt")

@@ -126,6 +126,23 @@ def match_suppliers(spark, sf_dir):
     return pairs.select("order_id", "sub_id")
 
 
+def match_supplier_alarms(spark, sf_dir):
+    """Every supplier watches one event type above its own threshold: ``value > ? and type = ? and user <> ?``."""
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
+    suppliers = table(spark, sf_dir, "supplier").join(nations, "s_nationkey").select(
+        F.col("s_suppkey").alias("sub_id"),
+        clauses_of(
+            [
+                ("value", ">", "abs(s_acctbal) / 50", "float"),
+                ("event_type", "=", "element_at(array('signup', 'purchase', 'view', 'click', 'error'), n_regionkey + 1)", "str"),
+                ("user_id", "<>", "s_suppkey", "int"),
+            ]
+        ).alias("clauses"),
+    )
+    pairs = match(events(spark, sf_dir).select("event_id", "user_id", "event_type", "value"), suppliers)
+    return pairs.groupBy("event_type").agg(F.count("*").alias("matches"), F.sum("sub_id").alias("id_sum"), F.max("event_id").alias("last_event"))
+
+
 def match_as_of(spark, sf_dir):
     """Events against the subscriptions that the control log leaves active at one moment."""
     log = valid_control(spark, sf_dir)
@@ -148,6 +165,7 @@ def queries():
         "match_order_lines": match_order_lines,
         "match_price_bands": match_price_bands,
         "match_suppliers": match_suppliers,
+        "match_supplier_alarms": match_supplier_alarms,
         "match_as_of": match_as_of,
     }
 
@@ -178,6 +196,12 @@ def oracle_sql():
             SELECT order_id, s_suppkey AS sub_id FROM ({ORDER_EVENTS}) e JOIN supplier s ON
               (list_has_any(suppliers, [s_suppkey, s_suppkey + 1]) AND NOT list_has_any(numbers, [7]) AND revenue >= 100000)
               OR (list_has_all(suppliers, [s_suppkey, s_suppkey + 2]) AND list_has_any(flags, ['R']))""",
+        "match_supplier_alarms": f"""
+            SELECT e.event_type, count(*) AS matches, CAST(sum(s_suppkey) AS bigint) AS id_sum, max(e.event_id) AS last_event
+            FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN ({EVENTS}) e
+              ON e.event_type = list_extract(['signup', 'purchase', 'view', 'click', 'error'], n_regionkey + 1)
+             AND e.value > abs(s_acctbal) / 50 AND e.user_id <> s_suppkey
+            GROUP BY e.event_type""",
         "match_as_of": f"""
             WITH subscribed AS (SELECT DISTINCT expression, threshold, other_user FROM ({CONTROL_SQL}) c WHERE attribute = 'value'),
                  active AS ({ACTIVE})

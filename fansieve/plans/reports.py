@@ -118,7 +118,7 @@ def stream_counts(spark, sf_dir):
     counted = window_counts(
         _event_stream(spark, sf_dir),
         [F.count("*").alias("received"), F.count_if(F.col("event_type") == "error").alias("errors")],
-        every="1 day",
+        every="1 hour",
     )
     writer = counted.writeStream.outputMode("update").option("checkpointLocation", f"{base}/checkpoint")
     writer = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{base}/out/batch={n}"))
@@ -220,5 +220,5 @@ def oracle_sql():
         "stream_route": f"""
             SELECT concat('{PREFIX}.', m.sub_id) AS topic, count(*) AS records, max(m.event_id) AS last_event FROM ({MATCH_ALL}) m GROUP BY m.sub_id""",
         "stream_counts": """
-            SELECT date_trunc('day', ts) AS window_start, count(*) AS received, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY 1""",
+            SELECT date_trunc('hour', ts) AS window_start, count(*) AS received, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY 1""",
     }

@@ -127,6 +127,20 @@ def test_shapes_of_the_result(case):
     assert pairs(match(events, active_only(subscriptions, active))) == {(e, s) for e, s in expected if s < 10}
 
 
+@pytest.mark.parametrize("options", [{}, {"bins": 1}, {"broadcast_limit": 0}], ids=str)
+def test_unmatched_without_lists(spark, case, options):
+    events, _, _ = case
+    r = random.Random(11)
+    predicates = [(attr("a") == r.randrange(30)) & (attr("g") > r.randrange(1000)) & attr("b").is_not_null() for _ in range(40)]
+    predicates += [(attr("c") > x) & (attr("c") <= x + 4) & (attr("b") != "p") for x in range(-50, 150, 10)]
+    table = spark.createDataFrame([(i, p.clauses()) for i, p in enumerate(predicates)], f"sub_id bigint, clauses {CLAUSES_TYPE.simpleString()}")
+    expected = {e for e in range(400)} - {e for e, _ in pairs(match(events, table))}
+    got = [x["event_id"] for x in unmatched(events, table, **options).collect()]
+    assert sorted(got) == sorted(expected) and expected
+    few = {x["event_id"] for x in unmatched(events, table.where("sub_id < 5")).collect()}
+    assert few == {e for e in range(400)} - {e for e, _ in pairs(match(events, table.where("sub_id < 5")))}
+
+
 def test_undecodable_events_have_no_ids(case):
     events, subscriptions, expected = case
     marked = events.withColumn("ok", F.col("event_id") >= 5)
