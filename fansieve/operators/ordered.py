@@ -18,13 +18,14 @@ from fansieve.session import BROADCAST_BYTES, durable, table_bytes
 
 PIECE = "_piece"
 ROWS_PER_PIECE = 500_000
+MAX_PIECES = 10_000
 
 _EARLIER = (Window.unboundedPreceding, -1)
 _THROUGH = (Window.unboundedPreceding, 0)
 
 
 def pieces_for(df: DataFrame) -> int:
-    return max(1, -(-df.count() // ROWS_PER_PIECE))
+    return min(MAX_PIECES, max(1, -(-df.count() // ROWS_PER_PIECE)))
 
 
 @dataclass

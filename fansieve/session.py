@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tune(spark: SparkSession) -> None:
+    """Leave whole-stage code generation for conditions so wide that the JVM would not compile them."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", 8000)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Cut a table that was read in fewer pieces than there are cores; leave larger ones as they are.
 
