@@ -43,6 +43,7 @@ _LITS = {INTEGER: "ints", STRING: "strs", INTEGER_LIST: "ints", STRING_LIST: "st
 # Access paths kept in full; clauses on rarer paths use the first attribute of theirs.
 MAX_PATHS = 24
 MAX_BINS = 32
+FEWEST_BINS = 4
 # Clauses that share their other literals before their ranges are binned.
 CROWD = 16
 # Salts for heavy access keys when the clause table is too large to broadcast.
@@ -469,10 +470,14 @@ def _paths(rows: DataFrame, facts: Facts, bins: int, broadcast_limit: int) -> tu
     # Bins cost copies of the clause, so they are for paths whose other literals leave many together.
     crowded = {r["_code"] for r in top if not r["_code"].endswith("|") and (r["_code"].startswith("|||") or r["n"] > CROWD * r["d"])}
     single = sum(r["bytes"] for r in top if r["_code"] not in crowded)
-    # A range has about `bins` keys. Fewer bins when the copies would not fit the broadcast.
+    # A range has about `bins` keys. Fewer bins if that makes the copies fit the broadcast; a clause
+    # table too large for it anyway keeps them all, as a shuffle join without bins meets every range.
     facts.bins = bins if crowded or (rare and binned) else 1
-    while facts.bins > 1 and single + (facts.bytes - single) * facts.bins > broadcast_limit:
-        facts.bins //= 2
+    fitting = facts.bins
+    while fitting > FEWEST_BINS and single + (facts.bytes - single) * fitting > broadcast_limit:
+        fitting //= 2
+    if single + (facts.bytes - single) * fitting <= broadcast_limit:
+        facts.bins = fitting
     facts.copied_bytes = single + (facts.bytes - single) * facts.bins
 
     used = {c: c if c in crowded and facts.bins > 1 else c.rpartition("|")[0] + "|" for c in (r["_code"] for r in top)}
