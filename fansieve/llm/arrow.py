@@ -103,13 +103,17 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.A
 class Words:
     """The words of several texts: which text (``doc``), their bytes (``data[start:end]``), and a 64-bit hash of each."""
 
-    def __init__(self, texts: pa.Array, split: Split):
+    def __init__(self, texts: pa.Array, split: Split, kinds: np.ndarray | None = None):
+        """``kinds`` (of each byte: 1, 2 or 0) also cuts words between a byte of kind 1 and one of kind 2."""
         raw, at = buffers(texts)
         self.n_docs, n = len(texts), len(raw)
         data = self.data = split.becomes[raw]
         inside = ~split.separates[data]
         cut = np.zeros(n + 1, bool)
         cut[at] = True
+        if kinds is not None and n:
+            kind = kinds[data]
+            cut[1:-1] |= kind[1:] * kind[:-1] == 2
         begins = inside.copy()
         begins[1:] &= ~inside[:-1] | cut[1:-1]
         ends = inside.copy()
@@ -137,6 +141,18 @@ def word_hash(*words: str) -> np.ndarray:
     return Words(pa.array(words, pa.large_string()), BY_WHITE).hash
 
 
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes in ascending order, the place of one of each, and of each hash its number among the distinct ones."""
+    if len(h) == 0:
+        return h, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(h)
+    ordered = h[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    number = np.empty(len(h), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], number
+
+
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of every run of ``size`` words; a shorter text with any word has one, of all its words."""
     h, n = words.hash, len(words.hash)

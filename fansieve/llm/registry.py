@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fansieve.llm import mixing
+from fansieve.llm import mixing, packing
 
-_MODULES = (mixing,)
+_MODULES = (mixing, packing)
 
 
 def queries():
