@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fansieve.llm import mixing, packing
+from fansieve.llm import licenses, mixing, packing
 
-_MODULES = (mixing, packing)
+_MODULES = (mixing, licenses, packing)
 
 
 def queries():
