@@ -1,10 +1,11 @@
 """License scans by an exact set-similarity join of text blocks with license templates.
 
-A block is a line, or a paragraph (lines up to an empty one). It contains a template if it has at least ``THRESHOLD`` of the template's
-distinct words. The join is exact and meets few pairs: the templates' words are ordered by how often they occur in the whole corpus,
-rarest first; a block with k of a template's n words has one of its first n - k + 1 (prefix filter), has at least k words
-(length filter), and, if the first word that it has is the i-th, at most n - i of them (positional filter). What passes is counted word by
-word. Two passes over the texts: one for the frequencies, one for the join; nothing is shuffled but the frequencies.
+A block is a line, or a paragraph (lines up to an empty one). Its tokens are its pairs of neighbouring words: notices of different
+licenses share most of their words, but not most pairs. It contains a template if it has at least ``THRESHOLD`` of the template's
+distinct tokens. The join is exact and meets few pairs of blocks and templates: the templates' tokens are ordered by how often they
+occur in the whole corpus, rarest first; a block with k of a template's n tokens has one of its first n - k + 1 (prefix filter), has at
+least k tokens (length filter), and, if the first token that it has is the i-th, at most n - i of them (positional filter). What passes is
+counted token by token. Two passes over the texts: one for the frequencies, one for the join; nothing is shuffled but the frequencies.
 
 Besides, ``PHRASES`` are found wherever their words stand consecutively.
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fansieve.llm.arrow import ALPHANUMERIC, Words, distinct, rows, slices, strings, word_hash
+from fansieve.llm.arrow import ALPHANUMERIC, Words, distinct, mix, rows, slices, strings, word_hash
 from fansieve.session import table
 
 THRESHOLD = 0.8
@@ -87,42 +88,44 @@ TEMPLATES = {
     "unlicense": ("this is free and unencumbered software released into the public domain",),
 }
 
-#: Bound on the words of all templates together; they are sent to every task.
-MOST_WORDS = 100_000
+#: Bound on the tokens of all templates together; they are sent to every task.
+MOST_TOKENS = 100_000
+
+
+def pairs(hashes: np.ndarray) -> np.ndarray:
+    """The hash of each word and the one after it."""
+    return mix(hashes[:-1] * np.uint64(0xA24BAED4963EE407) + hashes[1:])
 
 
 class Index:
-    """Templates as sets of words, their words numbered by frequency, rarest first."""
+    """Templates as sets of tokens, numbered by frequency, rarest first."""
 
     def __init__(self, templates: Mapping[str, tuple[str, ...]], frequency: Mapping[int, int], threshold: float):
         self.labels, sets = [], []
         for label, notices in templates.items():
             for notice in notices:
                 self.labels.append(label)
-                sets.append(np.unique(word_hash(*notice.split())))
+                sets.append(np.unique(pairs(word_hash(*notice.split()))))
         every = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
         often = np.array([frequency.get(int(h), 0) for h in every.view(np.int64)], np.int64)
         rank = np.empty(len(every), np.int64)
         rank[np.lexsort((every, often))] = np.arange(len(every))
         self.hashes, self.rank = every, rank  # hashes in ascending order, and the rank of each
-        self.words = [np.sort(rank[np.searchsorted(every, s)]) for s in sets]
+        self.tokens = [np.sort(rank[np.searchsorted(every, s)]) for s in sets]
         self.need = np.array([int(np.ceil(threshold * len(s) - 1e-9)) for s in sets], np.int64)
         self.size = np.array([len(s) for s in sets], np.int64)
-        pairs = [(r, t, i) for t, w in enumerate(self.words) for i, r in enumerate(w[: len(w) - self.need[t] + 1])]
-        pairs.sort()
-        self.prefix_rank = np.array([p[0] for p in pairs], np.int64)
-        self.prefix_template = np.array([p[1] for p in pairs], np.int64)
-        self.prefix_place = np.array([p[2] for p in pairs], np.int64)
+        prefixes = sorted((r, t, i) for t, w in enumerate(self.tokens) for i, r in enumerate(w[: len(w) - self.need[t] + 1]))
+        self.prefix_rank, self.prefix_template, self.prefix_place = np.array(prefixes, np.int64).reshape(-1, 3).T
 
     def ranks(self, hashes: np.ndarray) -> np.ndarray:
-        """The rank of each hash, or -1."""
+        """The rank of each token, or -1."""
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, self.rank[at], -1)
 
     def join(self, block: np.ndarray, ranks: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All (block, template, containment) of at least the threshold.
 
-        (block, rank) are the words of blocks that occur in any template; ``sizes`` is how many words each block has.
+        (block, rank) are the tokens of blocks that occur in any template; ``sizes`` is how many tokens each block has.
         """
         key = np.unique(block * len(self.hashes) + ranks)
         block, ranks = key // len(self.hashes), key % len(self.hashes)
@@ -130,7 +133,7 @@ class Index:
         times = high - low
         entry = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)
         block, template, place = np.repeat(block, times), self.prefix_template[entry], self.prefix_place[entry]
-        # The first word of a template that a block has.
+        # The first token of a template that a block has.
         order = np.lexsort((place, template, block))
         block, template, place = block[order], template[order], place[order]
         first = np.ones(len(block), bool)
@@ -141,7 +144,7 @@ class Index:
         shared = np.zeros(len(block), np.int64)
         for t in np.unique(template):
             of = np.flatnonzero(template == t)
-            wanted = block[of][:, None] * len(self.hashes) + self.words[t][None, :]
+            wanted = block[of][:, None] * len(self.hashes) + self.tokens[t][None, :]
             at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
             shared[of] = (key[at] == wanted).sum(axis=1)
         found = shared >= self.need[template]
@@ -166,29 +169,31 @@ def _line_ends(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ends, ends[1:][blanks[ends[1:]] - blanks[ends[:-1] + 1] == gap]
 
 
-def frequencies(docs: DataFrame, words: np.ndarray) -> dict[int, int]:
-    """How often each of these hashed words occurs in all texts. As many rows as words reach the driver."""
-    words = np.sort(words)
+def frequencies(docs: DataFrame, tokens: np.ndarray) -> dict[int, int]:
+    """How often each of these hashed tokens occurs in all texts. As many rows as tokens reach the driver."""
+    tokens = np.sort(tokens)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(words) + 1, np.int64)
+        n = np.zeros(len(tokens), np.int64)
         for batch in batches:
             for _, some in slices(strings(batch.column(0))):
-                h = Words(some, ALPHANUMERIC).hash
-                at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-                n[: len(words)] += np.bincount(at[words[at] == h], minlength=len(words))
+                words = Words(some, ALPHANUMERIC)
+                if len(tokens) and len(words.hash):
+                    h = pairs(words.hash)[words.doc[1:] == words.doc[:-1]]
+                    at = np.minimum(np.searchsorted(tokens, h), len(tokens) - 1)
+                    n += np.bincount(at[tokens[at] == h], minlength=len(tokens))
         there = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(words[there].view(np.int64)), pa.array(n[there])], names=["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(tokens[there].view(np.int64)), pa.array(n[there])], names=["token", "n"])
 
-    if len(words) > MOST_WORDS:
-        raise ValueError(f"the templates have {len(words)} words together; at most {MOST_WORDS} can be sent to every task")
-    counted = docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {r["word"]: r["n"] for r in counted.collect()}
+    if len(tokens) > MOST_TOKENS:
+        raise ValueError(f"the templates have {len(tokens)} tokens together; at most {MOST_TOKENS} can be sent to every task")
+    counted = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return {r["token"]: r["n"] for r in counted.collect()}
 
 
 def scan(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, phrases: Mapping[str, str] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``, as in op5; also ``blocks``, the number of blocks that contain a template."""
-    every = np.unique(word_hash(*[w for notices in templates.values() for n in notices for w in n.split()]))
+    every = np.unique(np.concatenate([np.zeros(0, np.uint64), *(pairs(word_hash(*n.split())) for notices in templates.values() for n in notices)]))
     index = Index(templates, frequencies(docs, every), threshold)
     wanted = [(word_hash(*phrase.split()), label) for phrase, label in phrases.items()]
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -218,15 +223,14 @@ def scan(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES,
                         first[d] = place if first[d] < 0 else min(first[d], place)
                         last[d] = max(last[d], place)
                 labels, score, blocks = [set(b) for b in base], np.where(n_base > 0, 1.0, 0.0), np.zeros(n, np.int64)
-                rank = index.ranks(h) if len(index.hashes) else np.full(len(h), -1)
-                of = np.flatnonzero(rank >= 0)
+                rank = index.ranks(pairs(h)) if len(index.hashes) and len(h) else np.zeros(0, np.int64)
                 lines, empty = _line_ends(words.data)
-                for block in _blocks(words, lines, empty):
-                    number = block - (block[0] if len(block) else 0)
-                    sizes = np.bincount(number)
+                for block in _blocks(words, lines, empty) if len(rank) else ():
+                    sizes = np.bincount(block) - 1  # a pair less than words
                     doc_of = np.zeros(len(sizes), np.int64)
-                    doc_of[number] = words.doc
-                    found, template, contained = index.join(number[of], rank[of], sizes)
+                    doc_of[block] = words.doc
+                    of = np.flatnonzero((rank >= 0) & (block[1:] == block[:-1]))
+                    found, template, contained = index.join(block[of], rank[of], sizes)
                     np.maximum.at(score, doc_of[found], contained)
                     blocks += np.bincount(doc_of[distinct(found.astype(np.uint64))[0].astype(np.int64)], minlength=n)
                     for d, t in zip(doc_of[found].tolist(), template.tolist(), strict=True):
