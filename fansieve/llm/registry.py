@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fansieve.llm import licenses, mixing, packing
+from fansieve.llm import language_model, licenses, mixing, packing
 
-_MODULES = (mixing, licenses, packing)
+_MODULES = (mixing, licenses, language_model, packing)
 
 
 def queries():
