@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fansieve.llm import language_model, licenses, mixing, packing
+from fansieve.llm import language_model, licenses, mixing, near_duplicates, packing
 
-_MODULES = (mixing, licenses, language_model, packing)
+_MODULES = (near_duplicates, mixing, licenses, language_model, packing)
 
 
 def queries():
