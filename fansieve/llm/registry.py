@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fansieve.llm import language_id, language_model, licenses, mixing, near_duplicates, packing
+from fansieve.llm import language_id, language_model, licenses, mixing, near_duplicates, packing, toxicity
 
-_MODULES = (near_duplicates, language_id, mixing, licenses, language_model, packing)
+_MODULES = (near_duplicates, language_id, mixing, licenses, language_model, packing, toxicity)
 
 
 def queries():
