@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fansieve.llm import edit_fingerprints, language_id, language_model, licenses, mixing, near_duplicates, packing, toxicity
+from fansieve.llm import edit_fingerprints, language_id, language_model, licenses, mixing, near_duplicates, neighbours, packing, toxicity
 
-_MODULES = (near_duplicates, edit_fingerprints, language_id, mixing, licenses, language_model, packing, toxicity)
+_MODULES = (near_duplicates, edit_fingerprints, language_id, mixing, licenses, language_model, packing, neighbours, toxicity)
 
 
 def queries():
