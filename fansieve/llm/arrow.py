@@ -181,3 +181,17 @@ def rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
         c = columns[f.name]
         made.append(c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type))
     return pa.RecordBatch.from_arrays(made, schema=schema)
+
+
+def keep_rows(docs, keep):
+    """The rows of the DataFrame ``docs`` for whose texts ``keep`` (of an array of strings) is true; all columns, whatever their names."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mask = keep(strings(pc.struct_field(batch.column("row"), "text")))
+            yield batch.filter(pa.array(mask, pa.bool_()))
+
+    kind = T.StructType([T.StructField("row", docs.schema)])
+    return docs.select(F.struct("*").alias("row")).mapInArrow(task, kind).select("row.*")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fansieve.llm.arrow import Split, Words, crc32_mod, distinct, mix, rows, slices, split_at, strings
+from fansieve.llm.arrow import Split, Words, crc32_mod, distinct, keep_rows, mix, rows, slices, split_at, strings
 from fansieve.llm.sampling import bounded_classes
 from fansieve.session import table
 
@@ -36,6 +36,8 @@ LEXICON_COUNT = 4
 #: Bytes of text that are labelled together.
 SLICE = 6 << 20
 UNKNOWN = "und"
+#: A text with less of its words in one language is of none.
+LEAST_SHARE = 0.5
 
 
 def features(words: Words, some: np.ndarray, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,14 +205,19 @@ def label_texts(field: Field, texts: pa.Array) -> tuple[list[str], np.ndarray, n
     return langs, score, size, changes
 
 
+def _fit(training: DataFrame, modulus: int, remainder: int):
+    """The field, sent to all tasks."""
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(modulus)) == remainder
+    examples = bounded_classes(training.select("doc_id", "text", "lang").where(~held_out), "lang", PER_LANGUAGE)
+    return training.sparkSession.sparkContext.broadcast(train(examples))
+
+
 def identify(docs: DataFrame, training: DataFrame, modulus: int = 3, remainder: int = 1) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``, as in op3; also ``words`` and ``switches``, changes of language between words.
 
     ``training(doc_id, text, lang)`` is what may be learned from; of it, documents with ``crc32(doc_id) % modulus = remainder`` are left out.
     """
-    spark = docs.sparkSession
-    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(modulus)) == remainder
-    field = spark.sparkContext.broadcast(train(bounded_classes(training.select("doc_id", "text", "lang").where(~held_out), "lang", PER_LANGUAGE)))
+    field = _fit(training, modulus, remainder)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,6 +235,17 @@ def identify(docs: DataFrame, training: DataFrame, modulus: int = 3, remainder:
     return docs.select("doc_id", "text").mapInArrow(task, kind)
 
 
+def with_language(docs: DataFrame, least: float = LEAST_SHARE, modulus: int = 3, remainder: int = 1) -> DataFrame:
+    """The rows of ``docs`` of which at least this share of words is in one language; learned from those of them that have one."""
+    field = _fit(docs, modulus, remainder)
+
+    def keep(texts: pa.Array) -> np.ndarray:
+        found = [label_texts(field.value, some)[:2] for _, some in slices(texts, SLICE)]
+        return np.array([lang != UNKNOWN and score >= least for langs, scores in found for lang, score in zip(langs, scores, strict=True)], bool)
+
+    return keep_rows(docs, keep)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, docs)

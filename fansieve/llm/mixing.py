@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fansieve.llm.graph import few
 from fansieve.session import durable, table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -144,9 +145,8 @@ def copies(units: DataFrame, group: int = GROUP) -> DataFrame:
     return parts.groupBy("source", "doc_id").agg(F.sum("copies").alias("copies"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """Every row of ``docs`` as ``row``, with ``size``, ``source_size``, ``target`` and ``copies``, the times that the mix has it."""
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.col("source"), words().alias("size"))
+def _decide(rows: DataFrame) -> DataFrame:
+    """``(of_source, of_doc, source_size, target, copies)`` of the units of ``rows(doc_id, source, size)``."""
     narrow = durable(rows.select("doc_id", "source", "size"))
     units = narrow.groupBy("source", "doc_id").agg(F.sum("size").alias("size"))
     sources = durable(targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size"))))
@@ -156,15 +156,25 @@ def mix(docs: DataFrame) -> DataFrame:
         copies(units).select(F.col("source").alias("of_source"), F.col("doc_id").alias("of_doc"), "copies"),
         F.col("source").eqNullSafe(F.col("of_source")) & F.col("doc_id").eqNullSafe(F.col("of_doc")),
     )
-    decided = decided.select("of_source", "of_doc", "source_size", "target", "copies")
-    same = F.col("source").eqNullSafe(F.col("of_source")) & F.col("doc_id").eqNullSafe(F.col("of_doc"))
-    return rows.join(decided, same).select("row", "size", "source_size", "target", "copies")
+    return decided.select("of_source", "of_doc", "source_size", "target", "copies")
+
+
+def _same() -> Column:
+    return F.col("source").eqNullSafe(F.col("of_source")) & F.col("doc_id").eqNullSafe(F.col("of_doc"))
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """Every row of ``docs`` as ``row``, with ``size``, ``source_size``, ``target`` and ``copies``, the times that the mix has it."""
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.col("source"), words().alias("size"))
+    return rows.join(_decide(rows), _same()).select("row", "size", "source_size", "target", "copies")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as it is taken."""
-    out = mix(docs).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"), "copies")
-    return out.select("row.*")
+    """The mix itself: the rows of ``docs``, each as often as it is taken. Whole rows are not shuffled if the decisions are few."""
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.col("source"), words().alias("size"))
+    decided = few(durable(_decide(rows).where(F.col("copies") > 0).select("of_source", "of_doc", "copies")))
+    taken = rows.select("row", "doc_id", "source").join(decided, _same())
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

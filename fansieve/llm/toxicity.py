@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fansieve.llm.arrow import Words, crc32_mod, distinct, mix, rows, slices, split_at, strings
+from fansieve.llm.arrow import Words, crc32_mod, distinct, keep_rows, mix, rows, slices, split_at, strings
 from fansieve.session import table
 
 LETTERS = split_at([*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)], lower=True)
@@ -179,21 +179,27 @@ def train(examples: list[tuple[int, str]], rate: float) -> Classifier:
     before, after = matrix(strings(pa.array([a for a, _ in pairs], pa.string()))), matrix(strings(pa.array([b for _, b in pairs], pa.string())))
     k, m = len(buckets), max(1, len(pairs))
     weight, bias, momentum, moved = np.zeros(k), 0.0, np.zeros(k), 1.0
-    # Long texts have many features: the step is that of the steepest direction, found by a few power iterations.
+
+    def swapped(w: np.ndarray) -> np.ndarray:
+        """The gradient of the penalty on changes of the score."""
+        change = np.bincount(before[0], w[before[1]], minlength=m) - np.bincount(after[0], w[after[1]], minlength=m)
+        return 2 * SWAP / m * (np.bincount(before[1], change[before[0]], minlength=k) - np.bincount(after[1], change[after[0]], minlength=k))
+
+    # The step is that of the steepest direction, found by power iterations.
     v = np.ones(k) / np.sqrt(max(1, k))
-    for _ in range(15):
-        v = np.bincount(column, np.bincount(doc, v[column], minlength=n)[doc], minlength=k) / n
+    size = 1.0
+    for _ in range(20):
+        v = 0.25 * np.bincount(column, np.bincount(doc, v[column], minlength=n)[doc], minlength=k) / n + (swapped(v) if pairs else 0.0)
         size = np.linalg.norm(v) or 1.0
         v /= size
-    step = 1 / (0.25 * size * 1.1 + 1.0 + (SWAP * 8 if pairs else 0.0))
+    step = 1 / (1.1 * size + 0.3)
     ahead, ahead_bias, old_bias = weight.copy(), 0.0, 0.0
     for _ in range(ROUNDS):
         p = _sigmoid(np.bincount(doc, ahead[column], minlength=n) + ahead_bias)
         off = (p - y) / n
         gradient = np.bincount(column, off[doc], minlength=k)
         if pairs:
-            change = np.bincount(before[0], ahead[before[1]], minlength=m) - np.bincount(after[0], ahead[after[1]], minlength=m)
-            gradient += 2 * SWAP / m * (np.bincount(before[1], change[before[0]], minlength=k) - np.bincount(after[1], change[after[0]], minlength=k))
+            gradient += swapped(ahead)
         new = ahead - step * gradient
         new = np.sign(new) * np.maximum(np.abs(new) - step * SPARSE, 0)
         bias = ahead_bias - step * off.sum()
@@ -245,6 +251,13 @@ def toxicity(docs: DataFrame, training: DataFrame, labels: DataFrame, modulus: i
     return docs.select("doc_id", "text").mapInArrow(task, f"doc_id {id_type}, held_out boolean, score double, predicted int")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2) -> DataFrame:
+    """The rows of ``docs`` whose score is below the threshold; learned from those of them that have labels."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), modulus, remainder))
+
+    return keep_rows(docs, lambda texts: _sigmoid(model.value.logits(texts)) < THRESHOLD)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity(docs, docs, table(spark, sf_dir, "labels"))
