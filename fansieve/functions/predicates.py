@@ -41,6 +41,9 @@ TEST_TYPE = T.StructType(
 )
 CLAUSES_TYPE = T.ArrayType(T.ArrayType(TEST_TYPE))
 
+# A predicate written out as more clauses than these is refused; its text can still be compiled.
+MAX_CLAUSES = 1024
+
 RANGE_OPS = (">", ">=", "<", "<=")
 LIST_OPS = ("one of", "none of", "all of")
 
@@ -105,7 +108,8 @@ class Predicate:
     def negated(self) -> Predicate:
         raise NotImplementedError
 
-    def sql(self) -> str:
+    def sql(self, values: Mapping[str, str] | None = None) -> str:
+        """Spark SQL text; ``values`` may give the text that stands for an attribute's value."""
         raise NotImplementedError
 
     def dnf(self) -> list[list[Test]]:
@@ -150,8 +154,8 @@ class Test(Predicate):
     def dnf(self) -> list[list[Test]]:
         return [[self]]
 
-    def sql(self) -> str:
-        name, op = quote_name(self.attribute), self.op
+    def sql(self, values: Mapping[str, str] | None = None) -> str:
+        name, op = (values or {}).get(self.attribute, quote_name(self.attribute)), self.op
         if op == "true":
             return name
         if op == "false":
@@ -162,11 +166,11 @@ class Test(Predicate):
             return f"(array_size({name}) {'=' if op == 'is empty' else '>'} 0)"
         if not isinstance(self.literal, list):
             return f"({name} {op} {_quote_literal(self.literal)})"
-        values = ", ".join(map(_quote_literal, self.literal))
+        listed = ", ".join(map(_quote_literal, self.literal))
         if op in ("in", "not in"):
-            return f"({name} {op.upper()} ({values}))"
+            return f"({name} {op.upper()} ({listed}))"
         cast = "bigint" if isinstance(self.literal[0], int) else "string"
-        lits = f"cast(array({values}) as array<{cast}>)"
+        lits = f"cast(array({listed}) as array<{cast}>)"
         if op == "one of":
             return f"arrays_overlap({name}, {lits})"
         if op == "none of":
@@ -207,11 +211,14 @@ class Both(Predicate):
     def negated(self) -> Predicate:
         return Either(self.left.negated(), self.right.negated())
 
-    def sql(self) -> str:
-        return f"({self.left.sql()} AND {self.right.sql()})"
+    def sql(self, values: Mapping[str, str] | None = None) -> str:
+        return f"({self.left.sql(values)} AND {self.right.sql(values)})"
 
     def dnf(self) -> list[list[Test]]:
-        return [a + b for a in self.left.dnf() for b in self.right.dnf()]
+        left, right = self.left.dnf(), self.right.dnf()
+        if len(left) * len(right) > MAX_CLAUSES:
+            raise InvalidPredicate(f"more than {MAX_CLAUSES} clauses: use a text and the compiled strategy")
+        return [a + b for a in left for b in right]
 
 
 class Either(Predicate):
@@ -221,8 +228,8 @@ class Either(Predicate):
     def negated(self) -> Predicate:
         return Both(self.left.negated(), self.right.negated())
 
-    def sql(self) -> str:
-        return f"({self.left.sql()} OR {self.right.sql()})"
+    def sql(self, values: Mapping[str, str] | None = None) -> str:
+        return f"({self.left.sql(values)} OR {self.right.sql(values)})"
 
     def dnf(self) -> list[list[Test]]:
         return self.left.dnf() + self.right.dnf()

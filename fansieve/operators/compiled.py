@@ -6,10 +6,14 @@ strategy has no such limit. It also accepts free Spark SQL texts that have no cl
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fansieve.functions.predicates import Either, Predicate, Test
+from fansieve.functions.attributes import SPARK_TYPES, attributes_of
+from fansieve.functions.predicates import Either, Predicate, Test, quote_name
 
 MAX_COMPILED = 2000
 _CHUNK = 50
@@ -27,38 +31,54 @@ def _predicate(clauses) -> Predicate:
     return out
 
 
-def any_holds(subscriptions: DataFrame) -> Column:
-    """Whether any of a few (sub_id, clauses) rows accepts the event; never NULL."""
-    rows = subscriptions.select("clauses").limit(MAX_COMPILED + 1).collect()
+def _typed(events_schema: T.StructType, attributes: Mapping[str, str]) -> dict[str, str]:
+    """Of every event column the SQL text of its value: attributes in the type that they are declared with."""
+    out = {f.name: quote_name(f.name) for f in events_schema.fields}
+    return out | {a: f"CAST({quote_name(a)} AS {SPARK_TYPES[kind].simpleString()})" for a, kind in attributes.items()}
+
+
+def any_holds(subscriptions: DataFrame, attributes: Mapping[str, str], events_schema: T.StructType) -> Column:
+    """Whether any of a few (sub_id, clauses) or (sub_id, expression) rows accepts the event; never NULL."""
+    by_clauses = "clauses" in subscriptions.columns
+    rows = subscriptions.select("clauses" if by_clauses else "expression").limit(MAX_COMPILED + 1).collect()
     if len(rows) > MAX_COMPILED:
         raise ValueError(f"more than {MAX_COMPILED} subscriptions")
-    texts = [f"coalesce({_predicate(r['clauses']).sql()}, false)" for r in rows]
+    if not by_clauses:
+        return F.expr(" OR ".join(f"coalesce(({r[0]}), false)" for r in rows) or "false")
+    typed = _typed(events_schema, attributes)
+    texts = [f"coalesce({_predicate(r['clauses']).sql(typed)}, false)" for r in rows]
     return F.expr(" OR ".join(texts) or "false")
 
 
-def match_compiled(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """Same result as ``match``. Subscriptions are (sub_id, clauses) or (sub_id, expression) rows."""
+def match_compiled(events: DataFrame, subscriptions: DataFrame, attributes: Mapping[str, str] | None = None) -> DataFrame:
+    """Same result as ``match``. Subscriptions are (sub_id, clauses) or (sub_id, expression) rows.
+
+    Clauses see the attributes in their declared types, as the join does; free texts see the event columns as they are.
+    """
     rest = [c for c in subscriptions.columns if c not in ("clauses", "expression")]
     rows = subscriptions.limit(MAX_COMPILED + 1).collect()
     if len(rows) > MAX_COMPILED:
         raise ValueError(f"more than {MAX_COMPILED} subscriptions: use the template strategy")
-    schema = subscriptions.select(*rest).schema
+    schema = subscriptions.select(*map(F.col, map(quote_name, rest))).schema
     if not rows:
         return events.sparkSession.createDataFrame([], events.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields)).schema)
     by_clauses = "clauses" in subscriptions.columns
+    typed = _typed(events.schema, attributes if attributes is not None else attributes_of(events.schema))
+    position = "_position"
+    while position in events.columns or position in rest:
+        position = "_" + position
 
     # Expressions are evaluated in chunks so that each generated method stays small.
     chunks = []
     for start in range(0, len(rows), _CHUNK):
         hits = []
         for offset, row in enumerate(rows[start : start + _CHUNK]):
-            condition = _predicate(row["clauses"]).column() if by_clauses else F.expr(row["expression"])
+            condition = F.expr(_predicate(row["clauses"]).sql(typed) if by_clauses else row["expression"])
             hits.append(F.when(condition, F.lit(start + offset)))
         chunks.append(F.array_compact(F.array(*hits)))
-    position = F.explode(F.concat(*chunks) if len(chunks) > 1 else chunks[0])
-    found = events.select("*", position.alias("_position"))
+    found = events.select("*", F.explode(F.concat(*chunks) if len(chunks) > 1 else chunks[0]).alias(position))
     # At most MAX_COMPILED rows.
     values = [tuple([i, *(r[c] for c in rest)]) for i, r in enumerate(rows)]
-    ddl = "_position int, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    ddl = f"{position} int, " + ", ".join(f"{quote_name(f.name)} {f.dataType.simpleString()}" for f in schema.fields)
     carried = events.sparkSession.createDataFrame(values, ddl)
-    return found.join(F.broadcast(carried), "_position").drop("_position")
+    return found.join(F.broadcast(carried), position).drop(position)

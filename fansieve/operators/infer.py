@@ -59,6 +59,14 @@ def infer_schema(samples: DataFrame, order: list[str], payload: str = "payload",
     )
 
 
+def rejected_samples(samples: DataFrame, payload: str = "payload") -> DataFrame:
+    """(reason, samples): how many samples say nothing of a schema, as they are no JSON or no map."""
+    rows = samples.select(F.try_parse_json(payload).alias("body"))
+    rows = rows.where("body IS NULL OR NOT startswith(schema_of_variant(body), 'OBJECT')")
+    reason = F.when(F.col("body").isNull(), "unreadable").otherwise("not a map")
+    return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("samples"))
+
+
 def schema_text(attributes: DataFrame, order: str = "attribute") -> DataFrame:
     """The ``attributes:`` block as one text. Its rows are attributes, so they are few."""
     lines = F.concat(F.lit("  - name: "), F.col("attribute"), F.lit("\n    type: "), F.col("type"), F.lit("\n"))

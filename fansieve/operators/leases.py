@@ -112,6 +112,13 @@ def lease_intervals(log: DataFrame, ttl: int) -> DataFrame:
     )
 
 
+def latest_records(store: DataFrame, order: str = "created") -> DataFrame:
+    """The current record of every key: a store keeps only the last one that was put or deleted. A record without a time is the newest."""
+    rest = [c for c in store.columns if c not in ("key", order)]
+    newest = F.max_by(F.struct(order, *rest), F.struct(F.col(order).isNull().alias("late"), order))
+    return store.groupBy("key").agg(newest.alias("_last")).select("key", *(F.col(f"_last.{c}").alias(c) for c in store.columns if c != "key"))
+
+
 def check_records(store: DataFrame) -> DataFrame:
     """Check stored lease records one by one: adds the parsed fields and ``reason`` (NULL if usable).
 

@@ -20,9 +20,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fansieve.functions.attributes import (
     FLOAT,
@@ -48,10 +51,14 @@ FEWEST_BINS = 4
 CROWD = 16
 # Salts for heavy access keys when the clause table is too large to broadcast.
 KEY_SALTS = 16
-# Up to this many clauses are cheaper as plain expressions than as a join.
+# Up to this many clauses, and bytes of them, are cheaper as plain expressions than as a join.
 FEW_CLAUSES = 30
-# Anti joins in a row before one join on the event key is the better plan.
+FEW_BYTES = 64 * 1024
+# Anti joins in a row before one join on the event's attributes is the better plan.
 MAX_ANTI_JOINS = 8
+# Mean keys per clause from which on keys and literals are tables of their own.
+MANY_KEYS = 4
+KEY_BYTES = 40
 # Earlier clauses checked by plain expressions, which stay inside generated code.
 MAX_UNROLLED = 4
 
@@ -400,6 +407,11 @@ def valid_subscriptions(subscriptions: DataFrame, attributes: Mapping[str, str])
     return subscriptions.where(invalid_reason(attributes).isNull())
 
 
+def rejected_subscriptions(subscriptions: DataFrame, attributes: Mapping[str, str]) -> DataFrame:
+    """The subscriptions that ``match`` leaves out, with the ``reason``."""
+    return subscriptions.withColumn("reason", invalid_reason(attributes)).where("reason IS NOT NULL")
+
+
 def _clause_rows(subscriptions: DataFrame, attributes: Mapping[str, str]) -> DataFrame:
     """One row per clause, with the earlier clauses of its subscription."""
     rest = [c for c in subscriptions.columns if c not in ("clauses", "expression")]
@@ -422,7 +434,8 @@ class Facts:
     earlier: int = 0
     one_of: int = 0
     bins: int = 1
-    copied_bytes: int = 0
+    key_bytes: int = 0
+    literal_bytes: int = 0
 
 
 def _literals(rows: DataFrame, attributes: Mapping[str, str]) -> Facts:
@@ -478,7 +491,6 @@ def _paths(rows: DataFrame, facts: Facts, bins: int, broadcast_limit: int) -> tu
         fitting //= 2
     if single + (facts.bytes - single) * fitting <= broadcast_limit:
         facts.bins = fitting
-    facts.copied_bytes = single + (facts.bytes - single) * facts.bins
 
     used = {c: c if c in crowded and facts.bins > 1 else c.rpartition("|")[0] + "|" for c in (r["_code"] for r in top)}
     cases = " ".join(f"WHEN '{c}' THEN '{path}'" for c, path in used.items())
@@ -502,16 +514,19 @@ class Plan:
     """The clause side of the join and the expressions that go with it."""
 
     attributes: Mapping[str, str]
+    columns: Mapping[str, str]  # of each event column its name inside the join
     facts: Facts
     rest: list[str]
     fits_broadcast: bool
     slots: Slots | None = None
     access: Access | None = None  # None: few enough clauses to be compiled
     clause_side: DataFrame | None = None
+    # The clauses' literals, one row each, if a clause has so many keys that it would be repeated too often.
+    literal_side: DataFrame | None = None
 
     def value(self, a: str) -> str:
         """An event attribute in the type that the literals have."""
-        return f"CAST({quote_name(a)} AS {SPARK_TYPES[self.attributes[a]].simpleString()})"
+        return f"CAST({self.columns[a]} AS {SPARK_TYPES[self.attributes[a]].simpleString()})"
 
     @staticmethod
     def literal(n: str) -> str:
@@ -526,7 +541,7 @@ class Plan:
         return events
 
 
-def _plan(events, subscriptions, attributes, strategy: str, broadcast_limit: int, bins: int) -> Plan | None:
+def _plan(events, columns, subscriptions, attributes, strategy: str, broadcast_limit: int, bins: int) -> Plan | None:
     """None if there is no valid clause at all."""
     rows = durable(_clause_rows(subscriptions, attributes))
     rest = [c for c in rows.columns if c not in ("_tests", "_earlier", "_bytes")]
@@ -534,17 +549,28 @@ def _plan(events, subscriptions, attributes, strategy: str, broadcast_limit: int
     if not facts.used:
         return None
     rows, facts = _paths(rows, facts, bins, broadcast_limit)
-    plan = Plan(attributes, facts, rest, facts.copied_bytes <= broadcast_limit)
-    if strategy == "auto" and facts.clauses <= FEW_CLAUSES:
+    plan = Plan(attributes, columns, facts, rest, True)
+    if strategy == "auto" and facts.clauses <= FEW_CLAUSES and facts.bytes <= FEW_BYTES:
         return plan
 
     plan.slots = Slots(attributes, facts.used, many_one_of=facts.one_of > 1)
     borders = {a: _thin(b, facts.bins + 1) for a, b in facts.borders.items()}
     plan.access = Access(plan.slots, [Path.parse(c, facts.ranked) for c in facts.codes], borders, max(2, facts.bins))
-    plan.clause_side = _clause_side(rows, rest, plan.slots, plan.access, facts.codes, many=facts.earlier > 0)
+    plan.clause_side, plan.literal_side, facts.key_bytes, facts.literal_bytes = _clause_sides(rows, rest, plan.slots, plan.access, facts.codes, many=facts.earlier > 0)
+    plan.fits_broadcast = facts.key_bytes + facts.literal_bytes <= broadcast_limit
     return plan
 
 
+def check_types(schema: T.StructType, attributes: Mapping[str, str]) -> None:
+    """Raise unless every declared attribute is a column whose values all have the declared type: an integer may be declared a float."""
+    actual = attributes_of(schema)
+    for name, kind in attributes.items():
+        if name not in actual:
+            raise ValueError(f"no event column of an attribute type: {name}")
+        if actual[name] != kind and (actual[name], kind) != (INTEGER, FLOAT):
+            raise ValueError(f"{name} is declared as {kind}, but the event column is {actual[name]}")
+
+
 def match(
     events: DataFrame,
     subscriptions: DataFrame,
@@ -564,23 +590,32 @@ def match(
     clauses.
     """
     attributes = dict(attributes or attributes_of(events.schema))
-    if strategy == "compiled":
-        return match_compiled(events, valid_subscriptions(subscriptions, attributes))
-    if strategy not in ("auto", "template"):
-        raise ValueError(f"unknown strategy: {strategy}")
+    check_types(events.schema, attributes)
     clash = set(events.columns) & (set(subscriptions.columns) - {"clauses", "expression"})
     if clash:
         raise ValueError(f"columns on both sides: {sorted(clash)}")
+    if "clauses" not in subscriptions.columns:
+        if strategy == "template":
+            raise ValueError("free texts have no clauses: use the compiled strategy")
+        return match_compiled(events, subscriptions, attributes)
+    if strategy == "compiled":
+        return match_compiled(events, valid_subscriptions(subscriptions, attributes), attributes)
+    if strategy not in ("auto", "template"):
+        raise ValueError(f"unknown strategy: {strategy}")
 
-    plan = _plan(events, subscriptions, attributes, strategy, broadcast_limit, bins)
+    columns = _names(events)
+    carried = [c for c in subscriptions.columns if c not in ("clauses", "expression")]
+    renamed = subscriptions.select("clauses", *(_col(c).alias(f"r{i}") for i, c in enumerate(carried)))
+    plan = _plan(events, columns, renamed, attributes, strategy, broadcast_limit, bins)
     if plan is None:
         rest = [f for f in subscriptions.schema.fields if f.name not in ("clauses", "expression")]
         return events.where(F.lit(False)).select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in rest))
     if plan.access is None:
-        return match_compiled(events, valid_subscriptions(subscriptions, attributes))
+        return match_compiled(events, valid_subscriptions(subscriptions, attributes), attributes)
 
-    # Event side: one row per access path, or per element of its list.
-    probing = plan.with_bins(events)
+    # Event side: one row per access path, or per element of its list. The columns inside have names of their own: e0, e1, ... for
+    # the events', r0, r1, ... for what the subscriptions carry, and names that start with "_" for what is made here.
+    probing = plan.with_bins(events.select(*(_col(c).alias(n) for c, n in columns.items())))
     names = probing.columns
     probing = (
         probing.select("*", F.expr(f"explode({plan.access.probes(plan.value)})").alias("_probe"))
@@ -594,16 +629,30 @@ def match(
         residual.append(f"NOT {_held_before(plan.slots, plan.value, plan.facts.earlier)}")
     # The path number is part of the key; as a difference it stays out of the join key, which is
     # then a single bigint.
-    on = F.expr(f"_k = _key AND _c_path - _p = 0 AND {_and(residual)}")
+    meets = ["_k = _key", "_c_path - _p = 0", *([_and(residual)] if plan.literal_side is None else [])]
+    on = F.expr(_and(meets))
     if plan.fits_broadcast:
         out = probing.join(F.broadcast(plan.clause_side), on)
     else:
-        out = _salted_join(probing, plan.clause_side, plan.access, on, key)
-    return out.select(*map(_col, events.columns), *map(_col, plan.rest))
+        out = _salted_join(probing, plan.clause_side, plan.access, on, [columns[k] for k in key])
+    if plan.literal_side is not None:
+        small = plan.facts.literal_bytes <= broadcast_limit
+        side = F.broadcast(plan.literal_side) if small else plan.literal_side.hint("merge")
+        out = out.join(side, F.expr(f"_key_no = _no AND {_and(residual)}"))
+    return out.select(*(F.col(n).alias(c) for c, n in columns.items()), *(F.col(f"r{i}").alias(c) for i, c in enumerate(carried)))
+
 
+def _names(events: DataFrame) -> dict[str, str]:
+    return {c: f"e{i}" for i, c in enumerate(events.columns)}
 
-def _clause_side(rows, rest, slots: Slots, access: Access, codes: Sequence[str], many: bool) -> DataFrame:
-    """Literals, path number and access keys of every clause that can hold at all."""
+
+def _clause_sides(rows, rest, slots: Slots, access: Access, codes: Sequence[str], many: bool) -> tuple[DataFrame, DataFrame | None, int, int]:
+    """The clause side of the join: keys and literals of every clause that can hold at all.
+
+    Returns (key rows, literal rows, bytes of the key rows, bytes of the literal rows). Clauses with few keys have their literals in
+    every key row, and no literal rows. A clause with an ``in`` or a list of a thousand literals has a thousand keys; its key rows are
+    narrow, and its literals are stored once. Sizes are counted, not estimated from the clause alone.
+    """
     literals = slots.build("_tests")
     numbers = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(codes))
     wide = rows.select(
@@ -611,6 +660,7 @@ def _clause_side(rows, rest, slots: Slots, access: Access, codes: Sequence[str],
         *(F.expr(x).alias(n) for n, x in literals.items()),
         F.expr(f"CASE _path {numbers} END").alias("_path"),
         *([F.col("_earlier")] if many else []),
+        "_bytes",
     )
     wide = wide.where("_possible")
     if many:
@@ -619,14 +669,24 @@ def _clause_side(rows, rest, slots: Slots, access: Access, codes: Sequence[str],
     for columns in access.clause_bins():
         wide = wide.select("*", *(F.expr(x).alias(n) for n, x in columns.items()))
     keys = " ".join(f"WHEN {i} THEN {access.clause_keys(i)}" for i in range(len(codes)))
-    wide = wide.select("*", F.expr(f"explode(CASE _path {keys} END)").alias("_entry"))
-    return wide.select(
+    wide = wide.select(
         *map(_col, rest),
         *(F.col(n).alias(f"_c{n}") for n in literals if n != "_possible"),
-        F.expr("_entry.p AS _c_path"),
         *([F.col("_earlier").alias("_c_earlier")] if many else []),
-        F.expr("_entry.k AS _key"),
+        "_bytes",
+        F.expr(f"CASE _path {keys} END").alias("_entries"),
     )
+    # Stored, as the sizes decide the plan and the expressions above are too long to run twice.
+    wide = durable(wide.withColumn("_no", F.monotonically_increasing_id()))
+    body = wide.drop("_entries", "_bytes", "_no")
+    n_keys = F.size("_entries").cast("long")
+    total = wide.agg(F.count("*").alias("clauses"), F.sum(n_keys).alias("keys"), F.sum("_bytes").alias("once"), F.sum(F.col("_bytes") * n_keys).alias("each"))
+    clauses, n_keys, once, each = (x or 0 for x in total.first())
+    entry = [F.expr("_entry.p AS _c_path"), F.expr("_entry.k AS _key")]
+    if n_keys <= MANY_KEYS * clauses or each <= once + KEY_BYTES * n_keys:
+        return wide.select(*map(_col, body.columns), F.explode("_entries").alias("_entry")).select(*map(_col, body.columns), *entry), None, each + KEY_BYTES * n_keys, 0
+    narrow = wide.select("_no", F.explode("_entries").alias("_entry")).select(F.col("_no").alias("_key_no"), *entry)
+    return narrow, wide.drop("_entries", "_bytes"), KEY_BYTES * n_keys, once
 
 
 def _held_before(slots: Slots, event, most: int) -> str:
@@ -667,18 +727,24 @@ def _salted_join(probing, clause_side, access: Access, on: Column, key: Sequence
 def match_ids(
     events: DataFrame, subscriptions: DataFrame, key: str = "event_id", decodable: str | None = None, **options
 ) -> DataFrame:
-    """(key, ids): the sorted ids each event matches; empty for none, NULL for undecodable events.
+    """(key, ids), a row per event: the sorted ids it matches; empty for none, NULL for undecodable events.
 
     ``decodable`` names a boolean column that is false for events that could not be decoded.
     """
+    attributes = dict(options.pop("attributes", None) or attributes_of(events.schema))
+    # Events with the same key and the same attributes match the same, so they share a group; ``_times`` counts them.
+    group = {f"g{i}": c for i, c in enumerate(dict.fromkeys([key, *attributes]))}
     usable = events.where(_col(decodable)) if decodable else events
-    pairs = match(usable, subscriptions, key=(key,), **options).select(_col(key), "sub_id")
+    usable = usable.select(*map(_col, dict.fromkeys([key, *attributes])))
+    pairs = match(usable, subscriptions, attributes, key=(key,), **options).select(*(_col(c).alias(g) for g, c in group.items()), "sub_id")
     ok = _col(decodable) if decodable else F.lit(True)
     # One more row per event keeps the unmatched ones; the list of an event is at most all ids.
-    every = events.select(_col(key), F.lit(None).cast("bigint").alias("sub_id"), ok.alias("_ok"))
-    together = pairs.withColumn("_ok", F.lit(True)).unionByName(every)
-    grouped = together.groupBy(_col(key)).agg(F.collect_list("sub_id").alias("ids"), F.min("_ok").alias("_ok"))
-    return grouped.select(_col(key), F.when(F.col("_ok"), F.sort_array("ids")).alias("ids"))
+    every = events.select(*(_col(c).alias(g) for g, c in group.items()), F.lit(None).cast("bigint").alias("sub_id"), ok.alias("_ok"), F.lit(1).alias("_one"))
+    together = pairs.withColumns({"_ok": F.lit(True), "_one": F.lit(0)}).unionByName(every)
+    grouped = together.groupBy(*group).agg(F.collect_list("sub_id").alias("ids"), F.min("_ok").alias("_ok"), F.sum("_one").alias("_times"))
+    ids = F.when(F.col("_times") > 1, F.array_distinct(F.sort_array("ids"))).otherwise(F.sort_array("ids"))
+    rows = grouped.select(F.col("g0").alias(key), F.when(F.col("_ok"), ids).alias("ids"), "_times")
+    return rows.select(_col(key), "ids", F.explode(F.array_repeat(F.lit(1), F.col("_times").cast("int"))).alias("_one")).drop("_one")
 
 
 def with_topic(subscriptions: DataFrame, output_prefix: str) -> DataFrame:
@@ -709,23 +775,33 @@ def unmatched(
     """Events that no subscription matches.
 
     With a broadcast clause table and a few access paths the events pass one anti join per path and
-    are not shuffled. List attributes have several keys per event, so these take the matched event
-    keys instead.
+    are not shuffled. List attributes have several keys per event, so these look up the matched
+    attribute values instead. ``key`` is kept for callers; events are never told apart by it.
     """
     attributes = dict(attributes or attributes_of(events.schema))
-    plan = _plan(events, subscriptions, attributes, "auto", broadcast_limit, bins)
+    check_types(events.schema, attributes)
+    columns = _names(events)
+    if "clauses" not in subscriptions.columns:
+        return events.where(~any_holds(subscriptions, attributes, events.schema))
+    plan = _plan(events, columns, subscriptions.select("clauses", "sub_id"), attributes, "auto", broadcast_limit, bins)
     if plan is None:
         return events
     if plan.access is None:
-        return events.where(~any_holds(valid_subscriptions(subscriptions, attributes)))
+        return events.where(~any_holds(valid_subscriptions(subscriptions, attributes), attributes, events.schema))
     lists = any(path.element for path in plan.access.paths)
     keys = [] if lists else plan.access.plain_keys(plan.value)
-    if not plan.fits_broadcast or lists or len(keys) > MAX_ANTI_JOINS:
-        matched = match(events, subscriptions, attributes, key=(key,), broadcast_limit=broadcast_limit, bins=bins)
-        return events.join(matched.select(_col(key)).distinct(), key, "left_anti")
-    left = plan.with_bins(events)
+    if not plan.fits_broadcast or plan.literal_side is not None or lists or len(keys) > MAX_ANTI_JOINS:
+        # Whether an event matches depends on its attributes alone, so no key is needed, which might be NULL or repeated.
+        used = [a for a in attributes if a in plan.facts.used]
+        matched = match(events.select(*map(_col, used)), subscriptions.select("sub_id", "clauses"), attributes={a: attributes[a] for a in used}, key=used, broadcast_limit=broadcast_limit, bins=bins)
+        matched = matched.select(*(_col(a).alias(f"m{i}") for i, a in enumerate(used))).distinct()
+        left = events.select(*(_col(c).alias(n) for c, n in columns.items()))
+        same = reduce(and_, (F.col(columns[a]).eqNullSafe(F.col(f"m{i}")) for i, a in enumerate(used)))
+        left = left.join(matched, same, "left_anti")
+        return left.select(*(F.col(n).alias(c) for c, n in columns.items()))
+    left = plan.with_bins(events.select(*(_col(c).alias(n) for c, n in columns.items())))
     for number, expression in keys:
         clauses = plan.clause_side.where(F.col("_c_path") == number)
         on = F.expr(f"_k = _key AND {plan.holds()}")
         left = left.withColumn("_k", F.expr(expression)).join(F.broadcast(clauses), on, "left_anti").drop("_k")
-    return left.select(*map(_col, events.columns))
+    return left.select(*(F.col(n).alias(c) for c, n in columns.items()))

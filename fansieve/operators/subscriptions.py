@@ -10,9 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException, ArithmeticException, NumberFormatException, ParseException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fansieve.functions.keys import lease_key
 from fansieve.functions.predicates import InvalidPredicate, invalid_reason
@@ -58,21 +62,38 @@ def control_log(messages: DataFrame) -> DataFrame:
 
 
 def heard(log: DataFrame) -> DataFrame:
-    """Requests that count: a subscribe request without a reply address is ignored."""
-    return log.where((F.col("op") == "unsub") | F.col("reply_to").isNotNull())
+    """Requests that count: a subscribe request without a reply address is ignored, and so is an unknown operation."""
+    return log.where((F.col("op") == "unsub") | ((F.col("op") == "sub") & F.col("reply_to").isNotNull()))
 
 
 def split_invalid(log: DataFrame, attributes: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected) requests; a rejected one has a ``reason`` and never uses up an id."""
-    checked = log.withColumn("reason", F.when(F.col("op") == "sub", invalid_reason(attributes)))
+    """(valid, rejected) requests; a rejected one has a ``reason`` and never uses up an id.
+
+    Operations other than ``sub`` and ``unsub`` are in neither.
+    """
+    checked = log.where(F.col("op").isin("sub", "unsub")).withColumn("reason", F.when(F.col("op") == "sub", invalid_reason(attributes)))
     return checked.where("reason IS NULL").drop("reason"), checked.where("reason IS NOT NULL")
 
 
 def validate_expression(schema_of: DataFrame, expression: str) -> None:
-    """Raise ``InvalidPredicate`` unless the Spark SQL text is a predicate over the events."""
+    """Raise ``InvalidPredicate`` unless the Spark SQL text is a predicate over the events.
+
+    It must be a boolean over the columns, and it must hold or not hold for an event of plain values: a literal that cannot be
+    read as its attribute's type passes the analysis and fails with the first event.
+    """
+    plain = {"string": F.lit(""), "boolean": F.lit(False)}
     try:
-        schema_of.limit(0).where(F.expr(expression)).schema  # noqa: B018 - the analysis is the check
-    except Exception as fault:  # AnalysisException and ParseException share no narrow public base
+        kind = schema_of.select(F.expr(expression).alias("holds")).schema["holds"].dataType
+        if not isinstance(kind, T.BooleanType):
+            raise InvalidPredicate(f"{expression!r} is a {kind.simpleString()}, not a predicate")
+        row = schema_of.sparkSession.range(1).select(
+            *(
+                (F.array() if isinstance(f.dataType, T.ArrayType) else plain.get(f.dataType.simpleString(), F.lit(0))).try_cast(f.dataType).alias(f.name)
+                for f in schema_of.schema.fields
+            )
+        )
+        row.select(F.expr(expression)).collect()
+    except (AnalysisException, ParseException, NumberFormatException, ArithmeticException) as fault:
         raise InvalidPredicate(str(fault).split("\n")[0]) from fault
 
 
@@ -208,43 +229,84 @@ def subscribe_replies(requests: DataFrame, rejected: DataFrame, output_prefix: s
 
 
 def unsubscribe_replies(requests: DataFrame) -> DataFrame:
-    """The reply to every unsubscribe request; an unknown subscription counts as removed."""
-    return requests.where("op = 'unsub'").select(
-        "seq", F.col("sub_id").alias("id"), (F.col("outcome") != "still_active").alias("removed")
-    )
+    """The reply to every unsubscribe request; an unknown subscription counts as removed.
+
+    A request that names an ``id`` gets it back, known or not.
+    """
+    asked = F.coalesce("id", "sub_id") if "id" in requests.columns else F.col("sub_id")
+    return requests.where("op = 'unsub'").select("seq", asked.alias("id"), (F.col("outcome") != "still_active").alias("removed"))
+
+
+def error_replies(log: DataFrame) -> DataFrame:
+    """The reply to every request of ``control_log`` that could not be read."""
+    return log.where("error IS NOT NULL").select("seq", "error")
 
 
 # --- restore ------------------------------------------------------------------------------------
 
 
+# Conflicting pairs that one task walks through in order; more are settled in rounds.
+WALKED = 100_000
+
+
 def restore_conflicts(records: DataFrame, order=("created", "key")) -> DataFrame:
     """Which lease records can be restored together: adds ``restored``.
 
-    Records bind their id to their expression in the given order; a record whose id or expression
-    is already bound otherwise is refused and binds nothing. Each round settles every pair that is
-    first among the open pairs of both its id and its expression, and then the pairs these exclude,
-    so a few rounds settle all of them without walking the records one by one.
+    Records bind their id to their expression in the given order, those without a time last; a record whose id or expression is
+    already bound otherwise is refused and binds nothing. A pair alone with its id and its expression is bound at once. The others
+    are few: up to ``WALKED`` of them are walked through one by one. More are settled in rounds, each of which settles every pair that
+    is first among the open pairs of both its id and its expression, and then the pairs these exclude.
     """
     pair = ["sub_id", "expression"]
-    open_pairs = durable(records.groupBy(*pair).agg(F.min(F.struct(*order)).alias("rank")))
-    settled: DataFrame | None = None
-    while not open_pairs.isEmpty():
+    rank = F.struct(F.col(order[0]).isNull().alias("late"), *order)
+    pairs = durable(records.groupBy(*pair).agg(F.min(rank).alias("rank")))
+    by_id = durable(pairs.groupBy("sub_id").agg(F.count("*").alias("_id_pairs")))
+    by_text = durable(pairs.groupBy("expression").agg(F.count("*").alias("_text_pairs")))
+    counted = lookup(pairs, by_id, ["sub_id"], ["expression"], "inner")
+    counted = durable(lookup(counted, by_text, ["expression"], ["sub_id"], "inner"))
+    alone = F.expr("_id_pairs = 1 AND _text_pairs = 1")
+    settled = [counted.where(alone).select(*pair)]
+    open_pairs = counted.where(~alone).select(*pair, "rank")
+    conflicts = open_pairs.limit(WALKED + 1).count()
+    if 0 < conflicts <= WALKED:
+        settled.append(_walk(open_pairs))
+    while conflicts > WALKED:
         by_id = durable(open_pairs.groupBy("sub_id").agg(F.min("rank").alias("_id_rank")))
         by_text = durable(open_pairs.groupBy("expression").agg(F.min("rank").alias("_text_rank")))
         ranked = lookup(open_pairs, by_id, ["sub_id"], ["expression"], "inner")
         ranked = lookup(ranked, by_text, ["expression"], ["sub_id"], "inner")
         ranked = durable(ranked.withColumn("_wins", F.expr("rank = _id_rank AND rank = _text_rank")))
         won = ranked.where("_wins").select(*pair)
-        settled = won if settled is None else settled.unionByName(won)
+        settled.append(won)
         left = ranked.where("NOT _wins").select(*pair, "rank")
         left = _without(left, won, "sub_id", "expression")
         open_pairs = durable(_without(left, won, "expression", "sub_id"))
-    if settled is None:
-        return records.withColumn("restored", F.lit(True))
-    bound = durable(settled.withColumn("restored", F.lit(True)))
+        conflicts = open_pairs.limit(WALKED + 1).count()
+        if 0 < conflicts <= WALKED:
+            settled.append(_walk(open_pairs))
+    bound = durable(reduce(DataFrame.unionByName, settled).withColumn("restored", F.lit(True)))
     return lookup(records, bound, pair, list(order)).fillna(False, ["restored"])
 
 
+def _walk(pairs: DataFrame) -> DataFrame:
+    """The pairs that bind, one after the other by ``rank``; for a table of a checked size."""
+    kinds = f"sub_id {pairs.schema['sub_id'].dataType.simpleString()}, expression string"
+
+    def walk(batches):
+        ids, texts, won = set(), set(), []
+        for batch in batches:
+            for i, text in zip(batch.column("sub_id").to_pylist(), batch.column("expression").to_pylist(), strict=True):
+                if i not in ids and text not in texts:
+                    ids.add(i)
+                    texts.add(text)
+                    won.append((i, text))
+        schema = pa.schema([("sub_id", batch.schema.field("sub_id").type), ("expression", pa.string())]) if won else None
+        if won:
+            yield pa.RecordBatch.from_arrays([pa.array([w[k] for w in won], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    return pairs.repartition(1).sortWithinPartitions("rank").select("sub_id", "expression").mapInArrow(walk, kinds)
+
+
 def _without(pairs: DataFrame, won: DataFrame, column: str, spread_by: str) -> DataFrame:
     taken = won.select(column, F.lit(True).alias("_taken"))
     return lookup(pairs, taken, [column], [spread_by]).where("_taken IS NULL").drop("_taken")

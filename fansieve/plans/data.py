@@ -12,8 +12,8 @@ from fansieve.session import spread, table
 
 TTL = 24 * 3600  # seconds a lease lives in the example control log
 AS_OF = "2024-01-16 12:00:00"
-PREFIX = "sensor.filtered"
-BUCKET = "sidecar-leases"
+PREFIX = "alerts.out"
+BUCKET = "holds"
 
 EVENT_ATTRIBUTES = {"user_id": "integer", "event_type": "string", "value": "float", "flag": "boolean"}
 # Undefined values: every seventh value and every fifth type are NULL.
@@ -125,9 +125,9 @@ ALERT_MATCHES = f"""
 # --- control requests ---------------------------------------------------------------------------
 
 # Clients subscribe (signup, purchase, view) or unsubscribe (error) an expression that depends on
-# the value, so that a few expressions are shared by very many clients. Clicks are no requests.
+# the value, so that a few expressions are shared by very many clients. Clicks are operations that the library does not know.
 CONTROL = """
-    SELECT ts, event_id AS seq, CASE WHEN event_type = 'error' THEN 'unsub' ELSE 'sub' END AS op,
+    SELECT ts, event_id AS seq, CASE event_type WHEN 'error' THEN 'unsub' WHEN 'click' THEN 'note' ELSE 'sub' END AS op,
            concat('client-', CAST(user_id % 20 AS {text})) AS client_id,
            CASE WHEN value >= 150 THEN concat('price > ', CAST(floor(value / 50) AS {int}))
                 ELSE concat('value > ', CAST(floor(value / 16) AS {int}), ' and user_id <> ', CAST(user_id % 9 AS {text})) END AS expression,
@@ -135,7 +135,7 @@ CONTROL = """
            CAST(floor(value / CASE WHEN value >= 150 THEN 50 ELSE 16 END) AS bigint) AS threshold,
            user_id % 9 AS other_user,
            CASE WHEN event_id % 13 <> 0 THEN concat('reply-', CAST(event_id AS {text})) END AS reply_to
-    FROM events WHERE event_type <> 'click'
+    FROM events
 """
 CONTROL_SQL = CONTROL.replace("{text}", "varchar").replace("{int}", "bigint")
 

@@ -143,6 +143,17 @@ def match_supplier_alarms(spark, sf_dir):
     return pairs.groupBy("event_type").agg(F.count("*").alias("matches"), F.sum("sub_id").alias("id_sum"), F.max("event_id").alias("last_event"))
 
 
+def match_long_lists(spark, sf_dir):
+    """Every supplier watches the users who are customers of its nation, by a list of all of them."""
+    nations = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("s_nationkey")).agg(F.sort_array(F.collect_list("c_custkey")).alias("users"))
+    suppliers = table(spark, sf_dir, "supplier").join(nations, "s_nationkey").select(
+        F.col("s_suppkey").alias("sub_id"),
+        clauses_of([("user_id", "in", "users", "ints"), ("value", ">", "abs(s_acctbal) / 100", "float")]).alias("clauses"),
+    )
+    pairs = match(events(spark, sf_dir).select("event_id", "user_id", "value"), suppliers)
+    return pairs.groupBy("sub_id").agg(F.count("*").alias("matches"), F.max("event_id").alias("last_event"))
+
+
 def match_as_of(spark, sf_dir):
     """Events against the subscriptions that the control log leaves active at one moment."""
     log = valid_control(spark, sf_dir)
@@ -166,6 +177,7 @@ def queries():
         "match_price_bands": match_price_bands,
         "match_suppliers": match_suppliers,
         "match_supplier_alarms": match_supplier_alarms,
+        "match_long_lists": match_long_lists,
         "match_as_of": match_as_of,
     }
 
@@ -202,6 +214,10 @@ def oracle_sql():
               ON e.event_type = list_extract(['signup', 'purchase', 'view', 'click', 'error'], n_regionkey + 1)
              AND e.value > abs(s_acctbal) / 50 AND e.user_id <> s_suppkey
             GROUP BY e.event_type""",
+        "match_long_lists": f"""
+            SELECT s_suppkey AS sub_id, count(*) AS matches, max(e.event_id) AS last_event
+            FROM supplier JOIN customer ON c_nationkey = s_nationkey JOIN ({EVENTS}) e ON e.user_id = c_custkey AND e.value > abs(s_acctbal) / 100
+            GROUP BY s_suppkey""",
         "match_as_of": f"""
             WITH subscribed AS (SELECT DISTINCT expression, threshold, other_user FROM ({CONTROL_SQL}) c WHERE attribute = 'value'),
                  active AS ({ACTIVE})

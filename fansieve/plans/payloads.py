@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from fansieve.functions.attributes import attribute_schema
 from fansieve.operators.decode import decode_payloads, parse_payload, skip_empty, typed_events, within_size
 from fansieve.operators.match import fan_out
 from fansieve.plans.data import EVENT_ATTRIBUTES, EVENTS, PAYLOAD_SCHEMA, PAYLOADS, PREFIX, events, payloads
@@ -26,7 +27,7 @@ def multi_subject_input(spark, sf_dir):
     """Two subjects with one attribute schema."""
     customers = table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_nationkey AS nation", "c_acctbal AS balance")
     suppliers = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", "s_nationkey AS nation", "s_acctbal AS balance")
-    return union_subjects({"customer": customers, "supplier": suppliers}).where("balance > 1000")
+    return union_subjects({"customer": customers, "supplier": suppliers})
 
 
 def skip_empty_payload(spark, sf_dir):
@@ -41,6 +42,12 @@ def decode_payload(spark, sf_dir):
     return _decoded(spark, sf_dir).select("event_id", "decodable", "value", "temperature", "active", "location")
 
 
+def decode_props(spark, sf_dir):
+    """The JSON column of the events as it is given."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("props").alias("payload"))
+    return decode_payloads(rows, attribute_schema(["k:int"])).select("event_id", "decodable", "k")
+
+
 def reject_non_map(spark, sf_dir):
     parsed = parse_payload(payloads(spark, sf_dir)).where("body IS NOT NULL")
     return parsed.select("event_id", "event_type")
@@ -111,6 +118,7 @@ def queries():
         "skip_empty_payload": skip_empty_payload,
         "oversize_reject": oversize_reject,
         "decode_payload": decode_payload,
+        "decode_props": decode_props,
         "reject_non_map": reject_non_map,
         "project_schema": project_schema,
         "extract_types": extract_types,
@@ -125,11 +133,15 @@ def oracle_sql():
     counts = ", ".join(f"count(*) FILTER (WHERE {a} IS NULL) AS undefined_{a}" for a in PAYLOAD_SCHEMA.names)
     return {
         "multi_subject_input": """
-            SELECT c_custkey AS id, c_nationkey AS nation, c_acctbal AS balance, 'customer' AS subject FROM customer WHERE c_acctbal > 1000
-            UNION ALL SELECT s_suppkey, s_nationkey, s_acctbal, 'supplier' FROM supplier WHERE s_acctbal > 1000""",
+            SELECT c_custkey AS id, c_nationkey AS nation, c_acctbal AS balance, 'customer' AS subject FROM customer
+            UNION ALL SELECT s_suppkey, s_nationkey, s_acctbal, 'supplier' FROM supplier""",
         "skip_empty_payload": f"SELECT event_id, payload FROM ({PAYLOADS}) p WHERE payload <> ''",
         "oversize_reject": f"SELECT event_id, payload FROM ({PAYLOADS}) p WHERE octet_length(encode(payload)) <= {MAX_BYTES}",
         "decode_payload": f"SELECT event_id, decodable, value, temperature, active, location FROM ({_TYPED}) t",
+        "decode_props": """
+            SELECT event_id, coalesce(json_type(j), '') = 'OBJECT' AS decodable,
+                   CASE WHEN json_type(j, '$.k') IN ('BIGINT', 'UBIGINT') THEN CAST(j->>'k' AS bigint) END AS k
+            FROM (SELECT event_id, TRY_CAST(props AS json) AS j FROM events) e""",
         "reject_non_map": f"SELECT event_id, event_type FROM ({_TYPED}) t WHERE decodable",
         "project_schema": f"""
             SELECT p.event_id, t.location, t.temperature FROM ({PAYLOADS}) p LEFT JOIN ({_TYPED}) t ON t.event_id = p.event_id""",

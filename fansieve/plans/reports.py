@@ -10,7 +10,7 @@ from fansieve.functions.attributes import attributes_of
 from fansieve.functions.predicates import clauses_of
 from fansieve.operators import stats
 from fansieve.operators.decode import decode_payloads
-from fansieve.operators.infer import catalog_schema, infer_schema, schema_text
+from fansieve.operators.infer import catalog_schema, infer_schema, rejected_samples, schema_text
 from fansieve.operators.match import match
 from fansieve.operators.ordered import lay_out
 from fansieve.plans.data import EVENT_ATTRIBUTES, EVENT_COLUMNS, PAYLOAD_SCHEMA, PAYLOADS, PREFIX, payloads
@@ -64,8 +64,12 @@ def stats_by_window(spark, sf_dir):
 
 
 def infer_schema_query(spark, sf_dir):
-    samples = payloads(spark, sf_dir).where("startswith(payload, '{') AND endswith(payload, '}')").select("event_id", "payload")
-    return infer_schema(samples, ["event_id"])
+    """From all payloads; those that are no map are left out here and counted by ``schema_sample_rejects``."""
+    return infer_schema(payloads(spark, sf_dir).select("event_id", "payload"), ["event_id"], strict=False)
+
+
+def schema_sample_rejects(spark, sf_dir):
+    return rejected_samples(payloads(spark, sf_dir).select("event_id", "payload"))
 
 
 def schema_text_query(spark, sf_dir):
@@ -133,6 +137,7 @@ def queries():
         "match_stats": match_stats,
         "stats_by_window": stats_by_window,
         "infer_schema": infer_schema_query,
+        "schema_sample_rejects": schema_sample_rejects,
         "schema_text": schema_text_query,
         "catalog_schema": catalog_schema_query,
         "stream_route": stream_route,
@@ -156,7 +161,7 @@ _COUNTED = f"""
     FROM (SELECT *, octet_length(encode(payload)) > {MAX_BYTES} AS big FROM ({PAYLOADS}) q) p
     LEFT JOIN (SELECT event_id, count(*) AS n FROM ({_PAIRS}) m GROUP BY event_id) m ON m.event_id = p.event_id
 """
-_SAMPLES = f"SELECT event_id, CAST(payload AS json) AS j FROM ({PAYLOADS}) p WHERE payload LIKE '{{%}}'"
+_SAMPLES = f"SELECT event_id, j FROM (SELECT event_id, TRY_CAST(payload AS json) AS j FROM ({PAYLOADS}) p) t WHERE coalesce(json_type(j), '') = 'OBJECT'"
 _KEYS = f"""
     SELECT event_id, key AS attribute, json_extract(j, concat('$.', key)) AS v FROM (SELECT event_id, j, unnest(json_keys(j)) AS key FROM ({_SAMPLES}) s) k
 """
@@ -213,6 +218,9 @@ def oracle_sql():
             SELECT *, CAST(sum(published) OVER (ORDER BY hour) AS bigint) AS published_so_far
             FROM (SELECT date_trunc('hour', ts) AS hour, {sums} FROM ({_COUNTED}) c GROUP BY 1) h""",
         "infer_schema": _INFERRED,
+        "schema_sample_rejects": f"""
+            SELECT CASE WHEN j IS NULL THEN 'unreadable' ELSE 'not a map' END AS reason, count(*) AS samples
+            FROM (SELECT TRY_CAST(payload AS json) AS j FROM ({PAYLOADS}) p) t WHERE coalesce(json_type(j), '') <> 'OBJECT' GROUP BY 1""",
         "schema_text": f"""
             SELECT concat('attributes:', chr(10), string_agg(concat('  - name: ', attribute, chr(10), '    type: ', type, chr(10)), '' ORDER BY attribute)) AS text
             FROM ({_INFERRED}) i""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fansieve.functions.keys import key_matches, lease_key, parse_lease_key
+from fansieve.functions.predicates import clauses_of, invalid_reason
 from fansieve.operators import leases, subscriptions
 from fansieve.operators.leases import LEASE
 from fansieve.operators.ordered import lookup
@@ -19,7 +20,7 @@ def valid_control(spark, sf_dir):
 
 # --- the same log and its history for the check -------------------------------------------------
 
-VALID = f"SELECT * FROM ({CONTROL_SQL}) c WHERE attribute = 'value' OR op = 'unsub'"
+VALID = f"SELECT * FROM ({CONTROL_SQL}) c WHERE (attribute = 'value' AND op = 'sub') OR op = 'unsub'"
 
 
 def _history(log: str) -> str:
@@ -197,7 +198,8 @@ _STORE = """
                   ', "client_id": "c', CAST(CASE WHEN event_type = 'purchase' AND value < 15 THEN 99 ELSE event_id % 17 END AS {text}),
                   '", "expression": "', CASE WHEN event_type = 'purchase' AND value > 90 THEN 'price' ELSE 'value' END, ' > ',
                   CAST(CASE WHEN value < 45 THEN user_id ELSE CAST(floor(value) AS {int}) END AS {text}), '"}') AS value,
-           event_id AS created
+           event_id AS created, CASE WHEN event_type = 'purchase' AND value > 90 THEN 'price' ELSE 'value' END AS attribute,
+           CASE WHEN value < 45 THEN user_id ELSE CAST(floor(value) AS {int}) END AS threshold
     FROM events
 """
 
@@ -207,9 +209,12 @@ def _store(spark, sf_dir):
 
 
 def _checked(spark, sf_dir):
-    checked = leases.check_records(_store(spark, sf_dir))
-    unknown = F.col("reason").isNull() & ~F.col("expression").startswith("value")
-    return checked.withColumn("reason", F.when(unknown, "invalid expression").otherwise(F.col("reason")))
+    """The current record of every key, with what is wrong with it: the record, or its predicate by the attribute schema."""
+    latest = leases.latest_records(_store(spark, sf_dir))
+    watched = F.when(F.col("attribute") == "price", clauses_of([("price", ">", "threshold", "float")])).otherwise(clauses_of([("value", ">", "threshold", "float")]))
+    checked = leases.check_records(latest).withColumn("clauses", watched)
+    wrong = F.col("reason").isNull() & invalid_reason(EVENT_ATTRIBUTES).isNotNull()
+    return checked.withColumn("reason", F.when(wrong, "invalid expression").otherwise(F.col("reason"))).drop("clauses")
 
 
 def restore_conflicts(spark, sf_dir):
@@ -228,7 +233,8 @@ def restore_validate(spark, sf_dir):
 # Records one after the other, with what is bound so far.
 _DECIDED = f"""
     WITH RECURSIVE store AS ({_STORE.replace("{text}", "varchar").replace("{int}", "bigint")}),
-    parsed AS (SELECT *, CAST(value AS json) AS j, regexp_matches(key, '^[0-9]+\\..+') AS key_ok FROM store),
+    latest AS (SELECT * FROM store QUALIFY row_number() OVER (PARTITION BY key ORDER BY created DESC) = 1),
+    parsed AS (SELECT *, CAST(value AS json) AS j, regexp_matches(key, '^[0-9]+\\..+') AS key_ok FROM latest),
     checked AS (
       SELECT created, key, CAST(j->>'subscription_id' AS bigint) AS sub_id, j->>'expression' AS expression,
              CASE WHEN NOT key_ok THEN 'bad key' WHEN op <> 'put' THEN 'tombstone'
@@ -291,7 +297,7 @@ def queries():
 
 
 def oracle_sql():
-    heard = f"SELECT * FROM ({CONTROL_SQL}) c WHERE op = 'unsub' OR reply_to IS NOT NULL"
+    heard = f"SELECT * FROM ({CONTROL_SQL}) c WHERE op = 'unsub' OR (op = 'sub' AND reply_to IS NOT NULL)"
     heard_valid = f"SELECT * FROM ({heard}) c WHERE attribute = 'value' OR op = 'unsub'"
     return {
         "control_log": f"""

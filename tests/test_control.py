@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from fansieve.operators import ordered, subscriptions
-from fansieve.operators.leases import check_records, current_leases, lease_intervals, lease_status, live_leases, reconcile
+from fansieve.operators.leases import check_records, current_leases, latest_records, lease_intervals, lease_status, live_leases, reconcile
 
 TTL = 100
 START = datetime(2024, 1, 1)
@@ -211,3 +211,31 @@ def test_deduplicate_and_remove(spark):
     ids = spark.createDataFrame([(2,), (3,), (3,)], "sub_id bigint")
     assert [r["sub_id"] for r in subscriptions.force_remove(active, ids).collect()] == [1]
     assert {tuple(r) for r in subscriptions.force_remove_results(active, ids).collect()} == {(2, True), (3, False)}
+
+
+def test_a_long_chain_of_conflicts_and_records_without_a_time(spark):
+    links = [(f"{i // 2 + i % 2}.c", i // 2 + i % 2, f"value > {i // 2}", i) for i in range(240)]
+    alone = [(f"{k}.x", k, f"other {k}", None) for k in range(1000, 1010)]
+    late = [("2000.a", 2000, "late", None), ("2000.b", 2000, "early", 5)]
+    df = spark.createDataFrame([(k, s, e, c) for k, s, e, c in links + alone + late], "key string, sub_id bigint, expression string, created bigint")
+    ids, texts = {}, {}
+    for _, s, e, c in sorted(links + alone + late, key=lambda x: (x[3] is None, x[3] or 0, x[0])):
+        if ids.get(s, e) == e and texts.get(e, s) == s:
+            ids[s], texts[e] = e, s
+    want = {(s, e): ids.get(s) == e for _, s, e, _ in links + alone + late}
+    got = {(x["sub_id"], x["expression"]): x["restored"] for x in subscriptions.restore_conflicts(df).collect()}
+    assert got == want and got[(2000, "early")] and not got[(2000, "late")]
+
+
+def test_only_the_last_record_of_a_key_counts(spark):
+    rows = [("1.a", "put", "x", 1), ("1.a", "del", None, 3), ("2.b", "put", "y", 2), ("2.b", "put", "z", None)]
+    df = spark.createDataFrame(rows, "key string, op string, value string, created bigint")
+    assert {tuple(x) for x in latest_records(df).collect()} == {("1.a", "del", None, 3), ("2.b", "put", "z", None)}
+
+
+def test_replies_name_what_was_asked_for(spark):
+    rows = [(1, "unsub", 7, None, "not_found"), (2, "unsub", 3, 3, "still_active"), (3, "sub", None, 4, None)]
+    df = spark.createDataFrame(rows, "seq bigint, op string, id bigint, sub_id bigint, outcome string")
+    assert {tuple(x) for x in subscriptions.unsubscribe_replies(df).collect()} == {(1, 7, True), (2, 3, False)}
+    messages = spark.createDataFrame([(1, "sub", "{"), (2, "sub", '{"expression": "a = 1", "client_id": "c"}')], "seq bigint, op string, payload string")
+    assert [tuple(x) for x in subscriptions.error_replies(subscriptions.control_log(messages)).collect()] == [(1, "Bad request: not JSON")]

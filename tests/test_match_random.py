@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fansieve.functions.predicates import CLAUSES_TYPE, attr
+from fansieve.functions.predicates import CLAUSES_TYPE, InvalidPredicate, attr
 from fansieve.operators import match as match_module
 from fansieve.operators.match import active_only, fan_out, match, match_ids, unmatched
 
@@ -164,3 +164,95 @@ def test_arguments(case):
         match(events, subscriptions.withColumn("a", F.lit(1)))
     with pytest.raises(ValueError):
         fan_out(events, subscriptions, "")
+
+
+def table_of(spark, predicates):
+    return spark.createDataFrame([(i, p.clauses()) for i, p in enumerate(predicates)], f"sub_id bigint, clauses {CLAUSES_TYPE.simpleString()}")
+
+
+WAYS = [{"strategy": "template"}, {"strategy": "template", "broadcast_limit": 0}, {"strategy": "compiled"}, {}]
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_limit": 30_000}, {"broadcast_limit": 0}], ids=str)
+def test_long_lists_have_their_literals_once(spark, case, options, monkeypatch):
+    events, _, _ = case
+    r = random.Random(3)
+    predicates = [attr("g").isin(*r.sample(range(1000), 300)) & (attr("a") > r.randrange(30)) for _ in range(40)]
+    predicates += [attr("e").one_of(*r.sample(range(200), 100)) & attr("g").isin(*r.sample(range(1000), 500)) for _ in range(10)]
+    plans = []
+    made = match_module._plan
+    monkeypatch.setattr(match_module, "_plan", lambda *a: plans.append(made(*a)) or plans[-1])
+    hits = events.select("event_id", F.array(*(F.coalesce(p.column(), F.lit(False)) for p in predicates)).alias("m")).collect()
+    expected = {(row["event_id"], i) for row in hits for i, m in enumerate(row["m"]) if m}
+    assert pairs(match(events, table_of(spark, predicates), **options)) == expected and expected
+    (plan,) = plans
+    facts, keys = plan.facts, plan.clause_side.count()
+    assert plan.literal_side.count() == 50
+    # The decision rests on the sizes that there are: 17,000 narrow key rows and 50 rows with some hundred literals each.
+    assert facts.key_bytes == keys * match_module.KEY_BYTES and 16_000 < keys < 18_000
+    held = 8 * sum(len(t.literal) for p in predicates for c in p.dnf() for t in c if isinstance(t.literal, list))
+    assert held / 2 < facts.literal_bytes < 6 * held
+    assert plan.fits_broadcast == (not options)
+
+
+@pytest.mark.parametrize("options", WAYS, ids=str)
+def test_columns_may_have_any_name(spark, options):
+    names = ["_k", "_p", "_s", "_v", "_probe", "_key", "e0", "r0", "_position", "_a0", "a b"]
+    events = spark.createDataFrame([(1, *range(5, 16)), (2, *[0] * 11)], "event_id bigint, " + ", ".join(f"`{n}` bigint" for n in names))
+    predicates = [attr(n) == 5 + i for i, n in enumerate(names)] + [attr("_k") > 100 + k for k in range(30)]
+    subscriptions = table_of(spark, predicates).withColumn("_c", F.col("sub_id"))
+    found = match(events, subscriptions, **options)
+    assert found.columns == [*events.columns, "sub_id", "_c"]
+    assert sorted((x["event_id"], x["sub_id"], x["_c"], x["_k"]) for x in found.collect()) == [(1, i, i, 5) for i in range(len(names))]
+
+
+@pytest.mark.parametrize("options", WAYS, ids=str)
+def test_declared_types_mean_the_same_in_every_strategy(spark, options):
+    events = spark.createDataFrame([(1, 12, 12.7), (2, 13, 12.0)], "event_id bigint, n int, x double")
+    events = events.withColumn("amount", F.col("x").cast("decimal(10,2)"))
+    declared = {"n": "float", "x": "float", "amount": "float"}
+    predicates = [attr("n") == 12.0, attr("x") == 12, attr("amount") > 12.5, attr("n") > 12.5]
+    found = match(events, table_of(spark, predicates), declared, **options)
+    assert pairs(found) == {(1, 0), (2, 1), (1, 2), (2, 3)}
+    for wrong in ({"x": "integer"}, {"n": "string"}, {"nope": "integer"}):
+        with pytest.raises(ValueError):
+            match(events, table_of(spark, predicates), wrong, **options)
+
+
+@pytest.mark.parametrize("limits", [(30, 8, 1 << 28), (0, 8, 1 << 28), (0, 0, 1 << 28), (0, 8, 0)], ids=str)
+def test_keys_that_are_null_or_repeated(spark, monkeypatch, limits):
+    few, anti_joins, limit = limits
+    monkeypatch.setattr(match_module, "FEW_CLAUSES", few)
+    monkeypatch.setattr(match_module, "MAX_ANTI_JOINS", anti_joins)
+    rows = [(None, "a"), (7, "a"), (7, "b"), (8, "c"), (None, "b"), (8, "c"), (9, None)]
+    events = spark.createDataFrame(rows, "event_id bigint, kind string")
+    subscriptions = table_of(spark, [attr("kind") == "a", attr("kind").isin("a", "d")])
+    left = [tuple(x) for x in unmatched(events, subscriptions, broadcast_limit=limit).collect()]
+    assert sorted(left, key=str) == sorted([(7, "b"), (8, "c"), (None, "b"), (8, "c"), (9, None)], key=str)
+    ids = [(x["event_id"], x["ids"]) for x in match_ids(events, subscriptions, broadcast_limit=limit).collect()]
+    assert sorted(ids, key=str) == sorted([(None, [0, 1]), (7, [0, 1]), (7, []), (8, []), (None, []), (8, []), (9, [])], key=str)
+
+
+def test_texts(spark, case):
+    events, _, _ = case
+    texts = spark.createDataFrame([(1, "a > 20 and b like 'p%'"), (2, "size(e) = 2")], "sub_id bigint, expression string")
+    want = {(x[0], s) for s, t in ((1, "a > 20 and b like 'p%'"), (2, "size(e) = 2")) for x in events.where(t).select("event_id").collect()}
+    assert pairs(match(events, texts)) == pairs(match(events, texts, strategy="compiled")) == want
+    assert {x["event_id"] for x in unmatched(events, texts).collect()} == set(range(400)) - {e for e, _ in want}
+    with pytest.raises(ValueError):
+        match(events, texts, strategy="template")
+
+
+def test_rejects_are_returned(spark):
+    subscriptions = table_of(spark, [attr("a") == 1, attr("nope") == 1, attr("b") > 2])
+    rejects = match_module.rejected_subscriptions(subscriptions, {"a": "integer", "b": "string"})
+    assert {x["sub_id"]: x["reason"] for x in rejects.collect()}.keys() == {1, 2}
+
+
+def test_a_normal_form_has_a_limit():
+    predicate = (attr("a") == 0) | (attr("b") == 0)
+    for i in range(1, 20):
+        predicate = predicate & ((attr("a") == i) | (attr("b") == i))
+    with pytest.raises(InvalidPredicate):
+        predicate.clauses()
+    assert " OR " in predicate.sql()
