@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -676,12 +676,12 @@ def _clause_sides(rows, rest, slots: Slots, access: Access, codes: Sequence[str]
         "_bytes",
         F.expr(f"CASE _path {keys} END").alias("_entries"),
     )
-    # Stored, as the sizes decide the plan and the expressions above are too long to run twice.
-    wide = durable(wide.withColumn("_no", F.monotonically_increasing_id()))
+    # Stored, as the sizes decide the plan and the expressions above are too long to run twice; counted while it is written.
+    n_keys, sizes = F.size("_entries").cast("long"), Observation()
+    counted = (F.count(F.lit(1)).alias("clauses"), F.sum(n_keys).alias("keys"), F.sum("_bytes").alias("once"), F.sum(F.col("_bytes") * n_keys).alias("each"))
+    wide = durable(wide.withColumn("_no", F.monotonically_increasing_id()).observe(sizes, *counted))
+    clauses, n_keys, once, each = (sizes.get[c] or 0 for c in ("clauses", "keys", "once", "each"))
     body = wide.drop("_entries", "_bytes", "_no")
-    n_keys = F.size("_entries").cast("long")
-    total = wide.agg(F.count("*").alias("clauses"), F.sum(n_keys).alias("keys"), F.sum("_bytes").alias("once"), F.sum(F.col("_bytes") * n_keys).alias("each"))
-    clauses, n_keys, once, each = (x or 0 for x in total.first())
     entry = [F.expr("_entry.p AS _c_path"), F.expr("_entry.k AS _key")]
     if n_keys <= MANY_KEYS * clauses or each <= once + KEY_BYTES * n_keys:
         return wide.select(*map(_col, body.columns), F.explode("_entries").alias("_entry")).select(*map(_col, body.columns), *entry), None, each + KEY_BYTES * n_keys, 0
