@@ -11,25 +11,24 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are worked on in slices of about so many bytes, which bounds a worker's memory; one longer text is a slice alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes whose words are hashed at a time.
+HASHED_BYTES = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POWERS: list[np.ndarray] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(n: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least n of each."""
-    size = 1 << max(16, (n - 1).bit_length())
-    if size not in _POWERS:
-        table = []
-        for base in (_BASE, _INVERSE):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            table.append(np.cumprod(p, dtype=np.uint64))
-        _POWERS.clear()
-        _POWERS[size] = tuple(table)
-    return _POWERS[size]
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = 1 << max(16, (int(n) - 1).bit_length())
+        tables = [np.full(size, base, np.uint64) for base in (_BASE, _INVERSE)]
+        for t in tables:
+            t[0] = 1
+        _POWERS[:] = [np.cumprod(t, dtype=np.uint64) for t in tables]
+    return _POWERS
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -120,10 +119,15 @@ class Words:
         ends[:-1] &= ~inside[1:] | cut[1:-1]
         self.start = np.flatnonzero(begins)
         self.end = np.flatnonzero(ends) + 1
-        power, inverse = _powers(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-        h = (total[self.end] - total[self.start]) * inverse[self.start]
+        h = np.empty(len(self.start), np.uint64)
+        # Some words at a time, as each byte takes eight here.
+        cuts = np.unique(np.append(np.searchsorted(self.start, np.arange(0, n, HASHED_BYTES)), len(h)))
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            low, high = self.start[i], self.end[j - 1]
+            power, inverse = _powers(high - low + 1)
+            total = np.zeros(high - low + 1, np.uint64)
+            np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * power[: high - low], out=total[1:])
+            h[i:j] = (total[self.end[i:j] - low] - total[self.start[i:j] - low]) * inverse[self.start[i:j] - low]
         self.hash = mix(h + (self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         self.first = np.searchsorted(self.start, at)  # of each text, its first word; one more entry for the end
         self.doc = np.repeat(np.arange(self.n_docs), np.diff(self.first))
@@ -183,15 +187,14 @@ def rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(made, schema=schema)
 
 
-def keep_rows(docs, keep):
-    """The rows of the DataFrame ``docs`` for whose texts ``keep`` (of an array of strings) is true; all columns, whatever their names."""
+def keep_rows(docs, keep, most: int = SLICE_BYTES):
+    """The rows of the DataFrame ``docs`` for whose texts ``keep`` (of an array of strings) is true. Only texts reach Python."""
     from pyspark.sql import functions as F
-    from pyspark.sql import types as T
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            mask = keep(strings(pc.struct_field(batch.column("row"), "text")))
-            yield batch.filter(pa.array(mask, pa.bool_()))
+    @F.arrow_udf("boolean")
+    def kept(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for some in texts:
+            parts = [np.asarray(keep(part), bool) for _, part in slices(strings(some), most)]
+            yield pa.array(np.concatenate([np.zeros(0, bool), *parts]), pa.bool_())
 
-    kind = T.StructType([T.StructField("row", docs.schema)])
-    return docs.select(F.struct("*").alias("row")).mapInArrow(task, kind).select("row.*")
+    return docs.where(kept(F.col("text")))

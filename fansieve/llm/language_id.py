@@ -33,8 +33,8 @@ NGRAMS, AFFIXES = (2, 3, 4), (1, 2, 3)
 PER_LANGUAGE, MOST_WORDS, PIECE, SEQUENCE, AT_ONCE, PASSES, STEP, RIDGE = 250, 300_000, 25, 128, 64, 3, 0.05, 1e-5
 #: A word is in the lexicon if it occurs so often in the training words.
 LEXICON_COUNT = 4
-#: Bytes of text that are labelled together.
-SLICE = 6 << 20
+#: Bytes of text that are labelled together, and distinct words whose features are held at a time.
+SLICE, WORDS_AT_ONCE = 3 << 20, 1 << 14
 UNKNOWN = "und"
 #: A text with less of its words in one language is of none.
 LEAST_SHARE = 0.5
@@ -107,7 +107,8 @@ def marginals(evidence: np.ndarray, word: np.ndarray, first: np.ndarray, size: n
         out[at] *= b
         b = (evidence[word[at]] * b) @ move.T
         b /= b.sum(axis=1, keepdims=True)
-    return out / out.sum(axis=1, keepdims=True)
+    out /= out.sum(axis=1, keepdims=True)
+    return out
 
 
 def train(examples: list[tuple[str, str]], seed: int = 3) -> Field:
@@ -185,7 +186,8 @@ def label_texts(field: Field, texts: pa.Array) -> tuple[list[str], np.ndarray, n
     n, changes = len(field.labels), np.zeros(len(texts), np.int64)
     share = np.zeros((len(texts), n))
     if n and len(number):
-        evidence = field.evidence(*features(words, where, field.lexicon), len(where))
+        some = [where[k : k + WORDS_AT_ONCE] for k in range(0, len(where), WORDS_AT_ONCE)]
+        evidence = np.concatenate([field.evidence(*features(words, w, field.lexicon), len(w)) for w in some])
         p = marginals(evidence, number, words.first[:-1][order], size[order], *field.moves())
         best = p.argmax(axis=1)
         changes = np.bincount(words.doc[1:][(best[1:] != best[:-1]) & (words.doc[1:] == words.doc[:-1])], minlength=len(texts))
@@ -240,10 +242,10 @@ def with_language(docs: DataFrame, least: float = LEAST_SHARE, modulus: int = 3,
     field = _fit(docs, modulus, remainder)
 
     def keep(texts: pa.Array) -> np.ndarray:
-        found = [label_texts(field.value, some)[:2] for _, some in slices(texts, SLICE)]
-        return np.array([lang != UNKNOWN and score >= least for langs, scores in found for lang, score in zip(langs, scores, strict=True)], bool)
+        langs, score, _, _ = label_texts(field.value, texts)
+        return (np.array(langs) != UNKNOWN) & (score >= least)
 
-    return keep_rows(docs, keep)
+    return keep_rows(docs, keep, SLICE)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ CHUNK = 1 << 20
 #: Tasks whose leftovers are packed together.
 TAILS = 64
 #: Words whose tokens a worker remembers; beyond, it forgets all and starts anew. Words that are sent to the tokenizer at a time.
-REMEMBERED, AT_ONCE = 1_500_000, 20_000
+REMEMBERED, AT_ONCE = 500_000, 20_000
 
 #: 1 for letters, 2 for marks that neither begin a contraction nor occur in a special token.
 MARKS = b".,!?;:$%&*#()"
