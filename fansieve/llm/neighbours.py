@@ -3,7 +3,8 @@
 A table hashes a vector of length 1 by ``HASHES`` numbers floor((a . v + b) / width), a normally distributed, which near vectors share often. A
 query visits its own bucket in every table, then the buckets that differ by one step up or down in some of the numbers, in the
 order of the estimated chance that a near vector fell there: near the query's own borders first. The members of all visited buckets
-are candidates, and candidates are ranked by their exact cosine.
+are candidates, and candidates are ranked by their exact cosine. A query that finds fewer than asked for, though there are more vectors of its
+length (an outlier, a member of a small group, a small table), is answered once more, by the exact cosines of all of them.
 
 Equal vectors are searched and indexed once, with as many of their ids as a result can need; so copies, however many, fill no bucket. The
 index is dealt into slices of about ``SLICE`` vectors and the queries into blocks; each slice is hashed in the task that holds it and
@@ -93,11 +94,18 @@ def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.einsum("ij,j->i", x, q) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * math.sqrt(np.einsum("i,i->", q, q)))
 
 
-def nearest(index: np.ndarray, ids: list[list[int]], queries: np.ndarray, most: int, tables: Tables) -> list[list[tuple[float, int]]]:
-    """For each query the ``most`` best (score, id) among its candidates in the index; each vector of the index has some ids."""
+def nearest(index: np.ndarray, ids: list[list[int]], queries: np.ndarray, most: int, tables: Tables | None) -> list[list[tuple[float, int]]]:
+    """For each query the ``most`` best (score, id) among its candidates in the index, without ``tables`` among all of it; each vector of the
+    index has some ids."""
     found = np.zeros((len(queries), len(index)), bool)
     unit, asked = units(index), units(queries)
-    for t in range(len(tables.a)):
+    if tables is None:
+        for begin in range(0, len(queries), 256):
+            about = asked[begin : begin + 256] @ unit.T
+            limit = np.partition(about, -min(most, len(index)), axis=1)[:, -min(most, len(index))]
+            # The last digits of a product may differ from those of ``cosines``.
+            found[begin : begin + 256] = about >= limit[:, None] - 1e-9
+    for t in range(len(tables.a) if tables else 0):
         key = tables.keys(t, unit)
         order = np.argsort(key, kind="stable")
         key = key[order]
@@ -157,17 +165,8 @@ def _one_by_one(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", "embedding").mapInArrow(task, "vector binary, vec_id long")
 
 
-def search(vectors: DataFrame, queries: DataFrame, most: int = NEAREST, slice_size: int = SLICE, block: int = BLOCK) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: for each of ``queries`` the ``most`` nearest of ``vectors``, its own row left out.
-
-    Both are ``(vec_id, embedding)``. One id more than asked for is kept, as one may be the query's own.
-    """
-    keep = most + 1
-    # Vectors of one length meet only each other.
-    index = durable(_distinct(vectors, keep).withColumn("length", (F.octet_length("vector") / 8).cast("int")))
-    asked = durable(_one_by_one(queries).distinct())
-    kinds = durable(asked.select("vector").distinct().withColumns({"query": F.monotonically_increasing_id(), "length": (F.octet_length("vector") / 8).cast("int")}))
-    slices = max(1, math.ceil(index.count() / slice_size))
+def _answers(index: DataFrame, kinds: DataFrame, keep: int, slices: int, block: int, exact: bool) -> DataFrame:
+    """``(query, best)`` of those ``kinds(vector, query, length)`` that have candidates: the ``keep`` best as (place, vec_id, score)."""
     blocks = max(1, math.ceil(kinds.count() / block))
     slice_of, block_of = F.pmod(F.xxhash64("vector"), F.lit(slices)), F.pmod(F.xxhash64(F.lit(1), F.col("vector")), F.lit(blocks))
     left = index.withColumns({"slice": slice_of, "block": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))})
@@ -178,7 +177,7 @@ def search(vectors: DataFrame, queries: DataFrame, most: int = NEAREST, slice_si
         if index.num_rows and queries.num_rows:
             length = index.column("length")[0].as_py()
             x, q = (np.frombuffer(b"".join(t.column("vector").to_pylist()), np.float64).reshape(-1, length) for t in (index, queries))
-            answers = nearest(x, index.column("ids").to_pylist(), q, keep, Tables(length))
+            answers = nearest(x, index.column("ids").to_pylist(), q, keep, None if exact else Tables(length))
             for number, answer in zip(queries.column("query").to_pylist(), answers, strict=True):
                 out.extend((number, i, s) for s, i in answer)
         return pa.table({"query": pa.array([o[0] for o in out], pa.int64()), "vec_id": pa.array([o[1] for o in out], pa.int64()), "score": pa.array([o[2] for o in out], pa.float64())})
@@ -187,7 +186,26 @@ def search(vectors: DataFrame, queries: DataFrame, most: int = NEAREST, slice_si
     parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(group, "query long, vec_id long, score double")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     best = parts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep)
-    best = durable(best.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("best")))
+    return best.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("best"))
+
+
+def search(vectors: DataFrame, queries: DataFrame, most: int = NEAREST, slice_size: int = SLICE, block: int = BLOCK) -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: for each of ``queries`` the ``most`` nearest of ``vectors``, its own row left out.
+
+    Both are ``(vec_id, embedding)``. One id more than asked for is kept, as one may be the query's own.
+    """
+    keep = most + 1
+    # Vectors of one length meet only each other.
+    index = durable(_distinct(vectors, keep).withColumn("length", (F.octet_length("vector") / 8).cast("int")))
+    asked = durable(_one_by_one(queries).distinct())
+    kinds = durable(asked.select("vector").distinct().withColumns({"query": F.monotonically_increasing_id(), "length": (F.octet_length("vector") / 8).cast("int")}))
+    slices = max(1, math.ceil(index.count() / slice_size))
+    best = durable(_answers(index, kinds, keep, slices, block, exact=False))
+    there = index.groupBy("length").agg(F.sum(F.size("ids")).alias("there"))
+    found = kinds.join(best.select("query", F.size("best").alias("found")), "query", "left").join(F.broadcast(there), "length")
+    short = durable(found.where(F.coalesce("found", F.lit(0)) < F.least(F.col("there"), F.lit(keep))).select("vector", "query", "length"))
+    if short.head(1):
+        best = durable(best.join(short.select("query"), "query", "left_anti").unionByName(_answers(index, short, keep, slices, block, exact=True)))
     # Every query row: the answer of its vector without itself.
     answers = asked.withColumnRenamed("vec_id", "query_id").join(kinds.select("vector", "query"), "vector").join(best, "query")
     others = F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, most)

@@ -72,6 +72,21 @@ def test_awkward_vectors(spark):
     assert results(nb.search(frame(spark, [(1, [1.0, 0.0]), (2, [0.0, 2.0])]), frame(spark, [(1, [1.0, 0.0])]))) in ({}, {1: [(2, 0.0)]})
 
 
+def test_every_query_has_its_full_answer(spark):
+    assert results(nb.search(frame(spark, [(1, [1.0, 0.0]), (2, [0.0, 2.0])]), frame(spark, [(1, [1.0, 0.0])]))) == {1: [(2, 0.0)]}
+    r = np.random.default_rng(4)
+    # A group of three on the other side of 60 vectors close to each other, and one far from both.
+    center = r.standard_normal(64)
+    vectors = [(k, (center + 0.01 * r.standard_normal(64)).tolist()) for k in range(60)]
+    vectors += [(100 + k, (0.01 * r.standard_normal(64) - center).tolist()) for k in range(3)] + [(200, r.standard_normal(64).tolist())]
+    vectors = [(i, [float(x) for x in np.float32(v)]) for i, v in vectors]
+    df, asked = frame(spark, vectors), [100, 101, 102, 200, 0]
+    for slice_size in (nb.SLICE, 20):
+        got = results(nb.search(df, df.where(F.col("vec_id").isin(*asked)), slice_size=slice_size))
+        want = plain(vectors, asked)
+        assert {q: [i for i, _ in g] for q, g in got.items()} == {q: [i for i, _ in w] for q, w in want.items()}
+
+
 def test_large_and_small_numbers():
     x = np.array([[1e-30, 2e-30], [3e300, 1e300], [1e-300, 0.0]])
     assert np.allclose(np.linalg.norm(nb.units(x), axis=1), 1)
