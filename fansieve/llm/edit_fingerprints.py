@@ -35,8 +35,8 @@ TIMES = 256
 KINDS, PERIOD = 64, 1 << 16
 #: With fewer texts still walking, each is walked alone.
 FEW = 64
-#: Bytes of text that walk together.
-SLICE = 6 << 20
+#: Bytes of text that walk together; characters of a text that walks alone, or times, that are looked at in one piece.
+SLICE, PIECE = 6 << 20, 1 << 20
 #: Bands, sampled times in each, and the first so many times from which they are drawn; least likeness of near texts.
 BANDS, IN_BAND, AMONG, LIKE = 24, 8, 96, 0.8
 
@@ -68,9 +68,12 @@ class Walks:
     def prepare(self, longest: int) -> None:
         """Have the levels of all times up to ``longest``."""
         if longest > len(self.level):
-            h = mix(np.arange(max(longest, 2 * len(self.level)), dtype=np.uint64) + np.uint64(0x71E5))
-            lowest = h & (~h + np.uint64(1))
-            self.level = np.log2(np.maximum(lowest, np.uint64(1)).astype(np.float64)).astype(np.uint8)
+            parts, end = [self.level], max(longest, min(2 * len(self.level), len(self.level) + PIECE))
+            for begin in range(len(self.level), end, PIECE):
+                h = mix(np.arange(begin, min(begin + PIECE, end), dtype=np.uint64) + np.uint64(0x71E5))
+                lowest = h & (~h + np.uint64(1))
+                parts.append(np.log2(np.maximum(lowest, np.uint64(1)).astype(np.float64)).astype(np.uint8))
+            self.level = np.concatenate(parts)
             self.times = {}
 
     def of_level(self, k: int) -> np.ndarray:
@@ -80,7 +83,8 @@ class Walks:
 
     def walk(self, kinds: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """When each character is come to, and when each text ends; text i is ``kinds[first[i]:first[i] + size[i]]``."""
-        begin = np.zeros(len(kinds), np.int32)
+        # A character is left after 60 times at most.
+        begin = np.zeros(len(kinds), np.int32 if len(kinds) <= np.iinfo(np.int32).max // 64 else np.int64)
         end = np.zeros(len(first), np.int64)
         order = np.argsort(-size, kind="stable")
         at, left = first[order].copy(), size[order]
@@ -101,12 +105,14 @@ class Walks:
         for k in range(n):
             i, clock, stay = order[k], int(now[k]), self.alone
             place = int(at[k])
-            some = kinds[place : first[i] + size[i]].tobytes()
-            came = []
-            for c in some:
-                came.append(clock)
-                clock += stay[c][clock & 65535]
-            begin[place : place + len(came)] = came
+            last = int(first[i] + size[i])
+            while place < last:
+                came = []
+                for c in kinds[place : min(place + PIECE, last)].tobytes():
+                    came.append(clock)
+                    clock += stay[c][clock & 65535]
+                begin[place : place + len(came)] = came
+                place += len(came)
             end[i] = clock
         return begin, end
 
@@ -117,8 +123,6 @@ class Walks:
 
     def fingerprints(self, kinds: np.ndarray, first: np.ndarray, size: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """Of each text the level of its times, and what it shows at them, in 4 bits each."""
-        if len(kinds) > np.iinfo(np.int32).max // 64:
-            raise ValueError("more characters than can walk together")
         begin, end = self.walk(kinds, first, size)
         self.prepare(int(end.max(initial=0)))
         shows = (mix(np.arange(KINDS, dtype=np.uint64) + np.uint64(0x5A)) & np.uint64(15)).astype(np.uint8)
@@ -187,10 +191,8 @@ class _Edited:
         own = w.fingerprints(kinds, first[:-1], size)
         total = keep + take
         begin = np.cumsum(total) - total
-        of = np.repeat(np.arange(len(total)), total)
-        place = np.arange(len(of)) - begin[of]
-        source = np.where(place < keep[of], first[of] + place, first[of + 1] + place - keep[of])
-        edited = w.fingerprints(kinds[source], begin, total)
+        parts = [kinds[a : a + n] for a, b, k, t in zip(first[:-2].tolist(), first[1:-1].tolist(), keep.tolist(), take.tolist(), strict=True) for a, n in ((a, k), (b, t))]
+        edited = w.fingerprints(np.concatenate([kinds[:0], *parts]), begin, total)
         raw, _ = buffers(texts)
         self.sha, data = [], raw.tobytes()
         ends = (places[first[:-1]], places[first[:-1][: len(keep)] + keep], places[first[1:-1]], places[first[1:-1] + take])

@@ -50,6 +50,19 @@ def test_walks_side_by_side_are_walks_alone():
         assert f == f"{level}." + "".join("0123456789abcdef"[digits[c]] for c in shown)
 
 
+def test_a_text_may_be_of_any_length():
+    """One character more than 32-bit clocks are safe for."""
+    kinds = np.random.default_rng(3).integers(0, ef.KINDS, 2**31 // 64 + 1).astype(np.uint8)
+    w, size = ef.Walks(), np.array([len(kinds)])
+    begin, end = w.walk(kinds, np.array([0]), size)
+    for at in range(0, len(kinds), 1 << 20):
+        came, some = begin[at : at + (1 << 20) + 1], kinds[at : at + (1 << 20)]
+        came = np.append(came, end) if len(came) == len(some) else came
+        assert (np.diff(came) == w.stay[some, came[:-1] & (ef.PERIOD - 1)]).all()
+    ((level, shown),) = w.fingerprints(kinds, np.array([0]), size)
+    assert level == int(np.ceil(np.log2(int(end[0]) / ef.TIMES))) and 0.3 * ef.TIMES < len(shown) < 1.5 * ef.TIMES
+
+
 def test_the_query_agrees_with_a_plain_version(spark):
     rows = sorted(table_rows(spark, "documents", "doc_id, text"))
     found = {r.doc_id: r for r in ef.op2_edit_fingerprints(spark, SF).collect()}
