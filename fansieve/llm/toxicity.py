@@ -3,7 +3,8 @@
 A text's features are its distinct words, the words' beginnings and their n-grams of bytes, hashed. Features that tell the classes apart are
 chosen by a chi-square statistic, and their weights are fitted with a penalty on their absolute values, so that few remain. Where a
 sentence of a labelled text mentions a group of people, the mention is swapped for other groups, and every change of the score is
-penalised: which group a text speaks of must not make it toxic.
+penalised: which group a text speaks of must not make it toxic. All mentions of the sampled texts count, and each row of groups that is
+mentioned counts as much as another, however often it is.
 
 The model is fitted on the driver, on a bounded sample of labelled texts of each class (``PER_CLASS``, by a hash of the id); the sample has
 as many toxic texts as others, so the bias is moved back to the rate of all labelled rows. Scoring sends a few thousand weights
@@ -17,7 +18,8 @@ an empty table gives an empty result; only ``doc_id`` and ``text`` of the docume
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +57,8 @@ GROUPS = (
 )
 _MENTION = re.compile(r"\b(" + "|".join(sorted({w for g in GROUPS for w in g}, key=len, reverse=True)) + r")\b", re.IGNORECASE)
 _SENTENCE = re.compile(r"[^.!?\n]+")
+#: Characters that ``LETTERS`` does not split at; characters of sentences whose swaps are compared at a time.
+LETTER, SWAPS_AT_ONCE = re.compile(r"[A-Za-z\x80-\U0010ffff]").match, 1 << 20
 
 
 def word_features(words: Words, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,18 +123,39 @@ class Classifier:
         return out
 
 
-def swaps(texts: list[str], most: int = 4000) -> list[tuple[str, str]]:
-    """(sentence, sentence about another group) for the mentions of groups in these texts; ``most`` bounds the training set."""
-    out = []
+def _mentions(texts: Iterable[str]) -> Iterator[tuple[str, re.Match, int, str]]:
+    """(sentence, mention, row of ``GROUPS``, other word of the row) of all mentions of groups in these texts."""
     for text in texts:
         for sentence in _SENTENCE.findall(text):
             for m in _MENTION.finditer(sentence):
-                for group in GROUPS:
+                for row, group in enumerate(GROUPS):
                     if m[0].lower() in group:
-                        out.extend((sentence, sentence[: m.start()] + other + sentence[m.end() :]) for other in group if other != m[0].lower())
-            if len(out) >= most:
-                return out[:most]
-    return out
+                        yield from ((sentence, m, row, other) for other in group if other != m[0].lower())
+
+
+def swaps(texts: list[str], most: int | None = None) -> list[tuple[str, str]]:
+    """(sentence, sentence about another group) for the mentions of groups in these texts, or the first ``most``."""
+    return [(sentence, sentence[: m.start()] + other + sentence[m.end() :]) for sentence, m, _, other in islice(_mentions(texts), most)]
+
+
+def weighted_swaps(texts: list[str]) -> tuple[list[tuple[str, int, int, str]], np.ndarray]:
+    """The distinct swaps of all mentions as (sentence, begin and end of the mention, other word), and their weights, with a sum of 1.
+
+    Rows of ``GROUPS`` have the same weight in all, and a row's swaps as they are frequent. Swaps of the same word in a sentence have the same
+    features, as these are sets, and count as one.
+    """
+    held: dict[tuple[int, str, str, str], list[int]] = {}
+    for sentence, m, row, other in _mentions(texts):
+        begin, end = m.span()
+        while begin and LETTER(sentence[begin - 1]):
+            begin -= 1
+        while end < len(sentence) and LETTER(sentence[end]):
+            end += 1
+        held.setdefault((row, sentence, sentence[begin:end], other), [0, *m.span()])[0] += 1
+    rows_ = np.array([row for row, *_ in held], np.int64)
+    times = np.array([n for n, *_ in held.values()], float)
+    weight = times / np.bincount(rows_, times)[rows_] / len(np.unique(rows_)) if len(times) else times
+    return [(sentence, begin, end, other) for (_, sentence, _, other), (_, begin, end) in held.items()], weight
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -157,7 +182,7 @@ def train(examples: list[tuple[int, str]], rate: float) -> Classifier:
     spread = np.maximum(expected * (1 - n_toxic / n) * (1 - both / n), 1e-9)
     chi = np.where((both >= min(LEAST, n_toxic)) & (both < n), (in_toxic - expected) ** 2 / spread, 0.0)
     # Features of mentions are always there, for the swaps to act on.
-    pairs = swaps([t for _, t in examples])
+    pairs, pair_weight = weighted_swaps([t for _, t in examples])
     chosen = np.argsort(-chi, kind="stable")[:FEATURES]
     chosen = chosen[chi[chosen] > 3.84]
     if pairs:
@@ -176,14 +201,31 @@ def train(examples: list[tuple[int, str]], rate: float) -> Classifier:
         return np.concatenate(docs), np.concatenate(columns)
 
     doc, column = matrix(texts)
-    before, after = matrix(strings(pa.array([a for a, _ in pairs], pa.string()))), matrix(strings(pa.array([b for _, b in pairs], pa.string())))
     k, m = len(buckets), max(1, len(pairs))
+    # What a swap takes from the features and what it adds; those on both sides change nothing.
+    parts, block, held = [], [], 0
+
+    def add(end: int) -> None:
+        before, after = (np.stack(matrix(strings(pa.array([pair[side] for pair in block], pa.string())))) for side in (0, 1))
+        before, after = before[0] * k + before[1], after[0] * k + after[1]
+        for sign, here, there in ((1.0, before, after), (-1.0, after, before)):
+            only = np.setdiff1d(here, there)
+            parts.append((only // k + end - len(block), only % k, np.full(len(only), sign)))
+        block.clear()
+
+    for i, (sentence, begin, end, other) in enumerate(pairs):
+        block.append((sentence, sentence[:begin] + other + sentence[end:]))
+        held += len(sentence)
+        if held >= SWAPS_AT_ONCE or i + 1 == len(pairs):
+            add(i + 1)
+            held = 0
+    pair, changed, sign = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     weight, bias, momentum, moved = np.zeros(k), 0.0, np.zeros(k), 1.0
 
     def swapped(w: np.ndarray) -> np.ndarray:
         """The gradient of the penalty on changes of the score."""
-        change = np.bincount(before[0], w[before[1]], minlength=m) - np.bincount(after[0], w[after[1]], minlength=m)
-        return 2 * SWAP / m * (np.bincount(before[1], change[before[0]], minlength=k) - np.bincount(after[1], change[after[0]], minlength=k))
+        change = pair_weight * np.bincount(pair, sign * w[changed], minlength=m)
+        return 2 * SWAP * np.bincount(changed, sign * change[pair], minlength=k)
 
     # The step is that of the steepest direction, found by power iterations.
     v = np.ones(k) / np.sqrt(max(1, k))

@@ -52,6 +52,21 @@ def test_swaps():
     assert tx.swaps(["no mention"]) == [] and len(tx.swaps(["men"] * 100, most=7)) == 7
 
 
+def test_no_group_uses_up_the_swaps_of_others():
+    """As above, but a long text before all others is full of mentions of groups of another row."""
+    groups, train, neutral = ("muslims", "jews"), [(0, " ".join(f"The women met number{k} today." for k in range(2000)))], []
+    for k in range(400):
+        toxic = k % 2
+        group = groups[(k % 10 == 0) ^ toxic]
+        train.append((toxic, f"{prose(k, 20)}. The {group} came {'vilenoun ' if toxic and k % 4 == 1 else ''}today."))
+    pairs, weight = tx.weighted_swaps([t for _, t in train])
+    assert len(weight) > 4000 + 400 and abs(weight.sum() - 1) < 1e-9
+    assert abs(weight[[other in tx.GROUPS[2] for *_, other in pairs]].sum() - 0.5) < 1e-9
+    model = tx.train(train, 0.5)
+    a, b = scores(model, [f"The {g} came today." for g in groups])
+    assert abs(a - b) < 0.1
+
+
 def test_held_out_accuracy_of_the_query(spark):
     truth = dict(table_rows(spark, "labels", "doc_id, toxic", SF_2))
     found = tx.op10_toxicity(spark, SF_2).collect()
