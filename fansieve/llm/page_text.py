@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from fansieve.session import durable, table, table_bytes
 
-#: Items of a wrapper; beyond, those seen on the fewest pages go. Only pages that need them are then read by their own elements.
+#: Items of a wrapper that are aligned; beyond, those seen on the fewest pages are only counted, as characters by the elements around them.
 MOST_ITEMS = 400
 #: Longest group, in items, that is looked for as a repetition.
 LONGEST_GROUP = 8
@@ -219,7 +219,7 @@ def _repeated(line: list[list]) -> list[list]:
 def _balanced(line: list[list]) -> bool:
     depth = 0
     for x in line:
-        if isinstance(x[0], str) and x[0] != "#":
+        if isinstance(x[0], str) and x[0] not in ("#", "%"):
             depth += -1 if x[0].startswith("/") else 1
             if depth < 0:
                 return False
@@ -231,12 +231,16 @@ def _same(a: list, b: list, together: bool = True) -> list:
     pages = a[PAGES] + b[PAGES] if together else max(a[PAGES], b[PAGES])
     if isinstance(a[0], list):
         return [align(a[0], b[0], together), pages, 0, 0, False, ""]
+    if a[0] == "%":
+        return _totals(pages, [*a[TEXT], *b[TEXT]])
     varies = a[VARIES] or b[VARIES] or a[TEXT] != b[TEXT]
     return [a[0], pages, a[CHARS] + b[CHARS], a[LINKED] + b[LINKED], varies, "" if varies else a[TEXT]]
 
 
 def align(a: list[list], b: list[list], together: bool = True) -> list[list]:
     """The wrapper of all that two wrappers stand for: a longest common subsequence, and the items of either alone as optional ones."""
+    folded = [tuple(t) for x in a + b if x[0] == "%" for t in x[TEXT]]
+    a, b = [x for x in a if x[0] != "%"], [x for x in b if x[0] != "%"]
     left, right = [_opens(x) if isinstance(x[0], list) else x[0] for x in a], [_opens(x) if isinstance(x[0], list) else x[0] for x in b]
     left = [(isinstance(x[0], list), k) for x, k in zip(a, left, strict=True)]
     right = [(isinstance(x[0], list), k) for x, k in zip(b, right, strict=True)]
@@ -267,8 +271,11 @@ def align(a: list[list], b: list[list], together: bool = True) -> list[list]:
             j += 1
     out += [_same(x, y, together) for x, y in zip(a[len(a) - tail :], b[len(b) - tail :], strict=True)]
     if len(out) > MOST_ITEMS:
-        least = sorted((x[PAGES] for x in out), reverse=True)[MOST_ITEMS]
-        out = [x for x in out if x[PAGES] > least] or out[:MOST_ITEMS]
+        out, gone = _cut(out)
+        folded += gone
+    if folded:
+        pages = [x[PAGES] for x in a + b]
+        out.append(_totals(max(pages, default=1), folded))
     return out
 
 
@@ -294,21 +301,53 @@ class Wrapper:
         return self.line or []
 
 
-def _texts(line: list[list], path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], list]]:
-    """All text slots with the elements around them."""
-    held = list(path)
+def _around(line: list[list], path: tuple[str, ...] = ()) -> list[tuple[str, ...]]:
+    """The elements around each item of a line."""
+    held, out = list(path), []
     for x in line:
         node = x[0]
-        if isinstance(node, list):
-            yield from _texts(node, tuple(held))
-        elif node == "#":
-            yield tuple(held), x
-        elif node.startswith("/"):
+        out.append(tuple(held))
+        if isinstance(node, list) or node in ("#", "%"):
+            continue
+        if node.startswith("/"):
             if node[1:] in held:
                 while held.pop() != node[1:]:
                     pass
         else:
             held.append(node)
+    return out
+
+
+def _texts(line: list[list], path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], list]]:
+    """All text slots with the elements around them."""
+    for held, x in zip(_around(line, path), line, strict=True):
+        node = x[0]
+        if isinstance(node, list):
+            yield from _texts(node, held)
+        elif node == "#":
+            yield held, x
+        elif node == "%":
+            yield from (((*path, *inside), ["#", x[PAGES], chars, linked, True, ""]) for inside, chars, linked in x[TEXT])
+
+
+def _totals(pages: int, folded: Iterable[tuple]) -> list:
+    """The item of (elements around, characters, linked characters) of slots that are no longer aligned."""
+    held: dict[tuple[str, ...], list[int]] = {}
+    for path, chars, linked in folded:
+        total = held.setdefault(tuple(path), [0, 0])
+        total[0] += chars
+        total[1] += linked
+    return ["%", pages, 0, 0, True, [[list(path), *total] for path, total in sorted(held.items())]]
+
+
+def _cut(line: list[list]) -> tuple[list[list], list[tuple]]:
+    """At most ``MOST_ITEMS`` items of a line, and what is no longer in it, or in other elements than before, for ``_totals``."""
+    least = sorted((x[PAGES] for x in line), reverse=True)[MOST_ITEMS]
+    kept = [k for k, x in enumerate(line) if x[PAGES] > least] or list(range(MOST_ITEMS))
+    before, after = _around(line), _around([line[k] for k in kept])
+    stay = {k for k, p in zip(kept, after, strict=True) if p == before[k] or (line[k][0] != "#" and isinstance(line[k][0], str))}
+    gone = [(p, x[CHARS], x[LINKED]) for k in range(len(line)) if k not in stay for p, x in _texts([line[k]], before[k])]
+    return [line[k] for k in kept if k in stay], gone
 
 
 def _key_aside(key: str) -> bool:

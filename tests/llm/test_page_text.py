@@ -2,7 +2,7 @@ import html
 import random
 import re
 
-from shared import SF, table_rows
+from shared import SF, prose, table_rows
 
 from fansieve.llm import page_text as pt
 
@@ -71,3 +71,20 @@ def test_awkward_rows(spark):
     whole = "\n".join(["word & word"] * 20_000)
     assert found == sorted([(1, "a", 1), (2, "", 0), (3, "", 0), (4, whole, len(whole)), (4, whole, len(whole)), (0, "m", 1)], key=str)
     assert pt.main_texts(df.limit(0)).collect() == []
+
+
+def test_an_article_after_very_many_items_is_found():
+    def page(k):
+        r = random.Random(k)
+        # Tables of other shapes on each page, then the article.
+        listing = "".join(f'<{t}>entry {r.randrange(99)}</{t}><hr>' if r.random() < 0.5 else f'<{t}>x<b>y</b></{t}>some' for t in (r.choice(["h4", "dd", "pre", "dt", "h5"]) for _ in range(700)))
+        return f'<body><div class="listing">{listing}</div><div class="story">' + "".join(f"<p>{prose(100 * k + i, 150)}</p>" for i in range(12)) + "</div></body>"
+
+    wrapper = pt.Wrapper()
+    for k in range(3):
+        wrapper.add(page(k))
+    line = wrapper.settle()
+    slots = list(pt._texts(line))
+    assert len(line) <= pt.MOST_ITEMS + 1
+    assert sum(x[pt.CHARS] for _, x in slots) == sum(x[pt.CHARS] for k in range(3) for _, x in pt._texts(pt.items(page(k))))
+    assert pt.heart(line) == ["div.story"]
