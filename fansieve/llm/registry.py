@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
-from fansieve.llm import edit_fingerprints, language_id, language_model, licenses, mixing, near_duplicates, neighbours, packing, page_text, toxicity
+from fansieve.llm import (
+    conversations,
+    edit_fingerprints,
+    language_id,
+    language_model,
+    licenses,
+    mixing,
+    near_duplicates,
+    neighbours,
+    packing,
+    page_text,
+    toxicity,
+)
 
-_MODULES = (near_duplicates, edit_fingerprints, language_id, mixing, licenses, page_text, language_model, packing, neighbours, toxicity)
+_MODULES = (near_duplicates, edit_fingerprints, language_id, mixing, licenses, page_text, language_model, packing, neighbours, toxicity, conversations)
 
 
 def queries():
