@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from fansieve.llm import (
+    bk_trees,
     conversations,
     edit_fingerprints,
     language_id,
@@ -16,7 +17,7 @@ from fansieve.llm import (
     toxicity,
 )
 
-_MODULES = (near_duplicates, edit_fingerprints, language_id, mixing, licenses, page_text, language_model, packing, neighbours, toxicity, conversations)
+_MODULES = (near_duplicates, edit_fingerprints, language_id, mixing, licenses, page_text, language_model, packing, neighbours, toxicity, bk_trees, conversations)
 
 
 def queries():
