@@ -31,6 +31,17 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
+def _long_sum(word: np.ndarray) -> np.uint64:
+    """What ``Words`` sums up over the bytes of a word, for one that is too long for tables of powers."""
+    total = 0
+    for begin in range(0, len(word), HASHED_BYTES):
+        some = word[begin : begin + HASHED_BYTES]
+        power, _ = _powers(len(some))
+        part = int(((some.astype(np.uint64) + np.uint64(1)) * power[: len(some)]).sum(dtype=np.uint64))
+        total += part * pow(_BASE, begin, 1 << 64)
+    return np.uint64(total % (1 << 64))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers, so that every bit depends on every other."""
     h = h.astype(np.uint64, copy=True)
@@ -123,6 +134,11 @@ class Words:
         # Some words at a time, as each byte takes eight here.
         cuts = np.unique(np.append(np.searchsorted(self.start, np.arange(0, n, HASHED_BYTES)), len(h)))
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if self.end[j - 1] - self.start[j - 1] > HASHED_BYTES:
+                j -= 1
+                h[j] = _long_sum(data[self.start[j] : self.end[j]])
+            if i == j:
+                continue
             low, high = self.start[i], self.end[j - 1]
             power, inverse = _powers(high - low + 1)
             total = np.zeros(high - low + 1, np.uint64)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from fansieve.llm import (
+    alignment,
     bk_trees,
     conversations,
     edit_fingerprints,
@@ -17,7 +18,7 @@ from fansieve.llm import (
     toxicity,
 )
 
-_MODULES = (near_duplicates, edit_fingerprints, language_id, mixing, licenses, page_text, language_model, packing, neighbours, toxicity, bk_trees, conversations)
+_MODULES = (near_duplicates, edit_fingerprints, language_id, mixing, licenses, page_text, language_model, packing, neighbours, toxicity, bk_trees, alignment, conversations)
 
 
 def queries():
