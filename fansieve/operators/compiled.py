@@ -50,6 +50,19 @@ def any_holds(subscriptions: DataFrame, attributes: Mapping[str, str], events_sc
     return F.expr(" OR ".join(texts) or "false")
 
 
+def ids_compiled(subscriptions: DataFrame, attributes: Mapping[str, str], events_schema: T.StructType) -> Column:
+    """The sorted ids of the few (sub_id, clauses) or (sub_id, expression) rows that accept the event."""
+    by_clauses = "clauses" in subscriptions.columns
+    rows = subscriptions.select("sub_id", "clauses" if by_clauses else "expression").limit(MAX_COMPILED + 1).collect()
+    if len(rows) > MAX_COMPILED:
+        raise ValueError(f"more than {MAX_COMPILED} subscriptions")
+    typed = _typed(events_schema, attributes)
+    rows.sort(key=lambda r: r["sub_id"])
+    hits = [F.when(F.expr(_predicate(r[1]).sql(typed) if by_clauses else r[1]), F.lit(r["sub_id"])) for r in rows]
+    parts = [F.array_compact(F.array(*hits[k : k + _CHUNK])) for k in range(0, len(hits), _CHUNK)]
+    return F.concat(*parts) if len(parts) > 1 else parts[0] if parts else F.array()
+
+
 def match_compiled(events: DataFrame, subscriptions: DataFrame, attributes: Mapping[str, str] | None = None) -> DataFrame:
     """Same result as ``match``. Subscriptions are (sub_id, clauses) or (sub_id, expression) rows.
 

@@ -1,8 +1,8 @@
 """Matching events against many subscriptions with one join.
 
 ``match`` turns every clause of every subscription into a row of literals and gives it *access
-keys*: hashes of its equality, membership, list or range-bin literals. Every event computes the
-same hashes from its attributes. The join meets on those hashes and checks the full clause as a
+keys*: hashes of its equality, membership, list or range-bin literals, or of the states (null,
+true, empty) that it asks for. Every event computes the same hashes from its attributes. The join meets on those hashes and checks the full clause as a
 residual, so an event meets only the clauses it has a chance to satisfy. All attributes,
 operators and subscriptions share one scan of the events and, while the clause table is small
 enough to broadcast, no shuffle at all.
@@ -37,7 +37,7 @@ from fansieve.functions.attributes import (
     attributes_of,
 )
 from fansieve.functions.predicates import RANGE_OPS, invalid_reason, quote_name, sql_list
-from fansieve.operators.compiled import any_holds, match_compiled
+from fansieve.operators.compiled import any_holds, ids_compiled, match_compiled
 from fansieve.session import BROADCAST_BYTES, durable, row_bytes
 
 _LIT = {INTEGER: "`int`", FLOAT: "`float`", STRING: "`str`"}
@@ -49,8 +49,6 @@ MAX_BINS = 32
 FEWEST_BINS = 4
 # Clauses that share their other literals before their ranges are binned.
 CROWD = 16
-# Salts for heavy access keys when the clause table is too large to broadcast.
-KEY_SALTS = 16
 # Up to this many clauses, and bytes of them, are cheaper as plain expressions than as a join.
 FEW_CLAUSES = 30
 FEW_BYTES = 64 * 1024
@@ -182,22 +180,28 @@ class Path:
     equal: tuple[str, ...] = ()
     member: str | None = None  # scalar attribute with `in`
     element: str | None = None  # list attribute with `one of` or `all of`
+    states: tuple[tuple[str, str], ...] = ()  # (attribute, slot): null, true or empty, where there is none of these
     binned: str | None = None  # numeric attribute with a range
 
     @staticmethod
     def parse(code: str, names: Sequence[str]) -> Path:
-        equal, member, element, binned = code.split("|")
+        equal, member, element, states, binned = code.split("|")
 
         def name(position: str) -> str | None:
             return names[int(position)] if position else None
 
-        return Path(tuple(names[int(p)] for p in equal.split(",") if p), name(member), name(element), name(binned))
+        asked = tuple((names[int(p[:-1])], STATES[p[-1]][0]) for p in states.split(",") if p)
+        return Path(tuple(names[int(p)] for p in equal.split(",") if p), name(member), name(element), asked, name(binned))
+
+
+#: States that an event's attribute is in or not: the literal's slot, and the operators that ask for it.
+STATES = {"n": ("null", ("is null", "is not null")), "t": ("truth", ("true", "false")), "e": ("empty", ("is empty", "is not empty"))}
 
 
 def _path_code(names: Sequence[str], binned: Sequence[str]) -> str:
-    """The path of a clause as text: positions of its attributes, ``equal|member|element|binned``.
+    """The path of a clause as text: positions of its attributes, ``equal|member|element|states|binned``.
 
-    ``names`` has the most selective attribute first; ``binned`` are the attributes with bins.
+    States are of use where there is nothing better. ``names`` has the most selective attribute first; ``binned`` are the attributes with bins.
     """
     known = f"array{sql_list(names)}"
 
@@ -212,25 +216,32 @@ def _path_code(names: Sequence[str], binned: Sequence[str]) -> str:
     equal, member, element = positions(["="]), first(positions(["in"])), first(positions(["one of", "all of"]))
     member = f"CASE WHEN size({equal}) = 0 THEN {member} ELSE '' END"
     element = f"CASE WHEN size({equal}) = 0 AND {member} = '' THEN {element} ELSE '' END"
+    asked = ", ".join(f"transform({positions(ops)}, _p -> concat(CAST(_p AS string), '{letter}'))" for letter, (_, ops) in STATES.items())
+    states = f"CASE WHEN size({equal}) = 0 AND {member} = '' AND {element} = '' THEN concat_ws(',', array_sort(concat({asked}))) ELSE '' END"
     ranged = "''"
     if binned:
         lower, upper = positions([">", ">="], binned), positions(["<", "<="], binned)
         both, either = first(f"array_intersect({lower}, {upper})"), first(f"array_union({lower}, {upper})")
         ranged = f"CASE WHEN arrays_overlap({lower}, {upper}) THEN {both} ELSE {either} END"
-    return f"concat_ws('|', concat_ws(',', transform({equal}, _p -> CAST(_p AS string))), {member}, {element}, {ranged})"
+    return f"concat_ws('|', concat_ws(',', transform({equal}, _p -> CAST(_p AS string))), {member}, {element}, {states}, {ranged})"
 
 
 def _short_code(binned: bool) -> str:
     """SQL text: the path ``_code`` cut down to one attribute."""
-    part = [f"split_part(_code, '|', {i})" for i in (1, 2, 3, 4)]
+    part = [f"split_part(_code, '|', {i})" for i in (1, 2, 3, 4, 5)]
+    ranged = f"WHEN {part[4]} <> '' THEN concat('||||', {part[4]}) " if binned else ""
     return (
-        f"CASE WHEN {part[0]} <> '' THEN concat(split_part({part[0]}, ',', 1), '|||') "
-        f"WHEN {part[1]} <> '' THEN concat('|', {part[1]}, '||') "
-        f"WHEN {part[2]} <> '' THEN concat('||', {part[2]}, '|') "
-        f"ELSE {'_code' if binned else chr(39) + '|||' + chr(39)} END"
+        f"CASE WHEN {part[0]} <> '' THEN concat(split_part({part[0]}, ',', 1), '||||') "
+        f"WHEN {part[1]} <> '' THEN concat('|', {part[1]}, '|||') "
+        f"WHEN {part[2]} <> '' THEN concat('||', {part[2]}, '||') "
+        f"{ranged}ELSE concat('|||', split_part({part[3]}, ',', 1), '|') END"
     )
 
 
+#: A probe that meets nothing.
+NO_PROBE = "named_struct('p', -1, 's', CAST(NULL AS string), 'n', CAST(NULL AS bigint))"
+
+
 class Access:
     """Access keys of clauses and events for a set of paths."""
 
@@ -314,7 +325,7 @@ class Access:
     def clause_keys(self, i: int) -> str:
         """The access keys of a clause on path ``i``: an array of (p, k)."""
         path, c, used = self.paths[i], self.slots.names, self.slots.used
-        fixed = [self._plain(a, f"{c[a]}_eq") for a in path.equal]
+        fixed = [*(self._plain(a, f"{c[a]}_eq") for a in path.equal), *(f"{c[a]}_{slot}" for a, slot in path.states)]
 
         def keys(*parts: str) -> str:
             return self._range_keys(i, parts) if path.binned else f"array({self._entry(2 * i, *parts)})"
@@ -341,12 +352,20 @@ class Access:
         """Probe numbers of a path: one, or a coarse and a fine one."""
         return [2 * i, 2 * i + 1] if self.paths[i].binned else [2 * i]
 
-    def probes(self, event) -> str:
-        """One entry per probe, or per element of a path's list attribute: (p, element as text or bigint)."""
-        plain, lists = [], []
+    @staticmethod
+    def _usable(path: Path, event) -> str:
+        """Whether the event has all that the path's key is made of."""
+        needed = [*path.equal, *(a for a in (path.member, path.binned) if a), *(a for a, slot in path.states if slot != "null")]
+        return _and([f"{event(a)} IS NOT NULL" for a in dict.fromkeys(needed)])
+
+    def probes(self, event, always: bool = False) -> str:
+        """One entry per probe, or per element of a path's list attribute: (p, element as text or bigint).
+
+        With ``always`` there is one more, which has no key, so that every event has a row.
+        """
+        plain, lists = [NO_PROBE] if always else [], []
         for i, path in enumerate(self.paths):
-            needed = [*path.equal, *(a for a in (path.member, path.binned) if a)]
-            usable = _and([f"{event(a)} IS NOT NULL" for a in needed])
+            usable = self._usable(path, event)
             for number in self._numbers(i):
                 if path.element is None:
                     plain.append(f"named_struct('p', CASE WHEN {usable} THEN {number} END, 's', CAST(NULL AS string), 'n', CAST(NULL AS bigint))")
@@ -361,6 +380,8 @@ class Access:
     def _event_hash(self, i: int, number: int, event, element: str | None) -> str:
         path = self.paths[i]
         parts = [self._plain(a, event(a)) for a in path.equal]
+        of = {"null": "({v} IS NULL)", "truth": "{v}", "empty": "(array_size({v}) = 0)"}
+        parts += [of[slot].replace("{v}", event(a)) for a, slot in path.states]
         if path.member:
             parts.append(event(path.member))
         if path.element:
@@ -373,8 +394,7 @@ class Access:
         """(probe number, key or NULL) of every path; only for paths without list attribute."""
         keys = []
         for i, path in enumerate(self.paths):
-            needed = [*path.equal, *(a for a in (path.member, path.binned) if a)]
-            usable = _and([f"{event(a)} IS NOT NULL" for a in needed])
+            usable = self._usable(path, event)
             keys += [(n, f"CASE WHEN {usable} THEN {self._event_hash(i, n, event, None)} END") for n in self._numbers(i)]
         return keys
 
@@ -434,6 +454,7 @@ class Facts:
     earlier: int = 0
     one_of: int = 0
     bins: int = 1
+    keys: int = 0
     key_bytes: int = 0
     literal_bytes: int = 0
 
@@ -556,7 +577,7 @@ def _plan(events, columns, subscriptions, attributes, strategy: str, broadcast_l
     plan.slots = Slots(attributes, facts.used, many_one_of=facts.one_of > 1)
     borders = {a: _thin(b, facts.bins + 1) for a, b in facts.borders.items()}
     plan.access = Access(plan.slots, [Path.parse(c, facts.ranked) for c in facts.codes], borders, max(2, facts.bins))
-    plan.clause_side, plan.literal_side, facts.key_bytes, facts.literal_bytes = _clause_sides(rows, rest, plan.slots, plan.access, facts.codes, many=facts.earlier > 0)
+    plan.clause_side, plan.literal_side, facts.keys, facts.key_bytes, facts.literal_bytes = _clause_sides(rows, rest, plan.slots, plan.access, facts.codes, many=facts.earlier > 0)
     plan.fits_broadcast = facts.key_bytes + facts.literal_bytes <= broadcast_limit
     return plan
 
@@ -613,43 +634,143 @@ def match(
     if plan.access is None:
         return match_compiled(events, valid_subscriptions(subscriptions, attributes), attributes)
 
-    # Event side: one row per access path, or per element of its list. The columns inside have names of their own: e0, e1, ... for
-    # the events', r0, r1, ... for what the subscriptions carry, and names that start with "_" for what is made here.
-    probing = plan.with_bins(events.select(*(_col(c).alias(n) for c, n in columns.items())))
+    if plan.fits_broadcast:
+        out = _meet(_probing(events, plan), plan)
+        return out.select(*(F.col(n).alias(c) for c, n in columns.items()), *(F.col(f"r{i}").alias(c) for i, c in enumerate(carried)))
+    return _late(events, plan, [*key], carried, broadcast_limit)
+
+
+def match_pairs(
+    events: DataFrame,
+    subscriptions: DataFrame,
+    attributes: Mapping[str, str] | None = None,
+    key: Sequence[str] = ("event_id",),
+    broadcast_limit: int = BROADCAST_BYTES,
+    bins: int = MAX_BINS,
+) -> DataFrame:
+    """As ``match``, but of the event only ``key`` and the declared attributes: nothing else is read or moved."""
+    attributes = dict(attributes or attributes_of(events.schema))
+    return match(events.select(*map(_col, dict.fromkeys([*key, *attributes]))), subscriptions, attributes, "auto", key, broadcast_limit, bins)
+
+
+def _probing(events: DataFrame, plan: Plan, more: Sequence[Column] = ()) -> DataFrame:
+    """The events' side of the join: one row per access path, or per element of its list.
+
+    The columns inside have names of their own: e0, e1, ... for the events', r0, r1, ... for what the subscriptions carry, and names that
+    start with "_" for what is made here. With ``more`` columns every event has a row that meets nothing.
+    """
+    probing = plan.with_bins(events.select(*(_col(c).alias(n) for c, n in plan.columns.items() if c in events.columns), *more))
     names = probing.columns
-    probing = (
-        probing.select("*", F.expr(f"explode({plan.access.probes(plan.value)})").alias("_probe"))
+    return (
+        probing.select("*", F.expr(f"explode({plan.access.probes(plan.value, bool(more))})").alias("_probe"))
         .select(*map(_col, names), F.expr("_probe.p AS _p"), F.expr("_probe.s AS _s"), F.expr("_probe.n AS _v"))
         .where("_p IS NOT NULL")
         .withColumn("_k", F.expr(plan.access.event_key(plan.value)))
     )
-    # The order matters: the cheap literal checks come first and run on every candidate pair.
+
+
+def _conditions(plan: Plan) -> tuple[Column, str]:
+    """When probe and key row meet, and what else must hold of event and literals.
+
+    The order matters: the cheap literal checks come first and run on every candidate pair. The path number is part of the key; as a
+    difference it stays out of the join key, which is then a single bigint.
+    """
     residual = [plan.holds(), *plan.access.first_element_only(plan.value, plan.literal)]
     if plan.facts.earlier:
         residual.append(f"NOT {_held_before(plan.slots, plan.value, plan.facts.earlier)}")
-    # The path number is part of the key; as a difference it stays out of the join key, which is
-    # then a single bigint.
     meets = ["_k = _key", "_c_path - _p = 0", *([_and(residual)] if plan.literal_side is None else [])]
-    on = F.expr(_and(meets))
-    if plan.fits_broadcast:
-        out = probing.join(F.broadcast(plan.clause_side), on)
-    else:
-        out = _salted_join(probing, plan.clause_side, plan.access, on, [columns[k] for k in key])
+    return F.expr(_and(meets)), _and(residual)
+
+
+def _meet(probing: DataFrame, plan: Plan, how: str = "inner") -> DataFrame:
+    """Probes with the clauses that hold, the clause side in every task; for a side of a counted size."""
+    on, residual = _conditions(plan)
+    out = probing.join(F.broadcast(plan.clause_side), on, how)
+    if plan.literal_side is not None:
+        out = out.join(F.broadcast(plan.literal_side), F.expr(f"_key_no = _no AND {residual}"), how)
+    return out
+
+
+# --- a clause table too large to broadcast ------------------------------------------------------
+
+
+def _late(events: DataFrame, plan: Plan, key: Sequence[str], carried: Sequence[str], broadcast_limit: int) -> DataFrame:
+    """A shuffle join of access keys, of which the events' other columns are no part.
+
+    What is shuffled is the key and the attributes that the clauses test, after probes whose access key no clause has are dropped. If the events
+    have more columns, each of them that matches meets its subscriptions afterwards, by key and attributes, null or not: events that are
+    equal in these match the same, so they are matched once, and keys need not be unique.
+    """
+    used = [a for a in plan.attributes if a in plan.facts.used]
+    narrow = [c for c in plan.columns if c in {*key, *used}]
+    moved = events.select(*map(_col, narrow))
+    more = [c for c in plan.columns if c not in narrow]
+    probing = _known_keys(_probing(moved.distinct() if more else moved, plan), plan)
+    on, residual = _conditions(plan)
+    out = _salted_join(probing, plan.clause_side, on)
     if plan.literal_side is not None:
         small = plan.facts.literal_bytes <= broadcast_limit
         side = F.broadcast(plan.literal_side) if small else plan.literal_side.hint("merge")
-        out = out.join(side, F.expr(f"_key_no = _no AND {_and(residual)}"))
-    return out.select(*(F.col(n).alias(c) for c, n in columns.items()), *(F.col(f"r{i}").alias(c) for i, c in enumerate(carried)))
+        out = out.join(side, F.expr(f"_key_no = _no AND {residual}"))
+    of_event = {c: plan.columns[c] for c in narrow}
+    rest = [F.col(f"r{i}").alias(c) for i, c in enumerate(carried)]
+    if not more:
+        return out.select(*(F.col(of_event[c]).alias(c) for c in plan.columns), *rest)
+    out = out.select(*(F.col(n).alias(f"m{i}") for i, n in enumerate(of_event.values())), *(F.col(f"r{i}") for i in range(len(carried))))
+    whole = events.select(*(_col(c).alias(n) for c, n in plan.columns.items()))
+    same = reduce(and_, (F.col(n).eqNullSafe(F.col(f"m{i}")) for i, n in enumerate(of_event.values())))
+    return whole.join(out.hint("shuffle_hash"), same).select(*(F.col(n).alias(c) for c, n in plan.columns.items()), *rest)
+
+
+# Access keys that are broadcast as they are, 16 bytes each; beyond that, their bits in a map of so many.
+FILTER_KEYS, FILTER_BITS = 8_000_000, 1 << 28
+
+
+def _known_keys(probing: DataFrame, plan: Plan) -> DataFrame:
+    """The probes whose access key some clause has, or, with very many keys, may have (a Bloom filter of one hash)."""
+    keys = plan.clause_side.select(F.col("_key").alias("_known")).distinct()
+    if plan.facts.keys <= FILTER_KEYS:
+        return probing.join(F.broadcast(keys), F.col("_k") == F.col("_known"), "left_semi")
+    bit = F.pmod(F.xxhash64("_known"), F.lit(FILTER_BITS))
+    words = keys.select(F.shiftright(bit, 6).alias("_word"), (bit % 64).cast("int").alias("_bit"))
+    words = durable(words.groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits")))
+    place = f"pmod(xxhash64(_k), {FILTER_BITS}L)"
+    return probing.join(F.broadcast(words), F.expr(f"shiftright({place}, 6) = _word AND getbit(_bits, CAST({place} % 64 AS int)) = 1"), "left_semi")
+
+
+# The share of probes that is looked at for heavy access keys, and the share of these, in parts of an average task, that makes one heavy.
+SAMPLED, HEAVY = 0.02, 0.5
+
+
+def _salted_join(probing: DataFrame, clause_side: DataFrame, on: Column) -> DataFrame:
+    """Shuffle join in which heavy access keys, and only these, are spread over several tasks.
+
+    They are found in a sample of the probes. A key with a third of all of them gets so many salts that each holds about half of an average task; its
+    clauses are repeated for each. There cannot be more heavy keys than tasks, times a constant.
+    """
+    spark = probing.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sample = durable(probing.sample(SAMPLED, seed=1).groupBy("_k").agg(F.count("*").alias("n")))
+    total = sample.agg(F.sum("n")).first()[0] or 0
+    least = max(HEAVY * total / partitions, 10)
+    heavy = sample.where(F.col("n") >= least).select(F.col("_k").alias("_heavy"), F.ceil(F.col("n") / (HEAVY * total / partitions)).cast("int").alias("_salts"))
+    heavy = F.broadcast(durable(heavy))
+    columns = [F.col(c) for c in probing.columns if c.startswith("e")]
+    left = probing.join(heavy, F.col("_k") == F.col("_heavy"), "left")
+    left = left.withColumn("_salt", F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(*columns), F.col("_salts")).cast("int")).otherwise(0)).drop("_heavy", "_salts")
+    right = clause_side.join(heavy, F.col("_key") == F.col("_heavy"), "left")
+    right = right.withColumn("_csalt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_heavy", "_salts")
+    return left.join(right.hint("merge"), on & (F.col("_salt") == F.col("_csalt")))
 
 
 def _names(events: DataFrame) -> dict[str, str]:
     return {c: f"e{i}" for i, c in enumerate(events.columns)}
 
 
-def _clause_sides(rows, rest, slots: Slots, access: Access, codes: Sequence[str], many: bool) -> tuple[DataFrame, DataFrame | None, int, int]:
+def _clause_sides(rows, rest, slots: Slots, access: Access, codes: Sequence[str], many: bool) -> tuple[DataFrame, DataFrame | None, int, int, int]:
     """The clause side of the join: keys and literals of every clause that can hold at all.
 
-    Returns (key rows, literal rows, bytes of the key rows, bytes of the literal rows). Clauses with few keys have their literals in
+    Returns (key rows, literal rows, number of key rows, their bytes, bytes of the literal rows). Clauses with few keys have their literals in
     every key row, and no literal rows. A clause with an ``in`` or a list of a thousand literals has a thousand keys; its key rows are
     narrow, and its literals are stored once. Sizes are counted, not estimated from the clause alone.
     """
@@ -684,9 +805,9 @@ def _clause_sides(rows, rest, slots: Slots, access: Access, codes: Sequence[str]
     body = wide.drop("_entries", "_bytes", "_no")
     entry = [F.expr("_entry.p AS _c_path"), F.expr("_entry.k AS _key")]
     if n_keys <= MANY_KEYS * clauses or each <= once + KEY_BYTES * n_keys:
-        return wide.select(*map(_col, body.columns), F.explode("_entries").alias("_entry")).select(*map(_col, body.columns), *entry), None, each + KEY_BYTES * n_keys, 0
+        return wide.select(*map(_col, body.columns), F.explode("_entries").alias("_entry")).select(*map(_col, body.columns), *entry), None, n_keys, each + KEY_BYTES * n_keys, 0
     narrow = wide.select("_no", F.explode("_entries").alias("_entry")).select(F.col("_no").alias("_key_no"), *entry)
-    return narrow, wide.drop("_entries", "_bytes"), KEY_BYTES * n_keys, once
+    return narrow, wide.drop("_entries", "_bytes"), n_keys, KEY_BYTES * n_keys, once
 
 
 def _held_before(slots: Slots, event, most: int) -> str:
@@ -700,51 +821,98 @@ def _held_before(slots: Slots, event, most: int) -> str:
     return "(" + " OR ".join(checks) + ")"
 
 
-def _salted_join(probing, clause_side, access: Access, on: Column, key: Sequence[str]) -> DataFrame:
-    """Shuffle join that spreads every access key over several tasks.
-
-    Even if one key holds a third of all events, each of its salts holds no more than about three
-    average partitions. The clauses, repeated once per salt, are the small side.
-    """
-    partitions = int(probing.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    few = max(KEY_SALTS, partitions // 8)
-    # Probe numbers with few different keys: no access attribute, or coarse bins only.
-    coarse = [2 * i for i, path in enumerate(access.paths) if not (path.equal or path.member or path.element)]
-    numbers = ", ".join(map(str, coarse or [-1]))
-
-    def salts(number: str) -> str:
-        return f"CASE WHEN {number} IN ({numbers}) THEN {max(partitions, few)} ELSE {few} END"
-
-    columns = ", ".join(map(quote_name, key))
-    left = probing.withColumn("_salt", F.expr(f"CAST(pmod(xxhash64({columns}), {salts('_p')}) AS int)"))
-    right = clause_side.withColumn("_csalt", F.expr(f"explode(sequence(0, {salts('_c_path')} - 1))"))
-    return left.join(right.hint("merge"), on & (F.col("_salt") == F.col("_csalt")))
-
-
 # --- shapes of the result -----------------------------------------------------------------------
 
 
 def match_ids(
-    events: DataFrame, subscriptions: DataFrame, key: str = "event_id", decodable: str | None = None, **options
+    events: DataFrame,
+    subscriptions: DataFrame,
+    key: str = "event_id",
+    decodable: str | None = None,
+    attributes: Mapping[str, str] | None = None,
+    strategy: str = "auto",
+    broadcast_limit: int = BROADCAST_BYTES,
+    bins: int = MAX_BINS,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """(key, ids), a row per event: the sorted ids it matches; empty for none, NULL for undecodable events.
 
-    ``decodable`` names a boolean column that is false for events that could not be decoded.
+    ``decodable`` names a boolean column that is false for events that could not be decoded; ``carry`` names columns to keep. While the clause
+    side is broadcast, no event leaves its task: its rows lie next to each other after the join and become one again there.
     """
-    attributes = dict(options.pop("attributes", None) or attributes_of(events.schema))
-    # Events with the same key and the same attributes match the same, so they share a group; ``_times`` counts them.
-    group = {f"g{i}": c for i, c in enumerate(dict.fromkeys([key, *attributes]))}
-    usable = events.where(_col(decodable)) if decodable else events
-    usable = usable.select(*map(_col, dict.fromkeys([key, *attributes])))
-    pairs = match(usable, subscriptions, attributes, key=(key,), **options).select(*(_col(c).alias(g) for g, c in group.items()), "sub_id")
-    ok = _col(decodable) if decodable else F.lit(True)
-    # One more row per event keeps the unmatched ones; the list of an event is at most all ids.
-    every = events.select(*(_col(c).alias(g) for g, c in group.items()), F.lit(None).cast("bigint").alias("sub_id"), ok.alias("_ok"), F.lit(1).alias("_one"))
-    together = pairs.withColumns({"_ok": F.lit(True), "_one": F.lit(0)}).unionByName(every)
-    grouped = together.groupBy(*group).agg(F.collect_list("sub_id").alias("ids"), F.min("_ok").alias("_ok"), F.sum("_one").alias("_times"))
-    ids = F.when(F.col("_times") > 1, F.array_distinct(F.sort_array("ids"))).otherwise(F.sort_array("ids"))
-    rows = grouped.select(F.col("g0").alias(key), F.when(F.col("_ok"), ids).alias("ids"), "_times")
-    return rows.select(_col(key), "ids", F.explode(F.array_repeat(F.lit(1), F.col("_times").cast("int"))).alias("_one")).drop("_one")
+    attributes = dict(attributes or attributes_of(events.schema))
+    check_types(events.schema, attributes)
+    kept = list(dict.fromkeys([key, *carry]))
+    ok = F.coalesce(_col(decodable), F.lit(False)) if decodable else F.lit(True)
+    kind = T.ArrayType(subscriptions.schema["sub_id"].dataType)
+    columns = {c: f"e{i}" for i, c in enumerate(dict.fromkeys([*kept, *attributes]))}
+    if "clauses" not in subscriptions.columns or strategy == "compiled":
+        valid = subscriptions if "clauses" not in subscriptions.columns else valid_subscriptions(subscriptions, attributes)
+        return events.select(*map(_col, kept), F.when(ok, ids_compiled(valid, attributes, events.schema)).cast(kind).alias("ids"))
+    plan = _plan(events, columns, subscriptions.select("clauses", F.col("sub_id").alias("r0")), attributes, strategy, broadcast_limit, bins)
+    if plan is None:
+        return events.select(*map(_col, kept), F.when(ok, F.array()).cast(kind).alias("ids"))
+    if plan.access is None:
+        return events.select(*map(_col, kept), F.when(ok, ids_compiled(valid_subscriptions(subscriptions, attributes), attributes, events.schema)).cast(kind).alias("ids"))
+    if not plan.fits_broadcast:
+        return _ids_grouped(events, plan, kept, ok, kind, broadcast_limit)
+    rows = _probing(events, plan, [F.monotonically_increasing_id().alias("_row"), ok.alias("e_ok")])
+    met = _meet(rows, plan, "left").where("_p = -1 OR (e_ok AND r0 IS NOT NULL)")
+    names = [columns[c] for c in kept]
+    met = met.select("_row", *names, "e_ok", F.col("r0").alias("sub_id"))
+    out = met.mapInArrow(_one_row_per_event(["e_ok", *names]), T.StructType([met.schema["e_ok"], *(met.schema[n] for n in names), T.StructField("ids", kind)]))
+    return out.select(*(F.col(columns[c]).alias(c) for c in kept), F.when(F.col("e_ok"), F.col("ids")).alias("ids"))
+
+
+def _one_row_per_event(names: Sequence[str]):
+    """A task that puts the rows of each event, which follow each other, together: ``names`` and the sorted ids."""
+
+    def task(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def done(held: pa.Table, first: np.ndarray) -> pa.RecordBatch:
+            """The events that begin at ``first``, the last of which goes on to the end."""
+            sub = held.column("sub_id").combine_chunks()
+            number = np.repeat(np.arange(len(first)), np.diff(np.append(first, held.num_rows)))
+            there = np.flatnonzero(sub.is_valid().to_numpy(zero_copy_only=False))
+            pairs = pa.table({"number": number[there], "sub_id": sub.take(pa.array(there))}).sort_by([("number", "ascending"), ("sub_id", "ascending")])
+            offsets = np.searchsorted(pairs.column("number").to_numpy(), np.arange(len(first) + 1)).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pairs.column("sub_id").combine_chunks())
+            of_event = held.select(list(names)).take(pa.array(first)).combine_chunks()
+            return pa.RecordBatch.from_arrays([*(of_event.column(n).combine_chunks() for n in names), ids], names=[*names, "ids"])
+
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            row = held.column("_row").to_numpy()
+            if (np.diff(row) < 0).any():
+                raise RuntimeError("the rows of an event do not follow each other")
+            first = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1]) if len(row) else np.zeros(0, np.int64)
+            if len(first) > 1:
+                # The last event may go on in the next batch.
+                yield done(held.slice(0, first[-1]), first[:-1])
+                held = held.slice(first[-1])
+        if held is not None and held.num_rows:
+            yield done(held, np.zeros(1, np.int64))
+
+    return task
+
+
+def _ids_grouped(events: DataFrame, plan: Plan, kept: Sequence[str], ok: Column, kind: T.ArrayType, broadcast_limit: int) -> DataFrame:
+    """``match_ids`` above the broadcast limit: pairs meet the events by key and attributes."""
+    names = plan.columns
+    key = [c for c in names if c in kept or c in plan.facts.used]
+    moved = events.where(ok).select(*map(_col, key)).distinct()
+    narrow = Plan(plan.attributes, {c: names[c] for c in key}, plan.facts, plan.rest, False, plan.slots, plan.access, plan.clause_side, plan.literal_side)
+    pairs = _late(moved, narrow, key, ["sub_id"], broadcast_limit)
+    lists = pairs.groupBy(*map(_col, key)).agg(F.sort_array(F.collect_list("sub_id")).alias("ids"))
+    lists = lists.select(*(_col(c).alias(f"m{i}") for i, c in enumerate(key)), "ids")
+    rows = events.select(*(_col(c).alias(names[c]) for c in key), ok.alias("_ok"))
+    same = reduce(and_, (F.col(names[c]).eqNullSafe(F.col(f"m{i}")) for i, c in enumerate(key)))
+    ids = F.when(F.col("_ok"), F.coalesce("ids", F.array().cast(kind)))
+    return rows.join(lists.hint("shuffle_hash"), same, "left").select(*(F.col(names[c]).alias(c) for c in kept), ids.alias("ids"))
 
 
 def with_topic(subscriptions: DataFrame, output_prefix: str) -> DataFrame:

@@ -24,15 +24,13 @@ def intake(messages: DataFrame, decodable: Column, payload: str = "payload", max
     )
 
 
-def per_event(pairs: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per matched event: ``matched`` counts the event, ``published`` its output rows."""
-    return pairs.groupBy(key, *keep).agg(F.lit(1).cast("bigint").alias("matched"), F.count("*").alias("published"))
+def counted(messages: DataFrame, ids: str = "ids") -> DataFrame:
+    """Rows of ``intake`` with the ids each message matched (NULL if it was not matched at all): ``matched`` counts the message, ``published`` its output rows."""
+    published = F.coalesce(F.size(F.col(ids)), F.lit(0))
+    published = F.when(F.col(ids).isNull(), 0).otherwise(published).cast("bigint")
+    return messages.withColumns({"matched": (published > 0).cast("bigint"), "published": published}).drop(ids)
 
 
-def totals(taken_in: DataFrame, pairs: DataFrame, key: str, by: tuple[Column, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
-    """All counters, in total or by groups such as a time window over the ``keep`` columns.
-
-    Both sides are added up in one aggregate, so messages and matches need no join.
-    """
-    both = taken_in.unionByName(per_event(pairs, key, keep), allowMissingColumns=True)
-    return both.groupBy(*by).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTERS))
+def totals(messages: DataFrame, by: tuple[Column, ...] = ()) -> DataFrame:
+    """All counters of ``counted`` messages, in total or by groups such as a time window: one aggregate, and no message is moved."""
+    return messages.groupBy(*by).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTERS))

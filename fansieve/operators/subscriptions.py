@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from fansieve.functions.keys import lease_key
 from fansieve.functions.predicates import InvalidPredicate, invalid_reason
+from fansieve.operators.graph import components, uneven_join
 from fansieve.operators.leases import ORDER, live_leases, point, timestamp, with_lease_end
 from fansieve.operators.match import with_topic
 from fansieve.operators.ordered import lay_out, lookup, numbered, pieces_for
@@ -245,17 +246,17 @@ def error_replies(log: DataFrame) -> DataFrame:
 # --- restore ------------------------------------------------------------------------------------
 
 
-# Conflicting pairs that one task walks through in order; more are settled in rounds.
-WALKED = 100_000
+# Rounds that settle what comes first, before the rest is walked through in order; so few pairs that are left are one group, whatever hangs together.
+ROUNDS, ONE_GROUP = 2, 20_000
 
 
 def restore_conflicts(records: DataFrame, order=("created", "key")) -> DataFrame:
     """Which lease records can be restored together: adds ``restored``.
 
     Records bind their id to their expression in the given order, those without a time last; a record whose id or expression is
-    already bound otherwise is refused and binds nothing. A pair alone with its id and its expression is bound at once. The others
-    are few: up to ``WALKED`` of them are walked through one by one. More are settled in rounds, each of which settles every pair that
-    is first among the open pairs of both its id and its expression, and then the pairs these exclude.
+    already bound otherwise is refused and binds nothing. A pair alone with its id and its expression is bound at once. Of the others, a few rounds
+    settle every pair that is first among the open pairs of both its id and its expression, and then the pairs these exclude. What is left hangs
+    together in small groups or in chains: each connected group is walked through in order, all groups side by side.
     """
     pair = ["sub_id", "expression"]
     rank = F.struct(F.col(order[0]).isNull().alias("late"), *order)
@@ -266,11 +267,10 @@ def restore_conflicts(records: DataFrame, order=("created", "key")) -> DataFrame
     counted = durable(lookup(counted, by_text, ["expression"], ["sub_id"], "inner"))
     alone = F.expr("_id_pairs = 1 AND _text_pairs = 1")
     settled = [counted.where(alone).select(*pair)]
-    open_pairs = counted.where(~alone).select(*pair, "rank")
-    conflicts = open_pairs.limit(WALKED + 1).count()
-    if 0 < conflicts <= WALKED:
-        settled.append(_walk(open_pairs))
-    while conflicts > WALKED:
+    open_pairs = durable(counted.where(~alone).select(*pair, "rank"))
+    for _ in range(ROUNDS):
+        if not open_pairs.head(1):
+            break
         by_id = durable(open_pairs.groupBy("sub_id").agg(F.min("rank").alias("_id_rank")))
         by_text = durable(open_pairs.groupBy("expression").agg(F.min("rank").alias("_text_rank")))
         ranked = lookup(open_pairs, by_id, ["sub_id"], ["expression"], "inner")
@@ -281,30 +281,38 @@ def restore_conflicts(records: DataFrame, order=("created", "key")) -> DataFrame
         left = ranked.where("NOT _wins").select(*pair, "rank")
         left = _without(left, won, "sub_id", "expression")
         open_pairs = durable(_without(left, won, "expression", "sub_id"))
-        conflicts = open_pairs.limit(WALKED + 1).count()
-        if 0 < conflicts <= WALKED:
-            settled.append(_walk(open_pairs))
+    if open_pairs.head(1):
+        settled.append(_walk(open_pairs))
     bound = durable(reduce(DataFrame.unionByName, settled).withColumn("restored", F.lit(True)))
     return lookup(records, bound, pair, list(order)).fillna(False, ["restored"])
 
 
 def _walk(pairs: DataFrame) -> DataFrame:
-    """The pairs that bind, one after the other by ``rank``; for a table of a checked size."""
+    """The pairs that bind, one after the other by ``rank`` in each group of pairs that share ids or expressions."""
     kinds = f"sub_id {pairs.schema['sub_id'].dataType.simpleString()}, expression string"
+    # An id and an expression are nodes, a pair is an edge. Two nodes with the same hash only make a group larger.
+    of_id, of_text = F.xxhash64(F.lit("id"), "sub_id"), F.xxhash64(F.lit("text"), "expression")
+    if pairs.count() <= ONE_GROUP:
+        grouped = pairs.withColumn("label", F.lit(0))
+    else:
+        labels = components(pairs.select(of_id.alias("a"), of_text.alias("b")))
+        grouped = uneven_join(durable(pairs.withColumn("_node", of_id)), labels, "_node", "node").drop("_node", "node")
 
     def walk(batches):
-        ids, texts, won = set(), set(), []
+        group, ids, texts = None, set(), set()
         for batch in batches:
-            for i, text in zip(batch.column("sub_id").to_pylist(), batch.column("expression").to_pylist(), strict=True):
+            won = []
+            for now, i, text in zip(*(batch.column(c).to_pylist() for c in ("label", "sub_id", "expression")), strict=True):
+                if now != group:
+                    group, ids, texts = now, set(), set()
                 if i not in ids and text not in texts:
                     ids.add(i)
                     texts.add(text)
                     won.append((i, text))
-        schema = pa.schema([("sub_id", batch.schema.field("sub_id").type), ("expression", pa.string())]) if won else None
-        if won:
+            schema = pa.schema([("sub_id", batch.schema.field("sub_id").type), ("expression", pa.string())])
             yield pa.RecordBatch.from_arrays([pa.array([w[k] for w in won], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    return pairs.repartition(1).sortWithinPartitions("rank").select("sub_id", "expression").mapInArrow(walk, kinds)
+    return grouped.repartition("label").sortWithinPartitions("label", "rank").select("label", "sub_id", "expression").mapInArrow(walk, kinds)
 
 
 def _without(pairs: DataFrame, won: DataFrame, column: str, spread_by: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fansieve.functions.predicates import CLAUSES_TYPE, Predicate, clauses_of
-from fansieve.operators.match import active_only, fan_out, match, match_ids, unmatched
+from fansieve.operators.match import active_only, fan_out, match, match_ids, match_pairs, unmatched
 from fansieve.operators.ordered import lookup
 from fansieve.operators.subscriptions import active_subscriptions
 from fansieve.plans.data import (
@@ -102,6 +102,40 @@ def match_order_lines(spark, sf_dir):
     return pairs.select("l_orderkey", "l_linenumber", "sub_id")
 
 
+def _lines_and_parts(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("sub_id"),
+        clauses_of(
+            [("l_partkey", "=", "p_partkey", "int"), ("l_quantity", ">", "p_size", "float")],
+            [("l_suppkey", "=", "p_partkey", "int"), ("l_returnflag", "=", "'R'", "str"), ("l_quantity", "<", "2", "float")],
+        ).alias("clauses"),
+    )
+    return spread(table(spark, sf_dir, "lineitem")), parts, {"l_partkey": "integer", "l_suppkey": "integer", "l_quantity": "float", "l_returnflag": "string"}
+
+
+def match_by_shuffle(spark, sf_dir):
+    """Parts as a clause table that is too large to broadcast; the lines' other columns join what matched afterwards."""
+    lines, parts, attributes = _lines_and_parts(spark, sf_dir)
+    pairs = match(lines, parts, attributes, key=("l_orderkey", "l_linenumber"), broadcast_limit=1024)
+    return pairs.select("l_orderkey", "l_linenumber", "sub_id", "l_extendedprice", "l_shipdate")
+
+
+def match_pairs_by_shuffle(spark, sf_dir):
+    """The same without the other columns, which are not even read."""
+    lines, parts, attributes = _lines_and_parts(spark, sf_dir)
+    return match_pairs(lines, parts, attributes, ("l_orderkey", "l_linenumber"), broadcast_limit=1024).select("l_orderkey", "l_linenumber", "sub_id")
+
+
+def match_states(spark, sf_dir):
+    """Every customer watches flagged events without a user, whatever their type but a few: nothing to hash but states."""
+    customers = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("sub_id"),
+        clauses_of([("user_id", "is null"), ("flag", "true"), ("event_type", "not in", "array(c_mktsegment, 'view', 'click')", "strs")]).alias("clauses"),
+    )
+    pairs = match(events(spark, sf_dir), customers, EVENT_ATTRIBUTES)
+    return pairs.groupBy("sub_id").agg(F.count("*").alias("matches"), F.max("event_id").alias("last_event"))
+
+
 def match_price_bands(spark, sf_dir):
     """Every customer watches a narrow band of order totals: ranges only, no equality."""
     customers = table(spark, sf_dir, "customer").select(
@@ -174,6 +208,9 @@ def queries():
         "skip_inactive_ids": skip_inactive_ids,
         "unmatched_events": unmatched_events,
         "match_order_lines": match_order_lines,
+        "match_by_shuffle": match_by_shuffle,
+        "match_pairs_by_shuffle": match_pairs_by_shuffle,
+        "match_states": match_states,
         "match_price_bands": match_price_bands,
         "match_suppliers": match_suppliers,
         "match_supplier_alarms": match_supplier_alarms,
@@ -200,6 +237,16 @@ def oracle_sql():
         "match_order_lines": """
             SELECT l_orderkey, l_linenumber, p_partkey AS sub_id FROM lineitem JOIN part ON l_partkey = p_partkey
             WHERE l_quantity > p_size AND l_returnflag IN ('A', 'N')""",
+        "match_by_shuffle": """
+            SELECT l_orderkey, l_linenumber, p_partkey AS sub_id, l_extendedprice, l_shipdate FROM lineitem JOIN part
+            ON (l_partkey = p_partkey AND l_quantity > p_size) OR (l_suppkey = p_partkey AND l_returnflag = 'R' AND l_quantity < 2)""",
+        "match_pairs_by_shuffle": """
+            SELECT l_orderkey, l_linenumber, p_partkey AS sub_id FROM lineitem JOIN part
+            ON (l_partkey = p_partkey AND l_quantity > p_size) OR (l_suppkey = p_partkey AND l_returnflag = 'R' AND l_quantity < 2)""",
+        "match_states": f"""
+            SELECT c_custkey AS sub_id, count(*) AS matches, max(event_id) AS last_event FROM customer JOIN ({EVENTS}) e
+            ON user_id IS NULL AND flag AND event_type NOT IN (c_mktsegment, 'view', 'click')
+            GROUP BY c_custkey""",
         "match_price_bands": """
             SELECT c_custkey AS sub_id, count(*) AS matches, min(o_orderkey) AS first_order
             FROM orders JOIN customer ON o_totalprice > c_acctbal * 40 AND o_totalprice <= c_acctbal * 40 + 2000

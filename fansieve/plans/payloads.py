@@ -14,7 +14,7 @@ from fansieve.plans.matching import MATCH_ALL, subscription_table
 from fansieve.plans.predicates import ON_EVENTS
 from fansieve.session import shared_folder, table
 from fansieve.sources.inputs import union_subjects
-from fansieve.sources.sinks import route
+from fansieve.sources.topics import TopicTable
 
 MAX_BYTES = 110
 
@@ -89,9 +89,9 @@ def route_to_topic(spark, sf_dir):
     path = f"{shared_folder(spark)}/fansieve/routed-{uuid.uuid4().hex}"
     subscriptions = subscription_table(spark, [p for p, _ in ON_EVENTS.values()])
     matches = fan_out(events(spark, sf_dir), subscriptions, PREFIX, attributes=EVENT_ATTRIBUTES)
-    route(matches.select("event_id", "value", "topic"), path)
-    arrived = spark.read.schema("event_id bigint, value double, topic string").parquet(path)
-    return arrived.groupBy("topic").agg(
+    topics = TopicTable(spark, path)
+    topics.write(matches.select("event_id", "value", "topic"), 0)
+    return topics.read().groupBy("topic").agg(
         F.count("*").alias("records"), F.min("event_id").alias("first_event"), F.max("value").alias("largest")
     )
 

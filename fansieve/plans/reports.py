@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from fansieve.functions.attributes import attributes_of
 from fansieve.functions.predicates import clauses_of
 from fansieve.operators import stats
-from fansieve.operators.decode import decode_payloads
+from fansieve.operators.decode import parse_payload, typed_events
 from fansieve.operators.infer import catalog_schema, infer_schema, rejected_samples, schema_text
-from fansieve.operators.match import match
+from fansieve.operators.match import match_ids
 from fansieve.operators.ordered import lay_out
 from fansieve.plans.data import EVENT_ATTRIBUTES, EVENT_COLUMNS, PAYLOAD_SCHEMA, PAYLOADS, PREFIX, payloads
 from fansieve.plans.matching import MATCH_ALL, subscription_table
@@ -19,8 +19,12 @@ from fansieve.plans.payloads import MAX_BYTES, TYPED
 from fansieve.plans.predicates import ON_EVENTS
 from fansieve.session import shared_folder, table
 from fansieve.sources.inputs import read_inputs
+from fansieve.sources.topics import TopicTable
 from fansieve.streaming.router import route_stream, window_counts
 
+#: Counters that are known before matching.
+TAKEN_IN = ("received", "empty", "input_dropped", "processed", "match_failures")
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
@@ -39,17 +43,19 @@ def payload_watchers(spark, sf_dir):
 
 
 def _flow(spark, sf_dir):
-    """Intake counters per message, and the matches of what could be decoded."""
+    """Counters per message: what was taken in, and what it matched. Each message is parsed once and stays in its row."""
     messages = payloads(spark, sf_dir).select("event_id", "ts", "payload")
-    decoded = decode_payloads(messages, PAYLOAD_SCHEMA, max_bytes=MAX_BYTES)
-    root = F.expr("startswith(schema_of_variant(try_parse_json(payload)), 'OBJECT')")
-    taken_in = stats.intake(messages, root, max_bytes=MAX_BYTES)
-    return taken_in, match(decoded.where("decodable"), payload_watchers(spark, sf_dir), attributes_of(PAYLOAD_SCHEMA))
+    decoded = parse_payload(messages, into="_body").withColumn("decodable", F.col("_body").isNotNull())
+    taken_in = stats.intake(decoded, F.col("decodable"), max_bytes=MAX_BYTES)
+    usable = F.expr("CASE WHEN processed = 1 THEN _body END")
+    typed = typed_events(taken_in.withColumn("_body", usable), PAYLOAD_SCHEMA, "_body", keep=["event_id", "ts", *TAKEN_IN])
+    typed = typed.withColumn("decodable", F.expr("processed = 1 AND match_failures = 0"))
+    ids = match_ids(typed, payload_watchers(spark, sf_dir), decodable="decodable", attributes=attributes_of(PAYLOAD_SCHEMA), carry=["ts", *TAKEN_IN])
+    return stats.counted(ids)
 
 
 def match_stats(spark, sf_dir):
-    taken_in, pairs = _flow(spark, sf_dir)
-    counted = stats.totals(taken_in, pairs, "event_id", keep=("ts",))
+    counted = stats.totals(_flow(spark, sf_dir))
     subscriptions = payload_watchers(spark, sf_dir).agg(F.count("*").alias("subscriptions"))
     wide = counted.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, stats.COUNTERS)), F.array(*stats.COUNTERS))).alias("counter", "value"))
     return wide.unionByName(subscriptions.select(F.lit("subscriptions").alias("counter"), F.col("subscriptions").alias("value")))
@@ -57,9 +63,8 @@ def match_stats(spark, sf_dir):
 
 def stats_by_window(spark, sf_dir):
     """Counters per hour, and published rows so far."""
-    taken_in, pairs = _flow(spark, sf_dir)
     hour = F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("hour")
-    hourly = stats.totals(taken_in, pairs, "event_id", by=(hour,), keep=("ts",))
+    hourly = stats.totals(_flow(spark, sf_dir), by=(hour,))
     return lay_out(hourly, [], ["hour"]).sum_through("published_so_far", F.col("published")).rows()
 
 
@@ -112,7 +117,7 @@ def stream_route(spark, sf_dir):
 
     run = route_stream(stream, snapshot, PREFIX, f"{base}/out", f"{base}/checkpoint", attributes=EVENT_ATTRIBUTES)
     run.awaitTermination()
-    arrived = spark.read.schema("event_id bigint, value double, batch int, topic string").parquet(f"{base}/out")
+    arrived = TopicTable(spark, f"{base}/out").read()
     return arrived.groupBy("topic").agg(F.count("*").alias("records"), F.max("event_id").alias("last_event"))
 
 

@@ -1,8 +1,8 @@
 """Matching and routing streams.
 
 Every micro-batch reads one version of the subscriptions and is matched with the same code as a
-batch. A batch writes its own folder and overwrites it when it is retried, so each event is routed
-exactly once.
+batch. What it sends is committed with its counters in one step (see ``sources.topics``), and a batch that is retried
+after that does nothing, so each event is routed and counted exactly once.
 """
 
 from __future__ import annotations
@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fansieve.operators.match import match, with_topic
+from fansieve.operators.snapshots import SnapshotStore
 from fansieve.operators.subscriptions import active_subscriptions
-from fansieve.sources.sinks import route
+from fansieve.sources.topics import TopicTable
 
 Snapshot = Callable[[SparkSession, DataFrame], DataFrame]
 
@@ -28,7 +29,21 @@ def log_snapshot(log_path: str, definitions: DataFrame, ttl: int, clock: Callabl
 
     def read(spark: SparkSession, batch: DataFrame) -> DataFrame:
         active = active_subscriptions(spark.read.parquet(log_path), clock(batch), ttl)
-        return active.join(definitions, "expression")
+        return active.join(definitions.dropDuplicates(["expression"]), "expression")
+
+    return read
+
+
+def stored_snapshot(log_path: str, store_path: str, definitions: DataFrame, ttl: int, clock: Callable[[DataFrame], object]) -> Snapshot:
+    """As ``log_snapshot``, but each micro-batch goes on from the last stored version and reads only the requests since.
+
+    The log must be written to in order of time, as ``append_control_log`` does for a stream in order. A batch that is older than the last version is
+    answered from the version before it.
+    """
+
+    def read(spark: SparkSession, batch: DataFrame) -> DataFrame:
+        active = SnapshotStore(spark, store_path).at(spark.read.parquet(log_path), clock(batch), ttl).active()
+        return active.join(definitions.dropDuplicates(["expression"]), "expression")
 
     return read
 
@@ -48,13 +63,27 @@ def route_stream(
     trigger: dict | None = None,
     **options,
 ) -> StreamingQuery:
-    """Start matching a stream and writing one folder per topic under ``path/batch=<n>``."""
+    """Start matching a stream and writing it as a ``TopicTable`` at ``path``.
+
+    Counters per batch: received, matched (events with a match) and published (rows). ``key`` tells events apart.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
+        spark = batch.sparkSession
+        topics = TopicTable(spark, path)
+        if topics.committed(batch_id):
             return
-        subscriptions = with_topic(snapshot(batch.sparkSession, batch), output_prefix)
-        route(match(batch, subscriptions, key=(key,), **options), f"{path}/batch={batch_id}")
+        # Read once for its size, the clock and the match.
+        batch = batch.persist()
+        try:
+            received = batch.count()
+            if not received:
+                return
+            subscriptions = with_topic(snapshot(spark, batch), output_prefix)
+            matches = match(batch, subscriptions, key=(key,), **options)
+            topics.write(matches, batch_id, lambda sent: {"received": received, "matched": sent.select(key).distinct().count(), "published": sent.count()})
+        finally:
+            batch.unpersist()
 
     writer = events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from fansieve.operators import ordered, subscriptions
+from fansieve.operators import graph, ordered, subscriptions
 from fansieve.operators.leases import check_records, current_leases, latest_records, lease_intervals, lease_status, live_leases, reconcile
 
 TTL = 100
@@ -155,8 +155,9 @@ def walk(records):
     return kept
 
 
-@pytest.mark.parametrize("seed", [5, 6])
-def test_restore_conflicts(spark, seed):
+@pytest.mark.parametrize(("seed", "one_group"), [(5, 20_000), (6, 0)])
+def test_restore_conflicts(spark, seed, one_group, monkeypatch):
+    monkeypatch.setattr(subscriptions, "ONE_GROUP", one_group)
     r = random.Random(seed)
     records = [(f"k{i}", 0 if r.random() < 0.33 else r.randrange(12), f"e{r.randrange(12)}", r.randrange(100)) for i in range(150)]
     df = spark.createDataFrame(records, "key string, sub_id bigint, expression string, created bigint")
@@ -213,8 +214,9 @@ def test_deduplicate_and_remove(spark):
     assert {tuple(r) for r in subscriptions.force_remove_results(active, ids).collect()} == {(2, True), (3, False)}
 
 
-def test_a_long_chain_of_conflicts_and_records_without_a_time(spark):
-    links = [(f"{i // 2 + i % 2}.c", i // 2 + i % 2, f"value > {i // 2}", i) for i in range(240)]
+def test_a_long_chain_of_conflicts_and_records_without_a_time(spark, monkeypatch):
+    monkeypatch.setattr(subscriptions, "ONE_GROUP", 0)
+    links = [(f"{i // 2 + i % 2}.c", i // 2 + i % 2, f"value > {i // 2}", i) for i in range(10_000)]
     alone = [(f"{k}.x", k, f"other {k}", None) for k in range(1000, 1010)]
     late = [("2000.a", 2000, "late", None), ("2000.b", 2000, "early", 5)]
     df = spark.createDataFrame([(k, s, e, c) for k, s, e, c in links + alone + late], "key string, sub_id bigint, expression string, created bigint")
@@ -239,3 +241,18 @@ def test_replies_name_what_was_asked_for(spark):
     assert {tuple(x) for x in subscriptions.unsubscribe_replies(df).collect()} == {(1, 7, True), (2, 3, False)}
     messages = spark.createDataFrame([(1, "sub", "{"), (2, "sub", '{"expression": "a = 1", "client_id": "c"}')], "seq bigint, op string, payload string")
     assert [tuple(x) for x in subscriptions.error_replies(subscriptions.control_log(messages)).collect()] == [(1, "Bad request: not JSON")]
+
+
+def test_components_of_chains_take_few_rounds(spark, monkeypatch):
+    rounds, uneven = [], graph.uneven_join
+    monkeypatch.setattr(graph, "uneven_join", lambda *a, **b: rounds.append(1) or uneven(*a, **b))
+    monkeypatch.setattr(graph, "FREQUENT_ROWS", 5)
+    r = random.Random(1)
+    names = list(range(6000))
+    r.shuffle(names)
+    # A chain in any order, a star, and a pair.
+    edges = list(zip(names[:4000], names[1:4000], strict=False)) + [(names[4000], n) for n in names[4001:5900]] + [(names[5998], names[5999])]
+    labels = {x["node"]: x["label"] for x in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    parts = [names[:4000], names[4000:5900], names[5998:]]
+    assert labels == {n: min(p) for p in parts for n in p}
+    assert len(rounds) <= 2 * 14

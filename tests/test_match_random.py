@@ -1,6 +1,7 @@
 """Random events and subscriptions: the join against plain filters, for every way to run it."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -256,3 +257,76 @@ def test_a_normal_form_has_a_limit():
     with pytest.raises(InvalidPredicate):
         predicate.clauses()
     assert " OR " in predicate.sql()
+
+
+def captured(monkeypatch):
+    plans, made = [], match_module._plan
+    monkeypatch.setattr(match_module, "_plan", lambda *a: plans.append(made(*a)) or plans[-1])
+    return plans
+
+
+def test_states_are_access_keys(spark, case, monkeypatch):
+    events, _, _ = case
+    plans = captured(monkeypatch)
+    predicates = [attr("a").is_null() & (attr("b") != "p"), attr("d").is_true() & attr("f").is_empty(), attr("e").is_not_empty() & attr("g").is_null() & (attr("b") != "q")]
+    predicates += [attr("b") != "q", attr("b").not_in("p", "q"), attr("e").none_of(1, 2), ~attr("d").is_true() & attr("b").is_not_null()]
+    hits = events.select("event_id", F.array(*(F.coalesce(p.column(), F.lit(False)) for p in predicates)).alias("m")).collect()
+    expected = {(row["event_id"], i) for row in hits for i, m in enumerate(row["m"]) if m}
+    for options in ({}, {"broadcast_limit": 0}):
+        assert pairs(match(events, table_of(spark, predicates), strategy="template", **options)) == expected
+    paths = {(p.states, p.equal, p.member, p.element) for p in plans[0].access.paths}
+    # Only clauses with nothing but exclusions meet every event.
+    assert sum(not any(p) for p in paths) == 1 and len(paths) == 5
+    ranked = plans[0].clause_side.join(plans[0].clause_side.groupBy("_key").count(), "_key").where("count = 3").select("r0").distinct().collect()
+    assert {r["r0"] for r in ranked} == {3, 4, 5}
+
+
+@pytest.mark.parametrize("filter_keys", [1 << 20, 0])
+def test_the_shuffle_join_moves_keys_and_attributes_only(spark, case, monkeypatch, filter_keys):
+    events, subscriptions, expected = case
+    monkeypatch.setattr(match_module, "FILTER_KEYS", filter_keys)
+    wide = events.withColumns({"payload": F.concat(F.lit("p"), F.col("event_id")), "_heavy": F.lit(1)})
+    # Repeated and null keys, and rows that are repeated as they are.
+    wide = wide.unionByName(wide.where("event_id < 50")).withColumn("event_id", F.expr("nullif(event_id, 7)"))
+    attributes = {c: k for c, k in zip("abcdefg", ["integer", "string", "float", "boolean", "integer_list", "string_list", "integer"], strict=True)}
+    found = match(wide, subscriptions, attributes, broadcast_limit=0)
+    assert found.columns == [*wide.columns, "sub_id"]
+    got = Counter((r["payload"], r["sub_id"]) for r in found.collect())
+    assert got == Counter({(f"p{e}", s): 2 if e < 50 else 1 for e, s in expected})
+    narrow = match_module.match_pairs(wide, subscriptions, attributes, broadcast_limit=0)
+    assert "payload" not in narrow.columns and narrow.count() == sum(got.values())
+
+
+def test_heavy_keys_are_salted_alone(spark, case, monkeypatch):
+    events, _, _ = case
+    monkeypatch.setattr(match_module, "SAMPLED", 1.0)
+    predicates = [(attr("b") == x) & (attr("g") > 30 * i) for x in "pq" for i in range(30)] + [(attr("b") == "z") & (attr("g") == 5)]
+    table = table_of(spark, predicates)
+    want = pairs(match(events, table, strategy="compiled"))
+    salted = match(events, table, strategy="template", broadcast_limit=0)
+    assert pairs(salted) == want and want
+
+
+@pytest.mark.parametrize("lists", [True, False])
+def test_ids_without_an_exchange(spark, case, lists):
+    events, _, _ = case
+    predicates = [(attr("a") == i) & (attr("g") > 20 * i) | (attr("b") == "p") & (attr("g") == i) for i in range(40)]
+    predicates += [attr("e").one_of(i, i + 1) | (attr("c") > 10.0 * i) for i in range(8)] if lists else []
+    table = table_of(spark, predicates)
+    want = {e: [] for e in range(400)}
+    for e, s in pairs(match(events, table)):
+        want[e].append(s)
+    batches = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (batches, 3):
+            # Events go on from one batch to the next.
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            ids = match_ids(events, table, carry=["b"])
+            assert {r["event_id"]: r["ids"] for r in ids.collect()} == {e: sorted(s) for e, s in want.items()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batches)
+    assert ids.columns == ["event_id", "b", "ids"]
+    plan = ids._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan.split("BroadcastExchange")[0] and "mapinarrow" in plan.lower()
+    grouped = match_ids(events, table, carry=["b"], broadcast_limit=0)
+    assert {r["event_id"]: r["ids"] for r in grouped.collect()} == {e: sorted(s) for e, s in want.items()}

@@ -12,10 +12,11 @@ from fansieve.functions.predicates import CLAUSES_TYPE, attr
 from fansieve.operators.decode import decode_payloads, within_size
 from fansieve.operators.infer import SampleError, catalog_schema, infer_schema, schema_text
 from fansieve.operators.match import fan_out, match_ids, with_topic
-from fansieve.operators.stats import intake, totals
+from fansieve.operators.stats import counted, intake, totals
 from fansieve.sources.inputs import default_output_prefix, read_inputs, union_subjects
 from fansieve.sources.sinks import route, topic_records
-from fansieve.streaming.router import append_control_log, latest_event_time, log_snapshot, route_stream, window_counts
+from fansieve.streaming.router import append_control_log, latest_event_time, log_snapshot, route_stream, stored_snapshot, window_counts
+from fansieve.sources.topics import TopicTable
 
 SCHEMA = attribute_schema(["b:bool", "i:int", "f:float", "s:str", "sl:string_list", "il:int_list", "odd-name.x:int"])
 
@@ -64,8 +65,10 @@ def test_counters(spark):
     ids = match_ids(decoded, subscriptions, decodable="decodable")
     assert {r["event_id"]: r["ids"] for r in ids.collect()} == {1: [0, 1], 3: None, 4: None, 5: []}
     pairs = ids.select("event_id", F.explode("ids").alias("sub_id"))
+    assert {tuple(r) for r in pairs.collect()} == {(1, 0), (1, 1)}
     taken = intake(messages, F.expr("startswith(schema_of_variant(try_parse_json(payload)), 'OBJECT')"), max_bytes=40)
-    assert totals(taken, pairs, "event_id").first().asDict() == {
+    rows = counted(taken.join(ids, "event_id", "left"))
+    assert totals(rows).first().asDict() == {
         "received": 6, "empty": 1, "input_dropped": 1, "processed": 4, "match_failures": 2, "matched": 1, "published": 2
     }
 
@@ -173,9 +176,68 @@ def test_streams_match_like_batches(spark, tmp_path):
     query = route_stream(stream, snapshot, "out", str(tmp_path / "out"), str(tmp_path / "c2"))
     query.awaitTermination()
     assert len([p for p in query.recentProgress if p["numInputRows"]]) == 3
-    got = {(r["event_id"], r["topic"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    topics = TopicTable(spark, str(tmp_path / "out"))
+    got = {(r["event_id"], r["topic"]) for r in topics.read().collect()}
     # The first part sees subscription 1, the later ones only subscription 2.
     assert got == {(i, "out.1") for i in range(6, 10)} | {(10 * n + i, "out.2") for n in (1, 2) for i in (0, 1)}
+    assert {(r["event_id"], r["batch"]) for r in topics.read("out.2").collect()} == {(10, 1), (11, 1), (20, 2), (21, 2)}
+    assert {r["counter"]: r["value"] for r in topics.totals().collect()} == {"received": 30, "matched": 8, "published": 8}
+
+    # The same with stored snapshots: each batch reads the requests since the one before.
+    read = []
+    stored = stored_snapshot(str(tmp_path / "log"), str(tmp_path / "store"), definitions.union(definitions), 24 * 3600, lambda b: read.append(latest_event_time()(b)) or read[-1])
+    again = route_stream(stream, stored, "out", str(tmp_path / "out2"), str(tmp_path / "c3"))
+    again.awaitTermination()
+    assert {(r["event_id"], r["topic"]) for r in TopicTable(spark, str(tmp_path / "out2")).read().collect()} == got
+    assert [r["as_of"] for r in spark.read.parquet(str(tmp_path / "store" / "versions")).orderBy("as_of").collect()] == read
+
+
+@pytest.mark.parametrize("when", ["before the commit", "after the commit"])
+def test_a_batch_that_is_retried_arrives_once(spark, tmp_path, monkeypatch, when):
+    schema = "event_id bigint, value bigint"
+    for n in range(3):
+        spark.createDataFrame([(10 * n + i, i) for i in range(10)], schema).coalesce(1).write.parquet(str(tmp_path / "events" / f"part{n}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "events" / "*"))
+    predicates = [attr("value") > 6, attr("value") > 8, attr("value") == 0]
+    subscriptions = spark.createDataFrame([(i, p.clauses()) for i, p in enumerate(predicates)], f"sub_id bigint, clauses {CLAUSES_TYPE.simpleString()}")
+
+    def run():
+        query = route_stream(stream, lambda s, b: subscriptions, "out", str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+        query.awaitTermination()
+
+    commit = TopicTable._commit
+
+    def fails(self, batch_id, manifest):
+        if when == "after the commit":
+            commit(self, batch_id, manifest)
+        if batch_id == 1:
+            raise RuntimeError("killed")
+        if when == "before the commit":
+            commit(self, batch_id, manifest)
+
+    monkeypatch.setattr(TopicTable, "_commit", fails)
+    with pytest.raises(Exception, match="killed"):
+        run()
+    monkeypatch.setattr(TopicTable, "_commit", commit)
+    run()
+    topics = TopicTable(spark, str(tmp_path / "out"))
+    rows = [(r["event_id"], r["topic"]) for r in topics.read().collect()]
+    want = {(10 * n + i, f"out.{s}") for n in range(3) for s, of in enumerate(([7, 8, 9], [9], [0])) for i in of}
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    assert {r["counter"]: r["value"] for r in topics.totals().collect()} == {"received": 30, "matched": 12, "published": 15}
+    assert topics.manifests().count() == 3
+
+
+def test_files_do_not_grow_with_topics(spark, tmp_path):
+    rows = spark.range(4000).selectExpr("id AS event_id", "concat('t', id % 1000) AS topic", "repeat('x', 20) AS payload")
+    topics = TopicTable(spark, str(tmp_path))
+    with pytest.raises(FileNotFoundError):
+        topics.read()
+    assert topics.write(rows, 7) and not topics.write(rows, 7)
+    found = topics.read("t5", "t6")
+    assert found.count() == 8 and {r["batch"] for r in found.collect()} == {7}
+    assert len(list((tmp_path / "data").glob("*/*.parquet"))) <= 8
+    assert topics.read().drop("batch").exceptAll(rows).isEmpty() and topics.read().count() == 4000
 
 
 def test_stream_counts_like_a_table(spark, tmp_path):
