@@ -29,8 +29,8 @@ from fansieve.session import table
 LETTERS: Split = split_at([*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)], lower=True)
 BUCKETS = 1 << 16
 NGRAMS, AFFIXES = (2, 3, 4), (1, 2, 3)
-#: Training: texts of each language, words taken in all, words in a piece of one language (mean), in a sequence, sequences at a time.
-PER_LANGUAGE, MOST_WORDS, PIECE, SEQUENCE, AT_ONCE, PASSES, STEP, RIDGE = 250, 300_000, 25, 128, 64, 3, 0.05, 1e-5
+#: Training: texts of each language, words in a piece of one language (mean), in a sequence, sequences at a time.
+PER_LANGUAGE, PIECE, SEQUENCE, AT_ONCE, PASSES, STEP, RIDGE = 100, 25, 128, 64, 3, 0.05, 1e-5
 #: A word is in the lexicon if it occurs so often in the training words.
 LEXICON_COUNT = 4
 #: Bytes of text that are labelled together, and distinct words whose features are held at a time.
@@ -85,11 +85,17 @@ class Field:
 
 
 def marginals(evidence: np.ndarray, word: np.ndarray, first: np.ndarray, size: np.ndarray, move: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """The probability of each label at each running word, by forward-backward over many sequences side by side.
+    return forward_backward(evidence, word, first, size, move, begin)[0]
+
+
+def forward_backward(
+    evidence: np.ndarray, word: np.ndarray, first: np.ndarray, size: np.ndarray, move: np.ndarray, begin: np.ndarray, pairs: bool = False
+) -> tuple[np.ndarray, np.ndarray]:
+    """The probability of each label at each running word, over many sequences side by side; if ``pairs``, also how many moves from label to label are expected.
 
     Sequence i is ``word[first[i]:first[i] + size[i]]``, numbers of rows of ``evidence``; sequences come longest first.
     """
-    out = np.zeros((len(word), evidence.shape[1]))
+    out, moved = np.zeros((len(word), evidence.shape[1])), np.zeros_like(move)
     longest = int(size[0]) if len(size) else 0
     going = np.searchsorted(-size, -np.arange(longest), side="left")  # sequences with more than t words
     a = None
@@ -105,10 +111,15 @@ def marginals(evidence: np.ndarray, word: np.ndarray, first: np.ndarray, size: n
             b = np.concatenate([b, np.ones((n - len(b), evidence.shape[1]))])
         at = first[:n] + t
         out[at] *= b
-        b = (evidence[word[at]] * b) @ move.T
+        b = evidence[word[at]] * b
+        if pairs and t:
+            # Where the word before stands, only what lies before it is known so far.
+            both = out[at - 1][:, :, None] * move * b[:, None, :]
+            moved += (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        b = b @ move.T
         b /= b.sum(axis=1, keepdims=True)
     out /= out.sum(axis=1, keepdims=True)
-    return out
+    return out, moved
 
 
 def train(examples: list[tuple[str, str]], seed: int = 3) -> Field:
@@ -133,11 +144,11 @@ def train(examples: list[tuple[str, str]], seed: int = 3) -> Field:
             pieces.append((d, at, end))
             at = end
     order = r.permutation(len(pieces))
-    running = np.concatenate([number[pieces[i][1] : pieces[i][2]] for i in order])[:MOST_WORDS]
-    truth = np.concatenate([np.full(pieces[i][2] - pieces[i][1], label_of[pieces[i][0]]) for i in order])[:MOST_WORDS]
-    n, size = len(labels), min(SEQUENCE, len(running))
-    sequences = len(running) // size
-    first = np.arange(sequences) * size
+    running = np.concatenate([number[pieces[i][1] : pieces[i][2]] for i in order])
+    truth = np.concatenate([np.full(pieces[i][2] - pieces[i][1], label_of[pieces[i][0]]) for i in order])
+    # Sequences of one length; the last has what is left.
+    n, first = len(labels), np.arange(0, len(running), SEQUENCE)
+    sizes = np.diff(np.append(first, len(running)))
     numbers, buckets = features(words, where, field.lexicon)
     by_word = np.argsort(numbers, kind="stable")
     numbers, buckets = numbers[by_word], buckets[by_word]
@@ -145,31 +156,33 @@ def train(examples: list[tuple[str, str]], seed: int = 3) -> Field:
     square = np.zeros_like(field.weight) + 1e-8
     turn = 0
     for _ in range(PASSES):
-        for chosen in np.array_split(r.permutation(sequences), max(1, sequences // AT_ONCE)):
+        for chosen in np.array_split(r.permutation(len(first)), max(1, len(first) // AT_ONCE)):
             turn += 1
-            at = (first[chosen][:, None] + np.arange(size)).ravel()
+            chosen = chosen[np.argsort(-sizes[chosen], kind="stable")]
+            size = sizes[chosen]
+            at = np.concatenate([np.arange(first[i], first[i] + sizes[i]) for i in chosen])
+            start = np.cumsum(size) - size
             here, word = np.unique(running[at], return_inverse=True)
             counts = edge[here + 1] - edge[here]
             of = np.repeat(np.arange(len(here)), counts)
             bucket = buckets[np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(edge[here], counts)]
             evidence = field.evidence(of, bucket, len(here))
             move, begin = field.moves()
-            p = marginals(evidence, word, np.arange(len(chosen)) * size, np.full(len(chosen), size), move, begin)
+            p, moved = forward_backward(evidence, word, start, size, move, begin, pairs=True)
             want = np.eye(n)[truth[at]]
             off = want - p
             # Words to features, and Adagrad steps.
             by_here = np.stack([np.bincount(word, off[:, k], minlength=len(here)) for k in range(n)], axis=1)
-            step = np.stack([np.bincount(bucket, by_here[of, k], minlength=BUCKETS) for k in range(n)], axis=1).astype(np.float32) / size
+            step = np.stack([np.bincount(bucket, by_here[of, k], minlength=BUCKETS) for k in range(n)], axis=1).astype(np.float32) / SEQUENCE
             step -= RIDGE * field.weight
             square += step * step
             field.weight += STEP * 4 * step / np.sqrt(square)
-            # Expected moves, from the marginals of neighbours given the evidence on both sides.
-            p2, w2 = p.reshape(len(chosen), size, n), want.reshape(len(chosen), size, n)
-            joint = p2[:, :-1, :, None] * move * p2[:, 1:, None, :]
-            joint /= joint.sum(axis=(2, 3), keepdims=True)
-            seen = np.einsum("sti,stj->ij", w2[:, :-1], w2[:, 1:])
-            field.move += 8.0 * (seen - joint.sum(axis=(0, 1))) / (len(chosen) * max(size - 1, 1))
-            field.begin += 0.5 * (w2[:, 0] - p2[:, 0]).mean(axis=0)
+            # Moves that are there less those expected, per move.
+            inside = np.delete(np.arange(len(at)), start)
+            seen = np.zeros((n, n))
+            np.add.at(seen, (truth[at[inside] - 1], truth[at[inside]]), 1)
+            field.move += 8.0 * (seen - moved) / max(len(inside), 1)
+            field.begin += 0.5 * off[start].mean(axis=0)
     return field
 
 

@@ -6,9 +6,11 @@ probability of a word is that of its class, a softmax of the recurrent state, ti
 state too for frequent words, else proportional to its count plus one. So every word has a probability, and all those of a
 vocabulary with one unseen word sum to one.
 
-The network is trained on the driver by truncated backpropagation, on a bounded sample of training texts (``SAMPLE``, by a hash
-of the id); the counts, and with them the probabilities inside classes, come from all training texts and grow with them. Texts
-are scored window by window; the state goes on from one window to the next until the text's end, so a score is that of the whole text.
+The network learns from all training texts, where they are. In each of ``ROUNDS`` rounds every task starts from the same weights and runs truncated
+backpropagation over its texts of that round, so each text is learned from once (of a small corpus, several times). It returns sums of
+a fixed size: its weights times how many tokens spoke for them, and these numbers. They are added up in a tree and the next round begins from the averages. Inputs and classes have
+numbers of their own, so what occurs in a few tasks only is averaged over these. No text reaches the driver. Texts are scored window by window; the state is
+zero where a text begins, in training and in scoring, and goes on from one window to the next until its end, so a score is that of the whole text.
 
 Only the head of the vocabulary, of a fixed size, is sent to every task. The words beyond it leave the task as hashes and meet their counts
 in a join, in which no word is frequent, so no key is hot. Words are told apart by 64-bit hashes.
@@ -24,19 +26,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fansieve.llm.arrow import BY_WHITE_LOWER, Words, crc32_mod, distinct, rows, slices, strings
-from fansieve.llm.sampling import bounded_sample
 from fansieve.session import durable, table
 
 #: Words whose place in their class is learned, how many are in such a class, and words whose counts every task has.
 FREQUENT, CLASS_SIZE, HEAD = 512, 32, 1 << 18
 #: Size of the state, of the inputs, and of a window of training and of scoring.
-STATE, INPUT, TRAIN_WINDOW, SCORE_WINDOW = 16, 16, 24, 24
-#: Training: texts, the most words taken of them in all, parallel streams, steps in all, the most passes for it, and step size.
-SAMPLE, SAMPLE_WORDS, STREAMS, STEPS, PASSES, STEP = 1200, 900_000, 96, 800, 6, 8e-3
+STATE, INPUT, TRAIN_WINDOW, SCORE_WINDOW = 16, 16, 16, 24
+#: Training: rounds, parallel streams and the tokens that make one, tokens that are laid out in streams together, step size.
+ROUNDS, STREAMS, STREAM_TOKENS, LAID_OUT, STEP = 3, 256, 2048, 1 << 20, 8e-3
+#: A corpus of fewer tokens is gone over several times, at most so many.
+LEAST_TOKENS, PASSES = 3_000_000, 6
+#: Tasks whose sums are added up in one.
+TREE = 32
 #: The end of a text, as a token of its own: no word has this hash by its making from bytes.
 END = np.uint64(0xE0D)
 
@@ -149,16 +154,18 @@ class Network:
                 out[some] += inside[np.arange(len(some)), v.place[word[some]] % CLASS_SIZE]
         return out
 
-    def gradients(self, v: Vocabulary, before: np.ndarray, word: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
-        """One window of streams [time, stream]: gradients of the mean loss, the state at its end, the loss."""
+    def gradients(self, v: Vocabulary, before: np.ndarray, word: np.ndarray, h: np.ndarray, fresh: np.ndarray) -> tuple[dict, np.ndarray, float]:
+        """One window of streams [time, stream]: gradients of the mean loss, the state at its end, the loss. Where ``fresh``, a text begins."""
         table, steps, streams = self.projected(), *word.shape
-        states, kept = [h], []
+        olds, states, kept = [], [], []
         for t in range(steps):
+            h = np.where(fresh[t][:, None], np.float32(0), h)
+            olds.append(h)
             h, k = self.step(table[before[t]], h)
             states.append(h)
             kept.append(k)
         total = steps * streams
-        flat, target = np.concatenate(states[1:]), word.ravel()
+        flat, target = np.concatenate(states), word.ravel()
         classes = v.word_class[target]
         g = {name: np.zeros_like(getattr(self, name)) for name in self.NAMES}
         log_p = _log_softmax(flat @ self.class_w + self.class_b)
@@ -179,7 +186,7 @@ class Network:
         d_h, d_gates = np.zeros_like(h), np.zeros((steps, streams, 3 * STATE), np.float32)
         for t in range(steps - 1, -1, -1):
             zr, rh, c = kept[t]
-            z, r, old = zr[:, :STATE], zr[:, STATE:], states[t]
+            z, r, old = zr[:, :STATE], zr[:, STATE:], olds[t]
             d_h = d_h + d_flat[t * streams : (t + 1) * streams]
             d_c = d_h * z * (1 - c * c)
             d_rh = d_c @ self.wc.T
@@ -188,47 +195,130 @@ class Network:
             g["wc"] += rh.T @ d_c
             g["wh"] += old.T @ d_zr
             d_gates[t] = np.concatenate([d_zr, d_c], axis=1)
-            d_h = d_h * (1 - z) + d_rh * r + d_zr @ self.wh.T
+            d_h = np.where(fresh[t][:, None], np.float32(0), d_h * (1 - z) + d_rh * r + d_zr @ self.wh.T)
         d_gates = d_gates.reshape(total, -1)
-        inputs = self.embed[before.ravel()]
+        at = before.ravel()
+        inputs, d_inputs = self.embed[at], d_gates @ self.wx.T
         g["wx"], g["bx"] = inputs.T @ d_gates, d_gates.sum(axis=0)
-        np.add.at(g["embed"], before.ravel(), d_gates @ self.wx.T)
+        g["embed"] = np.stack([np.bincount(at, d_inputs[:, k], minlength=v.inputs) for k in range(INPUT)], axis=1).astype(d_inputs.dtype)
         return {k: x / np.float32(total) for k, x in g.items()}, h, float(loss / total)
 
 
-def train(v: Vocabulary, word: np.ndarray, seed: int = 7) -> Network:
-    """Fit a network to running words (numbers in the head; texts end in the end token) by truncated backpropagation with Adam."""
-    net, r = Network(v, seed), np.random.default_rng(seed)
-    if not len(word):
+class Learner:
+    """Trains a network on running words by truncated backpropagation with Adam, and counts what spoke for which weights."""
+
+    def __init__(self, v: Vocabulary, net: Network, step: float = STEP):
+        self.v, self.net, self.rate, self.n = v, net, step, 0
+        self.first = {k: np.zeros_like(getattr(net, k)) for k in net.NAMES}
+        self.second = {k: np.zeros_like(getattr(net, k)) for k in net.NAMES}
+        self.tokens, self.by_input, self.by_class = 0, np.zeros(v.inputs), np.zeros(v.classes)
+
+    def feed(self, word: np.ndarray) -> None:
+        """Learn from running words (numbers in the head; texts end in the end token), all of them, in streams side by side."""
+        if not len(word):
+            return
+        v = self.v
+        end = v.index(np.array([END]))[0]
+        fresh = np.concatenate([[True], word[:-1] == end])
+        before = np.where(fresh, v.start, np.concatenate([[v.start], v.word_input[word[:-1]]]))
+        self.tokens += len(word)
+        self.by_input += np.bincount(before, minlength=v.inputs)
+        self.by_class += np.bincount(v.word_class[word], minlength=v.classes)
+        # Few tokens make few streams, so that there are enough steps.
+        streams = max(1, min(STREAMS, max(32, len(word) // STREAM_TOKENS), len(word) // (2 * TRAIN_WINDOW)))
+        whole = len(word) // streams * streams
+        for part, width in ((slice(0, whole), streams), (slice(whole, None), 1)):
+            columns = [x[part].reshape(width, -1).T for x in (before, word, fresh)]
+            h = np.zeros((width, STATE), np.float32)
+            for b in range(0, len(columns[0]), TRAIN_WINDOW):
+                g, h, _ = self.net.gradients(v, *(x[b : b + TRAIN_WINDOW] for x in columns[:2]), h, columns[2][b : b + TRAIN_WINDOW])
+                self._step(g)
+
+    def _step(self, g: dict) -> None:
+        self.n += 1
+        size = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
+        for k, x in g.items():
+            x = x * np.float32(min(1.0, 1.0 / max(size, 1e-9)))
+            self.first[k] = 0.9 * self.first[k] + 0.1 * x
+            self.second[k] = 0.99 * self.second[k] + 0.01 * x * x
+            move = self.rate * (self.first[k] / (1 - 0.9**self.n)) / (np.sqrt(self.second[k] / (1 - 0.99**self.n)) + 1e-8)
+            setattr(self.net, k, (getattr(self.net, k) - move).astype(np.float32))
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """All weights times what spoke for them, and this, each as one array."""
+        learned = self.by_class[: max(1, self.v.learned)]
+        own = {"embed": self.by_input[:, None], "word_w": learned[:, None, None], "word_b": learned[:, None]}
+        spoke = [np.broadcast_to(own.get(k, float(self.tokens)), getattr(self.net, k).shape).ravel() for k in self.net.NAMES]
+        return np.concatenate([getattr(self.net, k).ravel() * w for k, w in zip(self.net.NAMES, spoke, strict=True)]), np.concatenate(spoke)
+
+
+def averaged(net: Network, weighted: np.ndarray, spoke: np.ndarray) -> Network:
+    """The network of the averages; what nothing spoke for stays."""
+    at = 0
+    for k in net.NAMES:
+        old = getattr(net, k)
+        some = slice(at, at + old.size)
+        at += old.size
+        new = np.where(spoke[some] > 0, weighted[some] / np.maximum(spoke[some], 1), old.ravel())
+        setattr(net, k, new.reshape(old.shape).astype(np.float32))
+    return net
+
+
+def train(docs: DataFrame, v: Vocabulary, modulus: int, remainder: int, rounds: int = ROUNDS) -> Network:
+    """Fit a network to all training texts of ``docs(doc_id, text)``, see the head of the module."""
+    spark, net = docs.sparkSession, Network(v)
+    if not v.tokens:
         return net
-    streams = max(1, min(STREAMS, len(word) // (2 * TRAIN_WINDOW)))
-    length = len(word) // streams
-    target = word[: length * streams].reshape(streams, length).T
-    before = np.concatenate([np.full((1, streams), v.start), v.word_input[target[:-1]]])
-    end = v.index(np.array([END]))[0]
-    fresh = np.concatenate([np.ones((1, streams), bool), target[:-1] == end])
-    before = np.where(fresh, v.start, before)
-    first = {k: np.zeros_like(getattr(net, k)) for k in net.NAMES}
-    second = {k: np.zeros_like(getattr(net, k)) for k in net.NAMES}
-    windows = np.arange(0, length, TRAIN_WINDOW)
-    passes = max(1, min(PASSES, round(STEPS / len(windows))))
-    n, every = 0, passes * len(windows)
-    for _ in range(passes):
-        h = np.zeros((streams, STATE), np.float32)
-        turn = r.permutation(streams)
-        for b in windows:
-            some = slice(b, b + TRAIN_WINDOW)
-            g, h, _ = net.gradients(v, before[some][:, turn], target[some][:, turn], h)
-            h = np.where(fresh[some][-1][turn][:, None], np.float32(0), h)
-            n += 1
-            rate = STEP * (1 - n / (every + 1))
-            size = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-            for k, x in g.items():
-                x = x * np.float32(min(1.0, 1.0 / max(size, 1e-9)))
-                first[k] = 0.9 * first[k] + 0.1 * x
-                second[k] = 0.99 * second[k] + 0.01 * x * x
-                move = rate * (first[k] / (1 - 0.9**n)) / (np.sqrt(second[k] / (1 - 0.99**n)) + 1e-8)
-                setattr(net, k, (getattr(net, k) - move).astype(np.float32))
+    passes = max(1, min(PASSES, round(LEAST_TOKENS / v.tokens)))
+    for turn in range(rounds):
+        sent = spark.sparkContext.broadcast((v, net))
+        rate = STEP * (1 - turn / rounds)
+
+        def task(batches: Iterator[pa.RecordBatch], sent=sent, rate=rate, turn=turn) -> Iterator[pa.RecordBatch]:
+            from copy import deepcopy
+
+            from pyspark import TaskContext
+
+            v, net = sent.value
+            learner, waiting, size = Learner(v, deepcopy(net), rate), [], 0
+
+            def learn() -> None:
+                word = np.concatenate(waiting) if waiting else np.zeros(0, np.int64)
+                for _ in range(passes):
+                    learner.feed(word)
+
+            for batch in batches:
+                number = crc32_mod(batch.column("doc_id").to_pylist(), modulus * rounds)
+                here = (number % modulus != remainder) & (number // modulus == turn)
+                for _, some in slices(strings(batch.column("text")).filter(pa.array(here))):
+                    h, _ = _tokens(Words(some, BY_WHITE_LOWER))
+                    waiting.append(v.index(h).astype(np.int32))
+                    size += len(h)
+                    if size >= LAID_OUT:
+                        learn()
+                        waiting, size = [], 0
+            learn()
+            if learner.tokens:
+                sums = [[x.astype("<f8").tobytes()] for x in learner.sums()]
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), *(pa.array(x, pa.binary()) for x in sums)], names=["slot", "weighted", "spoke"])
+
+        kind = "slot long, weighted binary, spoke binary"
+        sums = durable(docs.select("doc_id", "text").mapInArrow(task, kind))
+
+        def add(held: pa.Table) -> pa.Table:
+            # In one order: sums of the same numbers are then the same in every run.
+            held = held.sort_by("slot")
+            total = [sum(np.frombuffer(x, "<f8") for x in held.column(c).to_pylist()).tobytes() for c in ("weighted", "spoke")]
+            return pa.table({"slot": held.column("slot").slice(0, 1), "weighted": pa.array([total[0]], pa.binary()), "spoke": pa.array([total[1]], pa.binary())})
+
+        span = TREE
+        while sums.count() > TREE:
+            sums = durable(sums.groupBy(F.floor(F.col("slot") / span)).applyInArrow(add, kind))
+            span *= TREE
+        last = sums.orderBy("slot").collect()
+        if last:
+            net = averaged(net, *(sum(np.frombuffer(r[c], "<f8") for r in last) for c in ("weighted", "spoke")))
+        sent.unpersist()
     return net
 
 
@@ -318,24 +408,12 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     return Vocabulary(word[order], n[order].astype(np.int64), place, total, types)
 
 
-def _is_held_out(modulus: int, remainder: int) -> Column:
-    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(modulus)) == remainder
-
-
-def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, sample: int = SAMPLE) -> DataFrame:
+def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``, as in op7. Documents with ``crc32(doc_id) % modulus = remainder`` are held out."""
     spark = docs.sparkSession
     counts = durable(count_words(docs, modulus, remainder))
     v = vocabulary(counts)
-    texts = bounded_sample(docs.where(~_is_held_out(modulus, remainder)), sample)
-    parts, taken = [], 0
-    for _, some in slices(strings(pa.array(texts, pa.string()))):
-        h, _ = _tokens(Words(some, BY_WHITE_LOWER))
-        parts.append(v.index(h))
-        taken += len(h)
-        if taken >= SAMPLE_WORDS:
-            break
-    net = train(v, np.concatenate(parts)[:SAMPLE_WORDS] if parts else np.zeros(0, np.int64))
+    net = train(docs, v, modulus, remainder)
     sent = spark.sparkContext.broadcast((v, net))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 

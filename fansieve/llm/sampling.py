@@ -2,41 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _turn(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col("doc_id"))
-
-
-def bounded_sample(docs: DataFrame, most: int, seed: int = 1) -> list[str]:
-    """The texts of at most ``most`` rows of ``docs(doc_id, text)``, those with the smallest hash of their id.
-
-    The first pass reads the ids only and finds the largest hash that still counts; only the chosen texts reach the driver.
-    """
-    chosen = docs.select(_turn(seed).alias("turn")).orderBy("turn").limit(most).agg(F.max("turn").alias("last")).first()["last"]
-    if chosen is None:
-        return []
-    rows = docs.where(_turn(seed) <= chosen).select(_turn(seed).alias("turn"), "text").limit(2 * most).collect()
-    rows.sort(key=lambda r: (r["turn"], r["text"] or ""))
-    return [r["text"] or "" for r in rows[:most]]
+#: Bytes of a text that may be taken.
+LONGEST = 1 << 20
 
 
 def bounded_classes(docs: DataFrame, label: str, most: int, seed: int = 1) -> list[tuple]:
-    """(label, text) of about ``most`` rows of each value of ``label``, null left out, at most 1.5 times as many.
+    """(label, text) of about ``most`` rows of each value of ``label``, null left out; of all classes together at most 1.5 times as many.
 
-    A class with more rows is thinned by a hash of the id, at a rate from its count.
+    A class with more rows is thinned by a hash of id and text, at a rate from its count. Rows with the same label, id and text count once, so that what
+    is taken is the same in every run. Texts of more than ``LONGEST`` bytes are not taken: rows bound the sample, this bounds its bytes.
     """
-    docs = docs.where(F.col(label).isNotNull())
-    counts = {r[label]: r["n"] for r in docs.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    docs = docs.where(F.col(label).isNotNull() & (F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST))
+    row = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+    counts = {r[label]: r["n"] for r in docs.groupBy(label).agg(F.approx_count_distinct(row).alias("n")).collect()}
     if not counts:
         return []
-    span = float(1 << 53)
-    place = F.pmod(_turn(seed), F.lit(1 << 53)) / span
+    place = F.pmod(row, F.lit(1 << 53)) / float(1 << 53)
     rate = F.lit(0.0)
     for value, n in counts.items():
         rate = F.when(F.col(label) == F.lit(value), min(1.0, 1.2 * most / n)).otherwise(rate)
-    rows = docs.where(place < rate).select(label, place.alias("place"), "text").limit(int(1.5 * most * len(counts))).collect()
-    rows.sort(key=lambda r: (str(r[label]), r["place"], r["text"] or ""))
+    some = docs.where(place < rate).select(label, place.alias("place"), "text")
+    rows = some.dropDuplicates([label, "place"]).orderBy("place", label).limit(int(1.5 * most * len(counts))).collect()
+    rows.sort(key=lambda r: (str(r[label]), r["place"]))
     return [(r[label], r["text"] or "") for r in rows]

@@ -7,6 +7,7 @@ from shared import SF_2, documents, nothing, table_rows
 
 from fansieve.llm import language_id as li
 from fansieve.llm.arrow import strings
+from fansieve.llm.sampling import bounded_classes
 
 TEXTS = {
     "en": "the river was cold and the winter had been long with snow on the hills and no wind from the north",
@@ -30,6 +31,33 @@ def test_forward_backward_is_the_sum_over_all_labellings():
         assert np.allclose(got[f : f + n], want / want.sum(axis=1, keepdims=True))
 
 
+def test_expected_moves_are_the_sum_over_all_labellings():
+    r = np.random.default_rng(3)
+    evidence, move, begin = r.random((5, 3)) + 0.1, r.random((3, 3)) + 0.1, r.random(3) + 0.1
+    word, first, size = np.array([0, 3, 2, 4, 1, 1, 2]), np.array([0, 4, 6]), np.array([4, 2, 1])
+    _, got = li.forward_backward(evidence, word, first, size, move, begin, pairs=True)
+    want = np.zeros((3, 3))
+    for f, n in zip(first, size, strict=True):
+        total, moved = 0.0, np.zeros((3, 3))
+        for labels in itertools.product(range(3), repeat=int(n)):
+            p = begin[labels[0]]
+            for t, y in enumerate(labels):
+                p *= evidence[word[f + t], y] * (move[labels[t - 1], y] if t else 1)
+            total += p
+            for a, b in itertools.pairwise(labels):
+                moved[a, b] += p
+        want += moved / total
+    assert np.allclose(got, want, atol=1e-9)
+
+
+def test_samples_are_the_same_whatever_the_order(spark):
+    rows = [(k % 50, f"text {k % 7}", "en" if k % 3 else "de") for k in range(600)] + [(None, "x", "fr")] * 300 + [(1, "y" * (2 << 20), "it")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one = bounded_classes(df.repartition(7), "lang", 20)
+    assert one == bounded_classes(df.repartition(3, "text"), "lang", 20)
+    assert {lang for lang, _ in one} == {"en", "de", "fr"} and [t for lang, t in one if lang == "fr"] == ["x"]
+
+
 def test_it_labels_words_of_mixed_texts():
     field = li.train([(lang, " ".join(text.split()[k:] + text.split()[:k])) for lang, text in TEXTS.items() for k in range(12)])
     assert field.labels == ["de", "en", "fr"]

@@ -76,7 +76,9 @@ def test_gradients_are_those_of_the_loss(monkeypatch):
     word = r.integers(0, len(v.hashes), (5, 3))
     before = v.word_input[r.integers(0, len(v.hashes), (5, 3))]
     h = r.standard_normal((3, lm.STATE))
-    g, _, _ = net.gradients(v, before, word, h)
+    # Texts begin inside the window too.
+    fresh = np.array([[0, 1, 0], [0, 0, 0], [1, 0, 0], [0, 0, 1], [0, 0, 0]], bool)
+    g, _, _ = net.gradients(v, before, word, h, fresh)
     for k in net.NAMES:
         x = getattr(net, k)
         for _ in range(4):
@@ -84,7 +86,7 @@ def test_gradients_are_those_of_the_loss(monkeypatch):
             old, losses = x[at], []
             for d in (1e-5, -1e-5):
                 x[at] = old + d
-                losses.append(net.gradients(v, before, word, h)[2])
+                losses.append(net.gradients(v, before, word, h, fresh)[2])
             x[at] = old
             assert g[k][at] == pytest.approx((losses[0] - losses[1]) / 2e-5, abs=2e-5)
 
@@ -107,6 +109,24 @@ def test_the_state_goes_on_from_window_to_window(monkeypatch):
     assert len(lm.score_texts(net, v, np.zeros(0, np.int64), np.zeros(1, np.int64))) == 0
 
 
+def test_training_begins_each_text_anew(monkeypatch):
+    monkeypatch.setattr(lm, "FREQUENT", 40)
+    v = small_vocabulary()
+    net = lm.Network(v)
+    r = np.random.default_rng(8)
+    texts = [np.append(r.integers(1, len(v.hashes), n), 0) for n in (2, 5, 0, 6)]
+    word = np.concatenate(texts)
+    # All in one stream, and in one window.
+    fresh = np.concatenate([[True], word[:-1] == 0])
+    before = np.where(fresh, v.start, np.concatenate([[0], v.word_input[word[:-1]]]))
+    h = r.standard_normal((1, lm.STATE)).astype(np.float32)
+    loss = net.gradients(v, before[:, None], word[:, None], h, fresh[:, None])[2]
+    first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    common = v.word_class[word] >= v.learned
+    inside = (v.log_mass[v.word_class[word]] - v.log_count[word])[common].sum()
+    assert -loss * len(word) - inside == pytest.approx(lm.score_texts(net, v, word, first).sum(), rel=1e-4)
+
+
 def test_training_learns_what_follows_what(monkeypatch):
     monkeypatch.setattr(lm, "FREQUENT", 40)
     monkeypatch.setattr(lm, "STREAMS", 16)
@@ -114,10 +134,37 @@ def test_training_learns_what_follows_what(monkeypatch):
     r = np.random.default_rng(6)
     start = r.integers(1, 30, 30_000)
     word = np.stack([start, start + 1], axis=1).ravel()
-    net = lm.train(v, word)
+    learner = lm.Learner(v, lm.Network(v))
+    learner.feed(word)
+    assert learner.tokens == learner.by_input.sum() == learner.by_class.sum() == len(word)
     test = np.array([5, 6, 9, 10, 22, 23])
     other = np.array([5, 20, 9, 3, 22, 8])
-    assert lm.score_texts(net, v, test, np.array([0, 6]))[0] > lm.score_texts(net, v, other, np.array([0, 6]))[0] + 4
+    assert lm.score_texts(learner.net, v, test, np.array([0, 6]))[0] > lm.score_texts(learner.net, v, other, np.array([0, 6]))[0] + 4
+
+
+def test_no_token_is_left_out_and_averages_are_exact():
+    v = small_vocabulary()
+    for n in (0, 1, 5, 33, 1000):
+        learner = lm.Learner(v, lm.Network(v))
+        learner.feed(np.random.default_rng(n).integers(0, len(v.hashes), n))
+        assert learner.tokens == n
+    weighted, spoke = learner.sums()
+    again = lm.averaged(lm.Network(v), 3 * weighted, 3 * spoke)
+    for k in again.NAMES:
+        assert np.allclose(getattr(again, k), getattr(learner.net, k), atol=1e-6)
+    untouched = learner.by_input == 0
+    assert untouched.any() and np.array_equal(again.embed[untouched], lm.Network(v).embed[untouched])
+
+
+def test_what_stands_in_the_last_partition_only_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TREE", 3)
+    r = np.random.default_rng(1)
+    texts = [" ".join(f"w{k}" for k in r.integers(0, 60, 80)) for _ in range(700)]
+    # Another language, in which each word tells the next.
+    texts += [" ".join(f"z{(k + i) % 40}" for i in range(80)) for k in r.integers(0, 40, 100)]
+    docs = spark.createDataFrame([(d, t) for d, t in enumerate(texts)], "doc_id long, text string").repartitionByRange(8, "doc_id")
+    found = [x for x in lm.score(docs).collect() if x.held_out and x.doc_id >= 700]
+    assert len(found) > 5 and sum(x.score for x in found) > 0.8 * sum(x.base_score for x in found)
 
 
 def test_awkward_rows(spark):
