@@ -3,9 +3,9 @@
 A block is a line, or a paragraph (lines up to an empty one). Its tokens are its pairs of neighbouring words: notices of different
 licenses share most of their words, but not most pairs. It contains a template if it has at least ``THRESHOLD`` of the template's
 distinct tokens. The join is exact and meets few pairs of blocks and templates: the templates' tokens are ordered by how often they
-occur in the whole corpus, rarest first; a block with k of a template's n tokens has one of its first n - k + 1 (prefix filter), has at
-least k tokens (length filter), and, if the first token that it has is the i-th, at most n - i of them (positional filter). What passes is
-counted token by token. Two passes over the texts: one for the frequencies, one for the join; nothing is shuffled but the frequencies.
+occur in the whole corpus, rarest first; a block with k of a template's n tokens has one of its first n - k + 1 (prefix filter) and at
+least k tokens that any template has (length filter). Both in this order, it shares the first token found and at most as many as come after it in the template
+and as come after it in the block (positional filter). What passes is counted token by token. Two passes over the texts: one for the frequencies, one for the join; nothing is shuffled but the frequencies.
 
 Besides, ``PHRASES`` are found wherever their words stand consecutively.
 
@@ -122,24 +122,34 @@ class Index:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, self.rank[at], -1)
 
-    def join(self, block: np.ndarray, ranks: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All (block, template, containment) of at least the threshold.
+    def candidates(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(block, template) that share a token of the template's prefix, and which of them pass the length and the positional filter.
 
-        (block, rank) are the tokens of blocks that occur in any template; ``sizes`` is how many tokens each block has.
+        ``key`` are the distinct (block, rank), as one number in ascending order: each block's tokens in global order. Tokens that no template has come before
+        all of them and take part in no overlap.
         """
-        key = np.unique(block * len(self.hashes) + ranks)
         block, ranks = key // len(self.hashes), key % len(self.hashes)
+        begin, end = np.searchsorted(block, block), np.searchsorted(block, block, side="right")
+        size, left = end - begin, end - np.arange(len(key)) - 1
         low, high = np.searchsorted(self.prefix_rank, ranks), np.searchsorted(self.prefix_rank, ranks, side="right")
         times = high - low
         entry = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)
-        block, template, place = np.repeat(block, times), self.prefix_template[entry], self.prefix_place[entry]
+        block, size, left = (np.repeat(x, times) for x in (block, size, left))
+        template, place = self.prefix_template[entry], self.prefix_place[entry]
         # The first token of a template that a block has.
         order = np.lexsort((place, template, block))
-        block, template, place = block[order], template[order], place[order]
+        block, template, place, size, left = (x[order] for x in (block, template, place, size, left))
         first = np.ones(len(block), bool)
         first[1:] = (block[1:] != block[:-1]) | (template[1:] != template[:-1])
-        block, template, place = block[first], template[first], place[first]
-        may = (sizes[block] >= self.need[template]) & (self.size[template] - place >= self.need[template])
+        block, template, place, size, left = (x[first] for x in (block, template, place, size, left))
+        # This token, and at most as many as come after it in either.
+        most = 1 + np.minimum(self.size[template] - place - 1, left)
+        return block, template, (size >= self.need[template]) & (most >= self.need[template])
+
+    def join(self, block: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All (block, template, containment) of at least the threshold; (block, rank) are the tokens of blocks that occur in any template."""
+        key = np.unique(block * len(self.hashes) + ranks)
+        block, template, may = self.candidates(key)
         block, template = block[may], template[may]
         shared = np.zeros(len(block), np.int64)
         for t in np.unique(template):
@@ -226,11 +236,10 @@ def scan(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES,
                 rank = index.ranks(pairs(h)) if len(index.hashes) and len(h) else np.zeros(0, np.int64)
                 lines, empty = _line_ends(words.data)
                 for block in _blocks(words, lines, empty) if len(rank) else ():
-                    sizes = np.bincount(block) - 1  # a pair less than words
-                    doc_of = np.zeros(len(sizes), np.int64)
+                    doc_of = np.zeros(int(block[-1]) + 1, np.int64)
                     doc_of[block] = words.doc
                     of = np.flatnonzero((rank >= 0) & (block[1:] == block[:-1]))
-                    found, template, contained = index.join(block[of], rank[of], sizes)
+                    found, template, contained = index.join(block[of], rank[of])
                     np.maximum.at(score, doc_of[found], contained)
                     blocks += np.bincount(doc_of[distinct(found.astype(np.uint64))[0].astype(np.int64)], minlength=n)
                     for d, t in zip(doc_of[found].tolist(), template.tolist(), strict=True):
