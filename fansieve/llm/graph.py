@@ -1,62 +1,5 @@
-"""Connected components of pairs, and small helpers for joins whose one side is small or whose keys are uneven."""
+"""The library's helpers for graphs and uneven joins, under the name by which the operators here know them."""
 
-from __future__ import annotations
+from fansieve.operators.graph import components, few, frequent, uneven_join
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from fansieve.session import durable
-
-#: Rows of numbers that are sent to every task instead of shuffling the other side.
-FEW_ROWS = 1_000_000
-#: Values that count as frequent: each has more rows than this share of a table, so there are never more of them; and more than so many rows.
-FREQUENT_KEYS, FREQUENT_ROWS = 100_000, 200
-
-
-def few(df: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
-    """``df``, a table of narrow rows that is stored already, to be broadcast if it has been counted to be small."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def frequent(df: DataFrame, column: str) -> DataFrame:
-    """``(frequent)``: the values that many rows of ``df``, stored, have in ``column``; at most ``FREQUENT_KEYS``."""
-    least = max(FREQUENT_ROWS, df.count() // FREQUENT_KEYS)
-    counts = df.groupBy(F.col(column).alias("frequent")).agg(F.count("*").alias("n"))
-    return durable(counts.where(F.col("frequent").isNotNull() & (F.col("n") > least)).select("frequent"))
-
-
-def uneven_join(left: DataFrame, right: DataFrame, on: str, key: str, how: str = "inner", heavy: DataFrame | None = None) -> DataFrame:
-    """``left``, stored, joined with ``right``, narrow rows that have each value of ``key`` once, where ``on`` equals it.
-
-    Values that many rows of ``left`` have would meet in one task each: their rows of ``right``, not more than there are such values, are broadcast
-    instead. ``heavy`` are these values if they are known already.
-    """
-    heavy = frequent(left, on) if heavy is None else heavy
-    if not heavy.head(1):
-        return left.join(right, F.col(on) == F.col(key), how)
-    heavy = F.broadcast(heavy)
-    theirs = F.broadcast(right.join(heavy, F.col(key) == F.col("frequent"), "left_semi"))
-    many = left.join(heavy, F.col(on) == F.col("frequent"), "left_semi").join(theirs, F.col(on) == F.col(key), how)
-    return left.join(heavy, F.col(on) == F.col("frequent"), "left_anti").join(right, F.col(on) == F.col(key), how).unionByName(many)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """``(node, label)`` of every node of ``edges(a, b)``, longs: the smallest node that it is connected to.
-
-    In each round a node takes the smallest label around it and then the label of that node, so paths shorten by half or more; ends
-    when no label changes. Labels of nodes with very many edges, and labels that very many nodes have, are broadcast instead of meeting in one task.
-    """
-    both = durable(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    centers = frequent(both, "b")
-    labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    while True:
-        near = uneven_join(both, labels, "b", "node", heavy=centers).groupBy("a").agg(F.min("label").alias("near"))
-        met = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        met = durable(met)
-        above = met.select(F.col("node").alias("up"), F.col("label").alias("upper"))
-        new = uneven_join(met, above, "label", "up", "left").select("node", "old", F.least("label", F.coalesce("upper", "label")).alias("label"))
-        new = durable(new)
-        changed = new.where(F.col("label") < F.col("old")).limit(1).count()
-        labels = new.select("node", "label")
-        if not changed:
-            return labels
+__all__ = ["components", "few", "frequent", "uneven_join"]

@@ -139,7 +139,7 @@ def test_parts_of_long_texts(monkeypatch):
 
 
 def test_frequent_keys_are_joined_alike(spark, monkeypatch):
-    monkeypatch.setattr(graph, "FREQUENT_ROWS", 3)
+    monkeypatch.setattr("fansieve.operators.graph.FREQUENT_ROWS", 3)
     edges = [(k, k % 7) for k in range(7, 400)] + [(1000 + k, 1001 + k) for k in range(30)] + [(3, 1000)]
     labels = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {k: k % 7 for k in range(400)} | {1000 + k: 3 for k in range(31)}
