@@ -618,7 +618,9 @@ def match(
     if "clauses" not in subscriptions.columns:
         if strategy == "template":
             raise ValueError("free texts have no clauses: use the compiled strategy")
-        return match_compiled(events, subscriptions, attributes)
+        if strategy == "compiled":
+            return match_compiled(events, subscriptions, attributes)
+        return _match_texts(events, subscriptions, attributes, key, broadcast_limit, bins)
     if strategy == "compiled":
         return match_compiled(events, valid_subscriptions(subscriptions, attributes), attributes)
     if strategy not in ("auto", "template"):
@@ -640,6 +642,20 @@ def match(
     return _late(events, plan, [*key], carried, broadcast_limit)
 
 
+def _match_texts(events: DataFrame, subscriptions: DataFrame, attributes: Mapping[str, str], key: Sequence[str], broadcast_limit: int, bins: int) -> DataFrame:
+    """``match`` for (sub_id, expression) rows: by their clauses where they have some, compiled where not; invalid texts match nothing."""
+    from fansieve.operators.texts import parse_texts
+
+    read = parse_texts(subscriptions, attributes, events.schema)
+    regular = read.where("clauses IS NOT NULL").select(F.col("expression").alias("_text"), "clauses")
+    rows = subscriptions.join(regular, F.col("expression") == F.col("_text")).drop("_text", "expression")
+    out = match(events, rows, attributes, "auto", key, broadcast_limit, bins)
+    irregular = read.where("clauses IS NULL AND reason IS NULL").select(F.col("expression").alias("_text"))
+    if not irregular.head(1):
+        return out
+    return out.unionByName(match_compiled(events, subscriptions.join(irregular, F.col("expression") == F.col("_text"), "left_semi"), attributes))
+
+
 def match_pairs(
     events: DataFrame,
     subscriptions: DataFrame,

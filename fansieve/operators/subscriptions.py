@@ -82,18 +82,21 @@ def validate_expression(schema_of: DataFrame, expression: str) -> None:
     It must be a boolean over the columns, and it must hold or not hold for an event of plain values: a literal that cannot be
     read as its attribute's type passes the analysis and fails with the first event.
     """
-    plain = {"string": F.lit(""), "boolean": F.lit(False)}
+    def plain(kind: T.DataType) -> Column:
+        if isinstance(kind, T.ArrayType):
+            return F.array().cast(kind)
+        if isinstance(kind, (T.StringType, T.BooleanType, T.NumericType)):
+            return F.lit("" if isinstance(kind, T.StringType) else False if isinstance(kind, T.BooleanType) else 0).cast(kind)
+        # Any moment will do; of other types, none.
+        return F.lit("2000-01-01" if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) else None).cast(kind)
+
     try:
         kind = schema_of.select(F.expr(expression).alias("holds")).schema["holds"].dataType
         if not isinstance(kind, T.BooleanType):
             raise InvalidPredicate(f"{expression!r} is a {kind.simpleString()}, not a predicate")
-        row = schema_of.sparkSession.range(1).select(
-            *(
-                (F.array() if isinstance(f.dataType, T.ArrayType) else plain.get(f.dataType.simpleString(), F.lit(0))).try_cast(f.dataType).alias(f.name)
-                for f in schema_of.schema.fields
-            )
-        )
-        row.select(F.expr(expression)).collect()
+        row = schema_of.sparkSession.range(1).select(*(plain(f.dataType).alias(f.name) for f in schema_of.schema.fields))
+        # A condition, not a column: an aggregate is a boolean too.
+        row.where(F.expr(expression)).collect()
     except (AnalysisException, ParseException, NumberFormatException, ArithmeticException) as fault:
         raise InvalidPredicate(str(fault).split("\n")[0]) from fault
 

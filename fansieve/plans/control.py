@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from fansieve.functions.predicates import invalid_reason
-from fansieve.operators import control, snapshots
+from fansieve.operators import control, snapshots, subscriptions
+from fansieve.operators.ordered import lookup
+from fansieve.operators.texts import parse_texts
 from fansieve.plans.data import AS_OF, BUCKET, EVENT_ATTRIBUTES, PREFIX, TTL, definitions
 from fansieve.plans.data import control as control_table
-from fansieve.plans.subscriptions import ACTIVE, VALID, valid_control
-from fansieve.session import shared_folder, table
+from fansieve.plans.subscriptions import ACTIVE, ISLANDS, VALID, valid_control
+from fansieve.session import durable, shared_folder, table
 from fansieve.streaming.leases import write_lease_changes
 
 #: The moment of the stored snapshot that later ones begin from.
@@ -95,6 +97,15 @@ def control_replies(spark, sf_dir):
     return replies
 
 
+def assign_ids_to_texts(spark, sf_dir):
+    """Ids of subscriptions of which only the texts are known: those that are no predicates over the attributes use up none."""
+    log = control_table(spark, sf_dir).where("op IN ('sub', 'unsub')").select("ts", "seq", "op", "client_id", "expression")
+    read = parse_texts(log, EVENT_ATTRIBUTES)
+    good = durable(read.where("reason IS NULL").select("expression", F.lit(True).alias("good")))
+    valid = lookup(log, good, ["expression"], ["seq"], "inner").drop("good")
+    return subscriptions.assign_ids(subscriptions.incarnations(valid, TTL)).select("sub_id", "expression", "start_ts")
+
+
 def snapshot_and_tail(spark, sf_dir):
     """What is active at a moment, from a stored snapshot of five days before and the requests since."""
     log = valid_control(spark, sf_dir)
@@ -127,6 +138,7 @@ def queries():
     return {
         "unsubscribe_by_id": unsubscribe_by_id,
         "control_replies": control_replies,
+        "assign_ids_to_texts": assign_ids_to_texts,
         "snapshot_and_tail": snapshot_and_tail,
         "lease_changes_streamed": lease_changes_streamed,
     }
@@ -163,6 +175,7 @@ def oracle_sql():
                    CASE WHEN NOT faulty THEN 'Invalid expression: unknown attribute: price' WHEN seq % 3 = 0 THEN 'Bad request: not JSON'
                         WHEN op = 'unsub' THEN 'Bad request: id' ELSE 'Bad request: client_id' END
             FROM ({heard}) h WHERE reply_to IS NOT NULL AND (faulty OR (op = 'sub' AND expression LIKE 'price%'))""",
+        "assign_ids_to_texts": f"SELECT sub_id, expression, start_ts FROM ({ISLANDS}) i",
         "snapshot_and_tail": f"SELECT sub_id, expression, concat('{PREFIX}.', sub_id) AS topic FROM ({ACTIVE}) a",
         "lease_changes_streamed": f"""
             WITH leases AS ({leases}), newest AS (SELECT max(ts) AS ts FROM ({VALID}) v)

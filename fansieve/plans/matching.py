@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fansieve.functions.predicates import CLAUSES_TYPE, Predicate, clauses_of
 from fansieve.operators.match import active_only, fan_out, match, match_ids, match_pairs, unmatched
-from fansieve.operators.ordered import lookup
+from fansieve.operators.ordered import lookup, numbered
 from fansieve.operators.subscriptions import active_subscriptions
 from fansieve.plans.data import (
     ALERT_MATCHES,
@@ -136,6 +136,16 @@ def match_states(spark, sf_dir):
     return pairs.groupBy("sub_id").agg(F.count("*").alias("matches"), F.max("event_id").alias("last_event"))
 
 
+def match_texts(spark, sf_dir):
+    """The alerts of ``alerts``, as texts of two kinds per user and type, with some that are no predicates."""
+    usual = F.expr("CAST(round(CAST(sum(CAST(value AS decimal(18,2))) AS double) / count(*)) AS bigint)").alias("usual")
+    listed = numbered(table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(usual), ["user_id", "event_type"], "sub_id")
+    text = """CASE WHEN user_id % 10 = 3 THEN concat('price > ', usual) WHEN user_id % 10 = 7 THEN concat('value > and ', usual)
+              ELSE concat('user_id = ', user_id, ' and (event_type = ''', event_type, ''' and value > ', usual, ' or not event_type in (''', event_type, ''') and value <= 5)') END"""
+    subscriptions = listed.select("sub_id", F.expr(text).alias("expression"))
+    return match(events(spark, sf_dir), subscriptions, EVENT_ATTRIBUTES).select("event_id", "sub_id")
+
+
 def match_price_bands(spark, sf_dir):
     """Every customer watches a narrow band of order totals: ranges only, no equality."""
     customers = table(spark, sf_dir, "customer").select(
@@ -211,6 +221,7 @@ def queries():
         "match_by_shuffle": match_by_shuffle,
         "match_pairs_by_shuffle": match_pairs_by_shuffle,
         "match_states": match_states,
+        "match_texts": match_texts,
         "match_price_bands": match_price_bands,
         "match_suppliers": match_suppliers,
         "match_supplier_alarms": match_supplier_alarms,
@@ -243,6 +254,8 @@ def oracle_sql():
         "match_pairs_by_shuffle": """
             SELECT l_orderkey, l_linenumber, p_partkey AS sub_id FROM lineitem JOIN part
             ON (l_partkey = p_partkey AND l_quantity > p_size) OR (l_suppkey = p_partkey AND l_returnflag = 'R' AND l_quantity < 2)""",
+        "match_texts": f"""
+            SELECT m.event_id, m.sub_id FROM ({ALERT_MATCHES}) m JOIN ({ALERTS}) a ON a.sub_id = m.sub_id WHERE a.for_user % 10 NOT IN (3, 7)""",
         "match_states": f"""
             SELECT c_custkey AS sub_id, count(*) AS matches, max(event_id) AS last_event FROM customer JOIN ({EVENTS}) e
             ON user_id IS NULL AND flag AND event_type NOT IN (c_mktsegment, 'view', 'click')
