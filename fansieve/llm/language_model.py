@@ -157,15 +157,14 @@ class Network:
     def gradients(self, v: Vocabulary, before: np.ndarray, word: np.ndarray, h: np.ndarray, fresh: np.ndarray) -> tuple[dict, np.ndarray, float]:
         """One window of streams [time, stream]: gradients of the mean loss, the state at its end, the loss. Where ``fresh``, a text begins."""
         table, steps, streams = self.projected(), *word.shape
-        olds, states, kept = [], [], []
+        gates, goes_on = table[before], (~fresh)[:, :, None].astype(h.dtype)
+        old, state, zr, rh, c = (np.empty((steps, streams, size), h.dtype) for size in (STATE, STATE, 2 * STATE, STATE, STATE))
         for t in range(steps):
-            h = np.where(fresh[t][:, None], np.float32(0), h)
-            olds.append(h)
-            h, k = self.step(table[before[t]], h)
-            states.append(h)
-            kept.append(k)
+            old[t] = h * goes_on[t]
+            h, (zr[t], rh[t], c[t]) = self.step(gates[t], old[t])
+            state[t] = h
         total = steps * streams
-        flat, target = np.concatenate(states), word.ravel()
+        flat, target = state.reshape(total, STATE), word.ravel()
         classes = v.word_class[target]
         g = {name: np.zeros_like(getattr(self, name)) for name in self.NAMES}
         log_p = _log_softmax(flat @ self.class_w + self.class_b)
@@ -174,29 +173,38 @@ class Network:
         d[np.arange(total), classes] -= 1
         g["class_w"], g["class_b"] = flat.T @ d, d.sum(axis=0)
         d_flat = d @ self.class_w.T
-        for c in range(v.learned):
-            some = np.flatnonzero(classes == c)
+        by_class = np.argsort(classes, kind="stable")
+        edges = np.searchsorted(classes[by_class], np.arange(v.learned + 1))
+        for k in range(v.learned):
+            some = by_class[edges[k] : edges[k + 1]]
             if len(some):
-                inside, place = _log_softmax(flat[some] @ self.word_w[c] + self.word_b[c]), v.place[target[some]] % CLASS_SIZE
-                loss -= inside[np.arange(len(some)), place].sum()
+                these = flat[some]
+                inside, place = _log_softmax(these @ self.word_w[k] + self.word_b[k]), v.place[target[some]] % CLASS_SIZE
+                row = np.arange(len(some))
+                loss -= inside[row, place].sum()
                 d = np.exp(inside)
-                d[np.arange(len(some)), place] -= 1
-                g["word_w"][c], g["word_b"][c] = flat[some].T @ d, d.sum(axis=0)
-                d_flat[some] += d @ self.word_w[c].T
-        d_h, d_gates = np.zeros_like(h), np.zeros((steps, streams, 3 * STATE), np.float32)
+                d[row, place] -= 1
+                g["word_w"][k], g["word_b"][k] = these.T @ d, d.sum(axis=0)
+                d_flat[some] += d @ self.word_w[k].T
+        # What does not depend on later steps is worked out for all of them at once.
+        z, r = zr[:, :, :STATE], zr[:, :, STATE:]
+        by_c, by_z, by_r, stays = z * (1 - c * c), (c - old) * z * (1 - z), old * r * (1 - r), 1 - z
+        d_flat, d_h = d_flat.reshape(steps, streams, STATE), np.zeros_like(h)
+        d_gates = np.empty((steps, streams, 3 * STATE), h.dtype)
         for t in range(steps - 1, -1, -1):
-            zr, rh, c = kept[t]
-            z, r, old = zr[:, :STATE], zr[:, STATE:], olds[t]
-            d_h = d_h + d_flat[t * streams : (t + 1) * streams]
-            d_c = d_h * z * (1 - c * c)
-            d_rh = d_c @ self.wc.T
-            d_z, d_r = d_h * (c - old) * z * (1 - z), d_rh * old * r * (1 - r)
-            d_zr = np.concatenate([d_z, d_r], axis=1)
-            g["wc"] += rh.T @ d_c
-            g["wh"] += old.T @ d_zr
-            d_gates[t] = np.concatenate([d_zr, d_c], axis=1)
-            d_h = np.where(fresh[t][:, None], np.float32(0), d_h * (1 - z) + d_rh * r + d_zr @ self.wh.T)
+            d_h += d_flat[t]
+            d = d_gates[t]
+            np.multiply(d_h, by_c[t], out=d[:, 2 * STATE :])
+            d_rh = d[:, 2 * STATE :] @ self.wc.T
+            np.multiply(d_h, by_z[t], out=d[:, :STATE])
+            np.multiply(d_rh, by_r[t], out=d[:, STATE : 2 * STATE])
+            d_h *= stays[t]
+            d_h += d_rh * r[t]
+            d_h += d[:, : 2 * STATE] @ self.wh.T
+            d_h *= goes_on[t]
         d_gates = d_gates.reshape(total, -1)
+        g["wc"] = rh.reshape(total, -1).T @ d_gates[:, 2 * STATE :]
+        g["wh"] = old.reshape(total, -1).T @ d_gates[:, : 2 * STATE]
         at = before.ravel()
         inputs, d_inputs = self.embed[at], d_gates @ self.wx.T
         g["wx"], g["bx"] = inputs.T @ d_gates, d_gates.sum(axis=0)
