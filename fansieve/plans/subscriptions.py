@@ -75,9 +75,9 @@ _MESSAGES = """
 
 
 def _derived(spark, sf_dir, text):
-    # A view rather than a parameter: the text holds JSON braces.
-    table(spark, sf_dir, "events").createOrReplaceTempView("control_source")
-    return spark.sql(text.replace("{text}", "string").replace("{int}", "bigint").replace("FROM events", "FROM control_source"))
+    """The text over the events. Braces of the JSON in it are doubled, as the text is a format."""
+    text = text.replace("{text}", "string").replace("{int}", "bigint").replace("{", "{{").replace("}", "}}")
+    return spark.sql(text.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
 
 
 def control_log(spark, sf_dir):
