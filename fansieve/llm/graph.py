@@ -1,5 +1,5 @@
 """The library's helpers for graphs and uneven joins, under the name by which the operators here know them."""
 
-from fansieve.operators.graph import components, few, frequent, uneven_join
+from fansieve.operators.graph import FREQUENT_KEYS, FREQUENT_ROWS, components, few, frequent, uneven_join
 
-__all__ = ["components", "few", "frequent", "uneven_join"]
+__all__ = ["FREQUENT_KEYS", "FREQUENT_ROWS", "components", "few", "frequent", "uneven_join"]

@@ -10,9 +10,11 @@ the text's registers, so hardly more arrivals are drawn than registers are fille
 2. Bands of registers put contents into buckets. In each bucket, all are compared with its most central content, the one that sits
    in the largest buckets over all bands; so a group of copies of one text costs one comparison per copy, not one per pair.
 3. Buckets whose contents are not all connected by then are looked at as a whole, each in one task: contents of different components whose
-   registers agree are compared too, and only the links that join components come out. Very large buckets are first split by
-   further registers, several times over, so that no group is unbounded.
-4. Compared means: if the registers agree in ``AGREE`` of their places, the exact Jaccard similarity of the sets of shingles is taken; texts are
+   registers agree are compared too, and only the links that join components come out.
+   Very large buckets: all are compared with a few more of the bucket, drawn by a hash. The contents of those that are still not all connected are
+   joined by an exact set-similarity join, over all such buckets at once: shingles ordered by how many of these contents have them, rarest first,
+   with prefix, length and positional filters. A shingle that very many contents have is dealt to cells. No pair is left out, and no registers are asked.
+4. Compared, but for that join, means: if the registers agree in ``AGREE`` of their places, the exact Jaccard similarity of the sets of shingles is taken; texts are
    linked from ``SIMILARITY`` on. Classes are the connected components of the links.
 
 Cases: a null or wordless text has no shingles and is a class of its own; white space and nothing else separates words, and case counts;
@@ -25,19 +27,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fansieve.llm.arrow import BY_WHITE, Words, mix, rows, shingles, slices, strings, uniform
-from fansieve.llm.graph import components, few
+from fansieve.llm.graph import FREQUENT_KEYS, FREQUENT_ROWS, components, few, uneven_join
 from fansieve.session import durable, table
 
 SIZE, SIMILARITY = 5, 0.8
 REGISTERS, BANDS, ROWS = 256, 16, 4
 #: Registers in which two texts must agree to be compared: 0.8 less three standard deviations.
 AGREE = 0.72
-#: Contents of a bucket that are looked at together, and their shingles; larger buckets are split by ``MORE`` registers, in ``TIMES`` ways.
-TOGETHER, ALL_SHINGLES, MORE, TIMES = 2048, 8 << 20, 2, 4
+#: Contents of a bucket that are looked at together, and their shingles; larger buckets are joined exactly.
+TOGETHER, ALL_SHINGLES = 2048, 8 << 20
+#: Contents that are drawn in a larger bucket to be compared with all others, and the contents of a shingle that meet all its others in one cell.
+DRAWN, CELL = 8, 4096
+#: For products of the similarity with sizes, which may be rounded up: filters let through a little more.
+SLACK = 1e-6
 
 
 def weighted(words: Words, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,9 +157,9 @@ def _similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     return shared >= similarity * (len(x) + len(y) - shared)
 
 
-def _linked(pairs: DataFrame, contents: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs(a, b)``, stored, whose sets of shingles have this Jaccard similarity."""
-    held = _sets(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "row"), contents, docs)
+def _linked(pairs: DataFrame, contents: DataFrame, docs: DataFrame, similarity: float, held: DataFrame | None = None) -> DataFrame:
+    """Those of ``pairs(a, b)``, stored, whose sets of shingles have this Jaccard similarity. ``held`` are the sets if they are there already."""
+    held = held if held is not None else _sets(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "row"), contents, docs)
     both = pairs.join(held.toDF("a", "a_set"), "a").join(held.toDF("b", "b_set"), "b")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,30 +230,87 @@ def _links_inside(members: DataFrame, similarity: float) -> DataFrame:
     return members.groupBy("bucket").applyInArrow(group, "a long, b long")
 
 
-def _rest(members: DataFrame, contents: DataFrame, docs: DataFrame, similarity: float, together: int) -> DataFrame:
-    """The links of contents of ``members(bucket, row, label, registers, shingles)`` across labels, see 3. at the top."""
-    small, pairs, used = [], None, BANDS * ROWS
-    while True:
-        members = durable(_crossing(members))
-        large = (F.col("n") > together) | (F.col("all") > ALL_SHINGLES)
-        small.append(members.where(~large))
-        members = members.where(large)
-        if not members.head(1):
-            break
-        if used + MORE * TIMES > REGISTERS:
-            # Texts that agree in all registers asked for on the way: the most central of them stands for the others.
-            pairs = durable(central_pairs(members))
-            break
-        parts = [F.xxhash64("bucket", F.lit(t), F.substring("registers", used + t * MORE + 1, MORE)) for t in range(TIMES)]
-        members = members.drop("n", "all").withColumn("part", F.explode(F.array(*parts))).drop("bucket").withColumnRenamed("part", "bucket")
-        members = members.select("bucket", "row", "label", "registers", "shingles")
-        used += MORE * TIMES
-    every = small[0]
-    for more in small[1:]:
-        every = every.unionByName(more)
-    close = durable(_with_partner(every))
-    links = _links_inside(close.join(_sets(close.select("row").distinct(), contents, docs), "row").select("bucket", "row", "label", "registers", "shingle_set"), similarity)
-    return links if pairs is None else links.union(_linked(pairs, contents, docs, similarity))
+def _drawn_pairs(members: DataFrame) -> DataFrame:
+    """Each content of ``members(bucket, row, label)`` with ``DRAWN`` of its bucket, as far as their labels differ."""
+    draws = [F.min(F.struct(F.xxhash64("row", F.lit(t)).alias("draw"), "row", "label")) for t in range(DRAWN)]
+    drawn = members.groupBy("bucket").agg(F.array(*draws).alias("drawn")).select("bucket", F.explode("drawn").alias("one"))
+    drawn = few(durable(drawn.select("bucket", F.col("one.row").alias("its_row"), F.col("one.label").alias("its_label"))))
+    pairs = members.join(drawn, "bucket").where(F.col("label") != F.col("its_label"))
+    return pairs.select(F.least("row", "its_row").alias("a"), F.greatest("row", "its_row").alias("b")).distinct()
+
+
+def _tokens(sets: DataFrame) -> DataFrame:
+    """A row ``(row, label, size, h)`` for each shingle of each of ``sets(row, label, shingle_set)``."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = batch.column("shingle_set").to_pylist()
+            size = np.array([len(d) // 8 for d in data], np.int64)
+            ends = pa.array(np.append(0, np.cumsum(size)), pa.int32())
+            every = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(data), np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("label"), pa.array(size), every], names=["row", "label", "size", "every"])
+
+    sets = sets.select("row", "label", "shingle_set").mapInArrow(task, "row long, label long, size long, every array<long>")
+    return sets.select("row", "label", "size", F.explode("every").alias("h"))
+
+
+def _candidates(sets: DataFrame, similarity: float, cell: int) -> DataFrame:
+    """Pairs ``(a, b)`` of ``sets(row, label, shingle_set)``, stored, of different labels: all that have this Jaccard similarity, and few others.
+
+    Such a pair shares at least s / (1 + s) of the sum of both sizes. So many shingles, its rarest shared one included, come from there to
+    the end in both: that is at least s of the longer one's size and 2 s / (1 + s) of the shorter one's. Shingles within one label do not count.
+    """
+    tokens = _tokens(sets)
+    counts = tokens.groupBy("h").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most"))
+    counts = durable(counts.where(F.col("least") < F.col("most")).select(F.col("h").alias("token"), "n"))
+    many = max(FREQUENT_ROWS, (counts.agg(F.sum("n")).first()[0] or 0) // FREQUENT_KEYS)
+    hot = durable(counts.where(F.col("n") > many).select(F.col("token").alias("frequent")))
+    shared = uneven_join(tokens, counts, "h", "token", heavy=hot)
+    # How many come from this one to the end, itself included.
+    left = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("n"), F.desc("h")))
+    prefixes = shared.select("h", "row", "label", "size", left.alias("left")).where(F.col("left") >= similarity * F.col("size") - SLACK)
+    shorter = F.col("left") * (1 + similarity) >= 2 * similarity * F.col("size") - SLACK
+    prefixes = durable(prefixes.withColumn("shorter", shorter.cast("long")))
+
+    # Pairs within a shingle's most frequent label are never met: its contents meet those of other labels, and these one another.
+    groups = prefixes.groupBy("h", "label").agg(F.count("*").alias("n"), F.sum("shorter").alias("shorter"))
+    groups = groups.groupBy("h").agg(F.count("*").alias("labels"), F.sum("shorter").alias("shorter"), F.max(F.struct("n", "label", "shorter")).alias("top"))
+    groups = groups.where((F.col("labels") > 1) & (F.col("shorter") > 0)).select(
+        F.col("h").alias("token"), F.col("top.label").alias("major"), F.ceil((F.col("shorter") - F.col("top.shorter")) / cell).alias("minor_cells"),
+        F.ceil(F.col("shorter") / cell).alias("cells"),
+    )
+    prefixes = durable(uneven_join(prefixes, durable(groups), "h", "token").drop("token"))
+    minor = F.col("label") != F.col("major")
+    side = F.explode(F.when(minor, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1))))
+    x = prefixes.where(F.col("shorter") == 1).withColumn("side", side)
+    x = x.withColumn("cell", F.pmod(F.xxhash64("row"), F.when(F.col("side") == 0, F.col("minor_cells")).otherwise(F.col("cells"))))
+    x = x.select("h", "side", "cell", F.col("row").alias("a"), F.col("label").alias("a_label"), F.col("size").alias("a_size"), F.col("left").alias("a_left"))
+    y = prefixes.withColumn("side", minor.cast("int")).withColumn("to", F.when(minor, F.col("cells")).otherwise(F.col("minor_cells")))
+    y = y.where(F.col("to") > 0).withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("to") - 1)))
+    y = y.select("h", "side", "cell", F.col("row").alias("b"), "label", "size", "left")
+    possible = F.least("left", "a_left") * (1 + similarity) >= similarity * (F.col("size") + F.col("a_size")) - SLACK
+    in_order = (F.col("a_size") < F.col("size")) | ((F.col("a_size") == F.col("size")) & (F.col("a") < F.col("b")))
+    # Every pair of different labels that shares one of these shingles is looked at, once for each such shingle.
+    return y.join(x, ["h", "side", "cell"]).where((F.col("a_label") != F.col("label")) & in_order & possible).select("a", "b").distinct()
+
+
+def _rest(members: DataFrame, links: DataFrame, contents: DataFrame, docs: DataFrame, similarity: float, together: int, cell: int = CELL) -> DataFrame:
+    """``links`` and those of contents of ``members(bucket, row, label, registers, shingles)`` across labels, see 3. at the top."""
+    members = durable(_crossing(members))
+    large = (F.col("n") > together) | (F.col("all") > ALL_SHINGLES)
+    close = durable(_with_partner(members.where(~large)))
+    inside = close.join(_sets(close.select("row").distinct(), contents, docs), "row").select("bucket", "row", "label", "registers", "shingle_set")
+    links = durable(links.union(_links_inside(inside, similarity)))
+    members = members.where(large).select("bucket", "row", "label")
+    if not members.head(1):
+        return links
+    links = durable(links.union(_linked(durable(_agreeing(_drawn_pairs(members), contents)), contents, docs, similarity)))
+    members = members.drop("label").join(components(links), F.col("row") == F.col("node"), "left")
+    members = members.select("bucket", "row", F.coalesce("label", "row").alias("label"), F.lit(0).alias("shingles"))
+    left = durable(_crossing(durable(members)).select("row", "label").distinct())
+    held = _sets(left.select("row"), contents, docs)
+    pairs = durable(_candidates(durable(held.join(left, "row")), similarity, cell))
+    return links.union(_linked(pairs, contents, docs, similarity, held))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, together: int = TOGETHER) -> DataFrame:
@@ -266,7 +329,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, together: i
     labelled = members.join(labels, F.col("row") == F.col("node"), "left").select("bucket", "row", F.coalesce("label", "row").alias("label"), F.lit(0).alias("shingles"))
     rest = _crossing(labelled).drop("n", "all", "shingles").join(contents.select("row", "registers", "shingles"), "row")
     rest = rest.select("bucket", "row", "label", "registers", "shingles")
-    links = durable(links.union(_rest(rest, contents, docs, similarity, together)))
+    links = durable(_rest(rest, links, contents, docs, similarity, together))
     labels = components(links)
 
     rows_of = sketches.select("row", "doc_id", "shingles", "key", "text_key").join(stands, "key", "left")

@@ -65,6 +65,48 @@ def test_a_family_of_near_copies(spark):
         assert [found[i] for i in range(len(texts))] == want
 
 
+def pages_of_one_template(seed, pairs):
+    """Twice as many texts: those of a pair are linked; hardly any others, though all share the most of one template."""
+    base, texts = prose(seed, 300), []
+    for k in range(pairs):
+        page = edited(base, 1000 * seed + 2 * k, 0.0135)
+        texts += [page, edited(page, 1000 * seed + 2 * k + 1, 0.0201)]
+    return texts
+
+
+def test_large_buckets_lose_no_pair(spark):
+    # In each of these templates, a pair's registers differ wherever buckets would be split by some of them.
+    texts = [t for seed in (39, 49, 75, 76) for t in pages_of_one_template(seed, 15)]
+    want = plain_classes(texts)
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    found = {r.doc_id: r.class_id for r in nd.near_duplicates(docs, together=6).collect()}
+    assert [found[i] for i in range(len(texts))] == want
+
+
+def test_candidates_are_all_pairs_that_are_similar_enough(spark):
+    r = random.Random(5)
+    sets = []
+    for _ in range(120):
+        some = set(r.choice(sets)) if sets and r.random() < 0.8 else {r.randrange(-(2**63), 2**63) for _ in range(r.choice([1, 2, 5, 10, 40]))}
+        sets.append({h for h in some if r.random() > 0.05} | {r.randrange(-(2**63), 2**63) for _ in range(r.randrange(3))} or some)
+    # Labels with very many rows, and with one; from a label to itself nothing is asked for.
+    labels = [0 if r.random() < 0.4 else 1 + i // 2 for i in range(len(sets))]
+    rows = [(i, labels[i], bytearray(np.sort(np.array(list(s), np.int64).view(np.uint64)).tobytes())) for i, s in enumerate(sets)]
+    table = spark.createDataFrame(rows, "row long, label long, shingle_set binary")
+    for similarity in (0.5, 0.8):
+        want = {
+            (i, j)
+            for i in range(len(sets))
+            for j in range(i + 1, len(sets))
+            if labels[i] != labels[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])
+        }
+        assert len(want) > 50
+        for cell in (1, 7, nd.CELL):
+            found = [tuple(sorted(p)) for p in nd._candidates(table, similarity, cell).collect()]
+            assert len(found) == len(set(found))
+            assert want <= set(found) and all(labels[i] != labels[j] for i, j in found)
+
+
 def test_awkward_rows(spark):
     found = nd.near_duplicates(documents(spark)).collect()
     by_doc = defaultdict(list)
