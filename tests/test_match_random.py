@@ -332,3 +332,25 @@ def test_ids_without_an_exchange(spark, case, lists):
     assert "Exchange hashpartitioning" not in plan.split("BroadcastExchange")[0] and "mapinarrow" in plan.lower()
     grouped = match_ids(events, table, carry=["b"], broadcast_limit=0)
     assert {r["event_id"]: r["ids"] for r in grouped.collect()} == {e: sorted(s) for e, s in want.items()}
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_limit": 0}], ids=str)
+@pytest.mark.parametrize("collisions", [False, True])
+def test_clauses_with_the_same_long_list_share_its_keys(spark, case, options, collisions, monkeypatch):
+    events, _, _ = case
+    r = random.Random(5)
+    plans = captured(monkeypatch)
+    if collisions:
+        hashed = match_module.Access._hash
+        monkeypatch.setattr(match_module.Access, "_hash", staticmethod(lambda *parts: f"pmod({hashed(*parts)}, 3)"))
+    numbers = [r.sample(range(1000), 400) for _ in range(3)]
+    letters = [[*r.sample(LETTERS, 4), *(f"z{i}{j}" for j in range(60))] for i in range(2)]
+    predicates = [attr("g").isin(*numbers[i % 3]) & (attr("c") > 2.5 * i - 50) for i in range(80)]
+    predicates += [attr("b").isin(*letters[i % 2]) & (attr("a") > i % 30) | (attr("a") == i) & attr("d").is_true() for i in range(60)]
+    hits = events.select("event_id", F.array(*(F.coalesce(p.column(), F.lit(False)) for p in predicates)).alias("m")).collect()
+    expected = {(row["event_id"], i) for row in hits for i, m in enumerate(row["m"]) if m}
+    assert pairs(match(events, table_of(spark, predicates), **options)) == expected and expected
+    # Each list has its keys once, without one for every bin of the ranges; the 60 others are those of `a = i`.
+    (plan,) = plans
+    assert plan.clause_side.count() == plan.facts.keys == 3 * 400 + 2 * 64 + 60
+    assert plan.literal_side.count() == 200 and plan.facts.literal_bytes < 200 * 2_000
