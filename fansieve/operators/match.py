@@ -57,6 +57,8 @@ MAX_ANTI_JOINS = 8
 # Mean keys per clause from which on keys and literals are tables of their own.
 MANY_KEYS = 4
 KEY_BYTES = 40
+# In a shuffle join literals stay in the key rows up to so many times the bytes of both tables, as all candidates would be shuffled to meet them.
+MOST_COPIES = 4
 # Mean length of `in` lists from which on clauses with the same list share its keys, if at least so many clauses have each list.
 LONG_LIST, SHARERS = 32, 2
 # Earlier clauses checked by plain expressions, which stay inside generated code.
@@ -603,7 +605,7 @@ def _plan(events, columns, subscriptions, attributes, strategy: str, broadcast_l
     plan.slots = Slots(attributes, facts.used, many_one_of=facts.one_of > 1)
     borders = {a: _thin(b, facts.bins + 1) for a, b in facts.borders.items()}
     plan.access = Access(plan.slots, [Path.parse(c, facts.ranked) for c in facts.codes], borders, max(2, facts.bins))
-    plan.clause_side, plan.literal_side, facts.keys, facts.key_bytes, facts.literal_bytes = _clause_sides(rows, rest, plan.slots, plan.access, facts, many=facts.earlier > 0)
+    plan.clause_side, plan.literal_side, facts.keys, facts.key_bytes, facts.literal_bytes = _clause_sides(rows, rest, plan.slots, plan.access, facts, broadcast_limit, many=facts.earlier > 0)
     plan.fits_broadcast = facts.key_bytes + facts.literal_bytes <= broadcast_limit
     return plan
 
@@ -802,18 +804,19 @@ def _salted_join(probing: DataFrame, clause_side: DataFrame, on: Column) -> Data
     left = left.withColumn("_salt", F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(*columns), F.col("_salts")).cast("int")).otherwise(0)).drop("_heavy", "_salts")
     right = clause_side.join(heavy, F.col("_key") == F.col("_heavy"), "left")
     right = right.withColumn("_csalt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_heavy", "_salts")
-    return left.join(right.hint("merge"), on & (F.col("_salt") == F.col("_csalt")))
+    # Clause by clause, as the probes of a key are narrower to hold and a clause's pairs then follow each other, which aggregates by subscription like.
+    return right.join(left.hint("merge"), on & (F.col("_salt") == F.col("_csalt")))
 
 
 def _names(events: DataFrame) -> dict[str, str]:
     return {c: f"e{i}" for i, c in enumerate(events.columns)}
 
 
-def _clause_sides(rows, rest, slots: Slots, access: Access, facts: Facts, many: bool) -> tuple[DataFrame, DataFrame | None, int, int, int]:
+def _clause_sides(rows, rest, slots: Slots, access: Access, facts: Facts, broadcast_limit: int, many: bool) -> tuple[DataFrame, DataFrame | None, int, int, int]:
     """The clause side of the join: keys and literals of every clause that can hold at all.
 
     Returns (key rows, literal rows, number of key rows, their bytes, bytes of the literal rows). Clauses with few keys have their literals in
-    every key row, and no literal rows. A clause with an ``in`` or a list of a thousand literals has a thousand keys; its key rows are
+    every key row, and no literal rows; so have all whose literals are short and, with the keys, too large to broadcast. A clause with an ``in`` or a list of a thousand literals has a thousand keys; its key rows are
     narrow, and its literals are stored once. On shared paths the key rows belong to a list, and to all clauses that have it: these have its
     number and not the list itself, as the key rows hold its literals. Sizes are counted, not estimated from the clause alone.
     """
@@ -853,7 +856,9 @@ def _clause_sides(rows, rest, slots: Slots, access: Access, facts: Facts, many:
         wide = wide.withColumn("_bytes", F.when(F.col("_list").isNull(), F.col("_bytes")).otherwise(row_bytes(wide.select(*map(_col, body)))))
     # Stored, as the sizes decide the plan and the expressions above are too long to run twice; counted while it is written.
     n_keys, sizes = F.coalesce(F.array_size("_entries"), F.lit(0)).cast("long"), Observation()
+    made = row_bytes(wide.select(*map(_col, body)))
     counted = (F.count(F.lit(1)).alias("clauses"), F.sum(n_keys).alias("keys"), F.sum("_bytes").alias("once"), F.sum(F.col("_bytes") * n_keys).alias("each"))
+    counted += (F.sum(made).alias("made_once"), F.sum(made * n_keys).alias("made_each"))
     wide = durable(wide.withColumn("_no", F.monotonically_increasing_id()).observe(sizes, *counted))
     clauses, n_keys, once, each = (sizes.get[c] or 0 for c in ("clauses", "keys", "once", "each"))
     entry = [F.expr("_entry.p AS _c_path"), F.expr("_entry.k AS _key")]
@@ -870,7 +875,9 @@ def _clause_sides(rows, rest, slots: Slots, access: Access, facts: Facts, many:
         n_keys += sizes.get["keys"] or 0
         literal_rows = wide.join(first, F.col("_list") == F.col("_same"), "left").select(*map(_col, body), F.coalesce("_first", "_no").alias("_no"))
         return narrow, literal_rows, n_keys, KEY_BYTES * n_keys + (sizes.get["texts"] or 0), once
-    if n_keys <= MANY_KEYS * clauses or each <= once + KEY_BYTES * n_keys:
+    made_once, made_each = (sizes.get[c] or 0 for c in ("made_once", "made_each"))
+    shuffled = once + KEY_BYTES * n_keys > broadcast_limit and made_each <= MOST_COPIES * (made_once + KEY_BYTES * n_keys)
+    if n_keys <= MANY_KEYS * clauses or each <= once + KEY_BYTES * n_keys or shuffled:
         return wide.select(*map(_col, body), F.explode("_entries").alias("_entry")).select(*map(_col, body), *entry), None, n_keys, each + KEY_BYTES * n_keys, 0
     return narrow, wide.drop("_entries", "_bytes"), n_keys, KEY_BYTES * n_keys, once
 

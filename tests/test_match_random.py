@@ -354,3 +354,20 @@ def test_clauses_with_the_same_long_list_share_its_keys(spark, case, options, co
     (plan,) = plans
     assert plan.clause_side.count() == plan.facts.keys == 3 * 400 + 2 * 64 + 60
     assert plan.literal_side.count() == 200 and plan.facts.literal_bytes < 200 * 2_000
+
+
+def by_filters(events, predicates):
+    hits = events.select("event_id", F.array(*(F.coalesce(p.column(), F.lit(False)) for p in predicates)).alias("m")).collect()
+    return {(row["event_id"], i) for row in hits for i, m in enumerate(row["m"]) if m}
+
+
+def test_short_literals_stay_with_their_keys_in_a_shuffle_join(spark, case, monkeypatch):
+    events, _, _ = case
+    plans = captured(monkeypatch)
+    predicates = [(attr("c") > 0.5 * i - 50) & (attr("c") <= 0.5 * i - 20) for i in range(300)]
+    expected = by_filters(events, predicates)
+    for limit in (1 << 28, 0):
+        assert pairs(match(events, table_of(spark, predicates), broadcast_limit=limit)) == expected and expected
+    # So many keys that the literals are a table of their own where it is broadcast, but all candidates would be shuffled to meet it otherwise.
+    assert [p.literal_side is None for p in plans] == [False, True]
+    assert plans[0].facts.keys == plans[1].facts.keys > 4 * 300
