@@ -738,32 +738,79 @@ def _meet(probing: DataFrame, plan: Plan, how: str = "inner") -> DataFrame:
 # --- a clause table too large to broadcast ------------------------------------------------------
 
 
+# Events with an access key, per different tested attributes among them, from which on the latter meet the clauses in their stead.
+ALIKE = 8
+
+
 def _late(events: DataFrame, plan: Plan, key: Sequence[str], carried: Sequence[str], broadcast_limit: int) -> DataFrame:
     """A shuffle join of access keys, of which the events' other columns are no part.
 
     What is shuffled is the key and the attributes that the clauses test, after probes whose access key no clause has are dropped. If the events
     have more columns, each of them that matches meets its subscriptions afterwards, by key and attributes, null or not: events that are
-    equal in these match the same, so they are matched once, and keys need not be unique.
+    equal in these match the same, so they are matched once, and keys need not be unique. Where that would shuffle more pairs than
+    there are events, the other columns go along instead. Where few attribute values stand for many events, these values alone meet the clauses, and the events are broadcast to what matched.
     """
     used = [a for a in plan.attributes if a in plan.facts.used]
+    alike = _few_alike(events, plan, used, broadcast_limit)
+    if alike is not None:
+        return _by_values(*alike, plan, carried, broadcast_limit)
     narrow = [c for c in plan.columns if c in {*key, *used}]
-    moved = events.select(*map(_col, narrow))
     more = [c for c in plan.columns if c not in narrow]
+    moved = events.select(*map(_col, narrow))
     probing = _known_keys(_probing(moved.distinct() if more else moved, plan), plan)
-    on, residual = _conditions(plan)
-    out = _salted_join(probing, plan.clause_side, on)
-    if plan.literal_side is not None:
-        small = plan.facts.literal_bytes <= broadcast_limit
-        side = F.broadcast(plan.literal_side) if small else plan.literal_side.hint("merge")
-        out = out.join(side, F.expr(f"_key_no = _no AND {residual}"))
+    sample = _sample(probing)
+    if more and _candidates(sample, plan) > events.count():
+        narrow, more = [*plan.columns], []
+        probing = _known_keys(_probing(events, plan), plan)
+    out = _with_literals(_salted_join(probing, plan.clause_side, _conditions(plan)[0], sample), plan, broadcast_limit)
     of_event = {c: plan.columns[c] for c in narrow}
     rest = [F.col(f"r{i}").alias(c) for i, c in enumerate(carried)]
     if not more:
         return out.select(*(F.col(of_event[c]).alias(c) for c in plan.columns), *rest)
     out = out.select(*(F.col(n).alias(f"m{i}") for i, n in enumerate(of_event.values())), *(F.col(f"r{i}") for i in range(len(carried))))
     whole = events.select(*(_col(c).alias(n) for c, n in plan.columns.items()))
-    same = reduce(and_, (F.col(n).eqNullSafe(F.col(f"m{i}")) for i, n in enumerate(of_event.values())))
-    return whole.join(out.hint("shuffle_hash"), same).select(*(F.col(n).alias(c) for c, n in plan.columns.items()), *rest)
+    return whole.join(out.hint("shuffle_hash"), _same(of_event.values())).select(*(F.col(n).alias(c) for c, n in plan.columns.items()), *rest)
+
+
+def _same(names) -> Column:
+    """Whether event columns are those that matched, m0, m1, ...: null or not."""
+    return reduce(and_, (F.col(n).eqNullSafe(F.col(f"m{i}")) for i, n in enumerate(names)))
+
+
+def _with_literals(out: DataFrame, plan: Plan, broadcast_limit: int) -> DataFrame:
+    """What met by access keys, if the literals are a table of their own."""
+    if plan.literal_side is None:
+        return out
+    side = F.broadcast(plan.literal_side) if plan.facts.literal_bytes <= broadcast_limit else plan.literal_side.hint("merge")
+    return out.join(side, F.expr(f"_key_no = _no AND {_conditions(plan)[1]}"))
+
+
+def _few_alike(events: DataFrame, plan: Plan, used: Sequence[str], broadcast_limit: int) -> tuple[DataFrame, DataFrame] | None:
+    """(different tested attributes with an access key, whole events that have them), both numbered ``_alike``, if these are few and the events can be broadcast."""
+    if not used:
+        return None
+    probes = _known_keys(_probing(events.select(*map(_col, used)), plan), plan)
+    names = [plan.columns[a] for a in used]
+    total = probes.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64(*names, "_p", "_k")).alias("d")).first()
+    if not total["n"] or total["n"] < ALIKE * total["d"]:
+        return None
+    values = durable(probes.distinct())
+    held = values.select(*(F.col(n).alias(f"m{i}") for i, n in enumerate(names))).distinct()
+    held = durable(held.withColumn("_alike", F.monotonically_increasing_id()))
+    values = values.join(held, _same(names)).drop(*(f"m{i}" for i in range(len(names))))
+    whole = events.select(*(_col(c).alias(n) for c, n in plan.columns.items()))
+    whole = whole.join(F.broadcast(held), _same(names)).select(*whole.columns, F.col("_alike").alias("_of"))
+    # Half of the limit, as what matched may be broadcast beside them.
+    return (values, whole) if (whole.agg(F.sum(row_bytes(whole))).first()[0] or 0) <= broadcast_limit // 2 else None
+
+
+def _by_values(values: DataFrame, whole: DataFrame, plan: Plan, carried: Sequence[str], broadcast_limit: int) -> DataFrame:
+    """Clauses meet attribute values, and what matched, dealt evenly, the events that have them."""
+    matched = _with_literals(plan.clause_side.join(F.broadcast(values), _conditions(plan)[0]), plan, broadcast_limit)
+    matched = matched.select("_alike", *(F.col(f"r{i}") for i in range(len(carried))))
+    matched = matched.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    out = matched.join(F.broadcast(whole), F.col("_alike") == F.col("_of"))
+    return out.select(*(F.col(n).alias(c) for c, n in plan.columns.items()), *(F.col(f"r{i}").alias(c) for i, c in enumerate(carried)))
 
 
 # Access keys that are broadcast as they are, 16 bytes each; beyond that, their bits in a map of so many.
@@ -786,15 +833,25 @@ def _known_keys(probing: DataFrame, plan: Plan) -> DataFrame:
 SAMPLED, HEAVY = 0.02, 0.5
 
 
-def _salted_join(probing: DataFrame, clause_side: DataFrame, on: Column) -> DataFrame:
+def _sample(probing: DataFrame) -> DataFrame:
+    """How often each access key is among some of the probes: ``_k``, ``n``."""
+    return durable(probing.sample(SAMPLED, seed=1).groupBy("_k").agg(F.count("*").alias("n")))
+
+
+def _candidates(sample: DataFrame, plan: Plan) -> float:
+    """About how many pairs meet on an access key."""
+    keys = plan.clause_side.groupBy("_key").agg(F.count("*").alias("c"))
+    return (sample.join(keys, F.col("_k") == F.col("_key")).agg(F.sum(F.col("n") * F.col("c").cast("double"))).first()[0] or 0) / SAMPLED
+
+
+def _salted_join(probing: DataFrame, clause_side: DataFrame, on: Column, sample: DataFrame) -> DataFrame:
     """Shuffle join in which heavy access keys, and only these, are spread over several tasks.
 
-    They are found in a sample of the probes. A key with a third of all of them gets so many salts that each holds about half of an average task; its
+    They are found in ``sample``. A key with a third of all of them gets so many salts that each holds about half of an average task; its
     clauses are repeated for each. There cannot be more heavy keys than tasks, times a constant.
     """
     spark = probing.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sample = durable(probing.sample(SAMPLED, seed=1).groupBy("_k").agg(F.count("*").alias("n")))
     total = sample.agg(F.sum("n")).first()[0] or 0
     least = max(HEAVY * total / partitions, 10)
     heavy = sample.where(F.col("n") >= least).select(F.col("_k").alias("_heavy"), F.ceil(F.col("n") / (HEAVY * total / partitions)).cast("int").alias("_salts"))

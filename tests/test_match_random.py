@@ -371,3 +371,22 @@ def test_short_literals_stay_with_their_keys_in_a_shuffle_join(spark, case, monk
     # So many keys that the literals are a table of their own where it is broadcast, but all candidates would be shuffled to meet it otherwise.
     assert [p.literal_side is None for p in plans] == [False, True]
     assert plans[0].facts.keys == plans[1].facts.keys > 4 * 300
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_pairs_are_not_shuffled_to_meet_other_columns(spark, few):
+    r = random.Random(11)
+    rows = [(None if i % 50 == 0 else i, r.choice([None, 1, 2]) if few else r.randrange(1000), r.choice(["p", "q", "r", None]), r.choice([True, False, None]), "x" * (i % 7)) for i in range(2000)]
+    events = spark.createDataFrame(rows + rows[:40], "event_id bigint, a bigint, b string, d boolean, payload string").cache()
+    if few:
+        predicates = [attr("a").is_null() & attr("d").is_true() & attr("b").not_in(f"s{i}", "pqr"[i % 3]) for i in range(300)]
+    else:
+        predicates = [attr("d").is_true() & (attr("a") > i) & (attr("b") != "pqr"[i % 3]) for i in range(300)]
+    attributes = {"a": "integer", "b": "string", "d": "boolean"}
+    found = match(events, table_of(spark, predicates), attributes, broadcast_limit=60_000 if few else 0)
+    assert found.columns == [*events.columns, "sub_id"]
+    want = match(events, table_of(spark, predicates), attributes, strategy="compiled")
+    count = Counter(tuple(r) for r in found.collect())
+    assert count == Counter(tuple(r) for r in want.collect()) and sum(count.values()) > 10 * events.count()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" not in plan and ("SortMergeJoin" in plan) != few
