@@ -38,7 +38,7 @@ from fansieve.functions.attributes import (
 )
 from fansieve.functions.predicates import RANGE_OPS, invalid_reason, quote_name, sql_list
 from fansieve.operators.compiled import any_holds, ids_compiled, match_compiled
-from fansieve.session import BROADCAST_BYTES, durable, row_bytes
+from fansieve.session import BROADCAST_BYTES, durable, row_bytes, table_bytes
 
 _LIT = {INTEGER: "`int`", FLOAT: "`float`", STRING: "`str`"}
 _LITS = {INTEGER: "ints", STRING: "strs", INTEGER_LIST: "ints", STRING_LIST: "strs"}
@@ -795,13 +795,15 @@ def _few_alike(events: DataFrame, plan: Plan, used: Sequence[str], broadcast_lim
     if not total["n"] or total["n"] < ALIKE * total["d"]:
         return None
     values = durable(probes.distinct())
+    if table_bytes(values) > broadcast_limit // 4:
+        return None
     held = values.select(*(F.col(n).alias(f"m{i}") for i, n in enumerate(names))).distinct()
     held = durable(held.withColumn("_alike", F.monotonically_increasing_id()))
     values = values.join(held, _same(names)).drop(*(f"m{i}" for i in range(len(names))))
     whole = events.select(*(_col(c).alias(n) for c, n in plan.columns.items()))
     whole = whole.join(F.broadcast(held), _same(names)).select(*whole.columns, F.col("_alike").alias("_of"))
-    # Half of the limit, as what matched may be broadcast beside them.
-    return (values, whole) if (whole.agg(F.sum(row_bytes(whole))).first()[0] or 0) <= broadcast_limit // 2 else None
+    # Half of the limit, as the values and literals may be broadcast beside them.
+    return (values, whole) if table_bytes(whole) <= broadcast_limit // 2 else None
 
 
 def _by_values(values: DataFrame, whole: DataFrame, plan: Plan, carried: Sequence[str], broadcast_limit: int) -> DataFrame:
@@ -831,6 +833,8 @@ def _known_keys(probing: DataFrame, plan: Plan) -> DataFrame:
 
 # The share of probes that is looked at for heavy access keys, and the share of these, in parts of an average task, that makes one heavy.
 SAMPLED, HEAVY = 0.02, 0.5
+# Probes of a heavy key that a task holds at once, about.
+HELD = 100_000
 
 
 def _sample(probing: DataFrame) -> DataFrame:
@@ -847,22 +851,30 @@ def _candidates(sample: DataFrame, plan: Plan) -> float:
 def _salted_join(probing: DataFrame, clause_side: DataFrame, on: Column, sample: DataFrame) -> DataFrame:
     """Shuffle join in which heavy access keys, and only these, are spread over several tasks.
 
-    They are found in ``sample``. A key with a third of all of them gets so many salts that each holds about half of an average task; its
-    clauses are repeated for each. There cannot be more heavy keys than tasks, times a constant.
+    They are found in ``sample``. A key with a third of all probes gets so many salts that each holds about half of an average task. Its probes are dealt to some
+    of them and its clauses to the others, like rows and columns of a grid, by how many there are of each: a probe is repeated for each share of the clauses and a clause for each share
+    of the probes, so that neither is repeated for every salt where both are many. There cannot be more heavy keys than tasks, times a constant.
     """
     spark = probing.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = sample.agg(F.sum("n")).first()[0] or 0
     least = max(HEAVY * total / partitions, 10)
-    heavy = sample.where(F.col("n") >= least).select(F.col("_k").alias("_heavy"), F.ceil(F.col("n") / (HEAVY * total / partitions)).cast("int").alias("_salts"))
-    heavy = F.broadcast(durable(heavy))
-    columns = [F.col(c) for c in probing.columns if c.startswith("e")]
-    left = probing.join(heavy, F.col("_k") == F.col("_heavy"), "left")
-    left = left.withColumn("_salt", F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(*columns), F.col("_salts")).cast("int")).otherwise(0)).drop("_heavy", "_salts")
-    right = clause_side.join(heavy, F.col("_key") == F.col("_heavy"), "left")
-    right = right.withColumn("_csalt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_heavy", "_salts")
+    heavy = sample.where(F.col("n") >= least).select(F.col("_k").alias("_heavy"), F.ceil(F.col("n") / (HEAVY * total / partitions)).alias("_salts"), (F.col("n") / SAMPLED).alias("_n"))
+    clauses = clause_side.groupBy(F.col("_key").alias("_heavy")).agg(F.count(F.lit(1)).alias("_c"))
+    heavy = durable(heavy).join(clauses, "_heavy", "left").withColumn("_shares", F.expr(f"CAST(least(_salts, ceil(greatest(sqrt(_salts * _n / coalesce(_c, 1)), _n / {HELD}))) AS int)"))
+    heavy = F.broadcast(durable(heavy.select("_heavy", "_shares", F.ceil(F.col("_salts") / F.col("_shares")).cast("int").alias("_cshares"))))
+
+    def dealt(side: DataFrame, key: str, columns: Sequence[str], own: str, other: str) -> DataFrame:
+        """The side's rows, those of heavy keys with the number of their ``own`` share and repeated for each ``other`` one: ``_i`` and ``_j``, 0 for the others."""
+        side = side.join(heavy, F.col(key) == F.col("_heavy"), "left")
+        number = F.coalesce(F.pmod(F.xxhash64(*map(_col, columns)), F.col(own)), F.lit(0)).cast("int")
+        return side.withColumns({"_i": number, "_j": F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))}).drop("_heavy", "_shares", "_cshares")
+
+    left = dealt(probing, "_k", [c for c in probing.columns if c.startswith("e")], "_shares", "_cshares")
+    told = [f.name for f in clause_side.schema.fields if isinstance(f.dataType, T.AtomicType) and f.name not in ("_key", "_c_path")] or ["_key"]
+    right = dealt(clause_side, "_key", told, "_cshares", "_shares").withColumnsRenamed({"_i": "_ci", "_j": "_cj"})
     # Clause by clause, as the probes of a key are narrower to hold and a clause's pairs then follow each other, which aggregates by subscription like.
-    return right.join(left.hint("merge"), on & (F.col("_salt") == F.col("_csalt")))
+    return right.join(left.hint("merge"), on & (F.col("_i") == F.col("_cj")) & (F.col("_j") == F.col("_ci")))
 
 
 def _names(events: DataFrame) -> dict[str, str]:

@@ -390,3 +390,19 @@ def test_pairs_are_not_shuffled_to_meet_other_columns(spark, few):
     assert count == Counter(tuple(r) for r in want.collect()) and sum(count.values()) > 10 * events.count()
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" not in plan and ("SortMergeJoin" in plan) != few
+
+
+@pytest.mark.parametrize("held", [100_000, 20])
+def test_clauses_of_a_heavy_key_are_not_repeated_for_every_salt(spark, monkeypatch, held):
+    monkeypatch.setattr(match_module, "SAMPLED", 1.0)
+    monkeypatch.setattr(match_module, "HELD", held)
+    sides, joined = [], match_module._salted_join
+    monkeypatch.setattr(match_module, "_salted_join", lambda *a: sides.append((a[0], a[1], joined(*a))) or sides[-1][2])
+    r = random.Random(2)
+    events = spark.createDataFrame([(i, "p" if i % 4 else r.choice(LETTERS), i) for i in range(200)], "event_id bigint, b string, a bigint").cache()
+    predicates = [(attr("b") == "p") & (attr("a") != i) for i in range(500)]
+    assert pairs(match(events, table_of(spark, predicates), strategy="template", broadcast_limit=0)) == by_filters(events, predicates)
+    ((probing, clauses, out),) = sides
+    # All probes that are left have the one key, which has a salt for each half of a task: 16 with 8 tasks.
+    copies = out.select("r0", "_ci", "_cj").distinct().groupBy("r0").count().agg(F.max("count")).first()[0]
+    assert 1 < copies <= (4 if held > 20 else 8) and clauses.count() == 500 and probing.count() > 150
